@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, langid, simhash, substring, tokenfile, urlfilter
+from lodestone.llm import bpe, decontam, langid, merkle, simhash, substring, tokenfile, urlfilter
 from lodestone.runtime import scratch_path
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -25,6 +25,19 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.fingerprint_with_edit(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        merkle.to_string(F.col("tree")).alias("fingerprint"),
+        merkle.to_string(F.col("edited_tree")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return urlfilter.judge(_table(spark, sf_dir, "pages"), rules)
