@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, langid, merkle, simhash, substring, tokenfile, toxicity, urlfilter
+from lodestone.llm import bpe, decontam, langid, merkle, simhash, substring, tokenfile, toxicity, urlfilter, warc
 from lodestone.runtime import scratch_path
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -25,6 +25,12 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    archive = warc.write(pages)
+    return warc.read(archive, warc.look_up(archive, pages.where("page_id is not null"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.fingerprint_with_edit(_table(spark, sf_dir, "documents"))
     return found.select(
