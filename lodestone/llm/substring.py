@@ -220,8 +220,11 @@ def _by_shard(table: pa.Table) -> dict[int, bytes]:
     return dict(zip(table.column("shard").to_pylist(), table.column("bits").to_pylist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, ``keep``, n_words, n_removed, kept (the kept words, one space between them)."""
+def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = (), untouched: bool = False) -> DataFrame:
+    """One row per document: doc_id, ``keep``, n_words, n_removed, kept (the kept words, one space between them).
+
+    ``untouched``: texts that lose no word are returned as they were, with their own white space.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *keep)
@@ -247,12 +250,13 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
         second = bits.filter(pa.compute.equal(bits.column("step"), 2))
         gone = block.removed(_by_shard(first), _by_shard(second), shards)
         n_removed, kept = [], []
-        for text, start, n in zip(block.texts, block.starts, block.counts, strict=True):
+        sorted_rows = table.take(pa.array(block.order, pa.int64()))
+        raw = sorted_rows.column("text").to_pylist() if untouched else block.texts
+        for text, before, start, n in zip(block.texts, raw, block.starts, block.counts, strict=True):
             own = gone[start : start + n]
             out = int(own.sum())
             n_removed.append(out)
-            kept.append(text if not out else b" ".join(w for w, g in zip(text.split(b" "), own, strict=True) if not g) if out < n else b"")
-        sorted_rows = table.take(pa.array(block.order, pa.int64()))
+            kept.append((before or b"") if not out else b" ".join(w for w, g in zip(text.split(b" "), own, strict=True) if not g) if out < n else b"")
         own = {"doc_id": pa.array(block.ids)} | {k: sorted_rows.column(k) for k in keep}
         return pa.table(own | {"n_words": pa.array(block.counts), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
