@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lodestone.plans import documents, relational, searching, web  # noqa: F401  (they register their queries)
+from lodestone.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
