@@ -229,8 +229,8 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = (), untouched: bo
     ship_package(spark)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *keep)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks, shards = max(2 * least, size // BLOCK_BYTES), max(least, size // (12 * SHARD_ENTRIES))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))  # rows sent: one for each block and shard at most
+    blocks, shards = max(least, size // BLOCK_BYTES), max(least, size // (12 * SHARD_ENTRIES))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 
     def send_anchors(table: pa.Table) -> pa.Table:
