@@ -15,6 +15,7 @@ are ordered by their ids' number and CRC; a text of any length is encoded whole.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,11 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.runtime import ship_package
+from lodestone.runtime import materialize, ship_package
 
-MAX_WORDS = 120_000
+MAX_WORDS = 250_000
 STRIPE_BYTES = 16 << 20
 _MARKS = (b".", b",")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level pretokenisers show a printable Latin-1 byte as itself and the others, in order, from U+0100 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 
 class WordCache:
@@ -47,11 +58,16 @@ class WordCache:
         return ids
 
     def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Words of a-z only are as the model takes them; others go through the whole pipeline."""
-        plain = [w for w in words if w.isalpha()]
-        other = [w for w in words if not w.isalpha()]
-        model = self.tokenizer.model.tokenize
-        out = {w: np.array([t.id for t in model(w.decode())], "<u4").tobytes() for w in plain}
+        """Small Latin letters are one piece that the normaliser leaves alone, so the model takes them
+        as they are, each byte as the pretokeniser's character for it; other words go through the whole pipeline."""
+        model, out, other = self.tokenizer.model.tokenize, {}, []
+        for w in words:
+            if w.isalpha():
+                out[w] = np.array([t.id for t in model(w.decode())], "<u4").tobytes()
+            elif _LETTERS(w.decode()):
+                out[w] = np.array([t.id for t in model(w.decode("latin-1").translate(_BYTE_CHARACTERS))], "<u4").tobytes()
+            else:
+                other.append(w)
         found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
         return out | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(other, found, strict=True)}
 
@@ -153,7 +169,7 @@ def offsets(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
 
-    rows = tokens.select("doc_id", "tokens", "file").mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long")
+    rows = materialize(tokens.select("doc_id", "tokens", "file").mapInArrow(run, "doc_id long, file string, n_tokens long, ids_crc32 long"), "token-lengths")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
     own = Window.partitionBy("file").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
