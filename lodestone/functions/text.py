@@ -5,8 +5,13 @@ Lengths that stand for sizes are bytes (``octet_length``); cuts are by character
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: the word lists that the scores depend on
 STOP_WORDS = """the a an and or but in on at to for of with by is are was were be been being have has had do does did will
@@ -64,10 +69,11 @@ def content_words(words: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Distinct n-grams of at least four bytes; none where there are fewer than n words."""
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")
-    )
-    return F.when(F.size(words) >= n, F.array_distinct(F.filter(grams, lambda g: F.octet_length(g) >= 4))).otherwise(F.array().cast("array<string>"))
+    m = F.greatest(F.size(words) - n + 1, F.lit(0))
+    grams = F.slice(words, 1, m)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(words, k + 1, m), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(F.filter(grams, lambda g: F.octet_length(g) >= 4))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -123,21 +129,16 @@ def complexity_similarity(a: Column, b: Column) -> Column:
     return F.when((la == 0) & (lb == 0), F.lit(1.0)).otherwise(F.least(0.6 * share(la, lb) + 0.4 * share(va, vb), F.lit(1.0)))
 
 
-def word_counts(text: Column) -> Column:
-    """array<struct(word, n)> of the content words of the normalised text, in word order."""
-    words = F.array_sort(content_words(tokens(normalize(text))))
-    distinct = F.array_distinct(words)
-    return F.transform(distinct, lambda w: F.struct(w.alias("word"), F.size(F.filter(words, lambda x: x == w)).alias("n")))
-
-
-def cosine_of_counts(a: Column, b: Column) -> Column:
-    """Cosine of two ``word_counts``: two empty ones 1, one empty 0."""
-    mb = F.map_from_entries(b)
-    total = lambda m: F.aggregate(m, F.lit(0.0), lambda s, x: s + x["n"] * x["n"])
-    dot = F.aggregate(a, F.lit(0.0), lambda s, x: s + x["n"] * F.coalesce(F.try_element_at(mb, x["word"]), F.lit(0)))
-    both = (F.size(a) == 0) & (F.size(b) == 0)
-    either = (F.size(a) == 0) | (F.size(b) == 0)
-    return F.when(both, F.lit(1.0)).when(either, F.lit(0.0)).otherwise(F.least(dot / (F.sqrt(total(a)) * F.sqrt(total(b))), F.lit(1.0)))
+@F.pandas_udf(T.DoubleType())
+def cosine_of_words(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cosine of the word counts of two arrays of words: two empty ones 1, one empty 0."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        n, m = Counter(x), Counter(y)
+        dot = sum(k * m[w] for w, k in n.items())
+        norms = math.sqrt(sum(k * k for k in n.values())) * math.sqrt(sum(k * k for k in m.values()))
+        out.append(min(dot / norms, 1.0) if norms else float(not n and not m))
+    return pd.Series(out, dtype=float)
 
 
 def semantic_similarity(a: Column, b: Column) -> Column:
@@ -154,7 +155,7 @@ def lexical_similarity(a: Column, b: Column) -> Column:
 
 
 def text_similarity(a: Column, b: Column, enhanced: bool = False) -> Column:
-    cosine = cosine_of_counts(word_counts(a), word_counts(b))
+    cosine = cosine_of_words(content_words(tokens(normalize(a))), content_words(tokens(normalize(b))))
     if enhanced:
         long = (F.octet_length(a) > 100) & (F.octet_length(b) > 100)
         cosine = F.when(long, 0.7 * cosine + 0.3 * lexical_similarity(a, b)).otherwise(cosine)

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT
-from lodestone.functions.text import content_words, document_similarity, ngrams, normalize, tokens
+from lodestone.functions.text import (
+    SEMANTIC_FIELDS, TECHNICAL_TERMS, content_words, cosine_of_words, document_similarity, jaccard, keywords, literal_array, ngrams, normalize,
+    structure, structure_similarity, tokens,
+)
 
 
 def term_frequency(docs: DataFrame, *, id_column: str = "doc_id", column: str = "text") -> DataFrame:
@@ -21,27 +24,69 @@ def term_frequency(docs: DataFrame, *, id_column: str = "doc_id", column: str =
     return rows.groupBy(id_column, "word").agg(F.count("*").alias("n"), F.round(F.count("*") / F.first("total"), 6).alias("tf"))
 
 
-def band_keys(text: Column, bands: int = 8, rows: int = 2) -> Column:
-    """array<long>: hashes of the MinHash bands of the text's word bigrams."""
-    grams = ngrams(tokens(F.lower(normalize(text))), 2)
-    least = lambda k: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, F.lit(k))))
-    return F.array(*[F.xxhash64(F.lit(b), *[least(b * rows + r) for r in range(rows)]) for b in range(bands)])
+def _seeded(seed: int):
+    return lambda g: F.xxhash64(g, F.lit(seed))
+
+
+def band_keys(grams: Column, bands: int = 8, rows: int = 2) -> Column:
+    """array<long>: hashes of the MinHash bands of a set of word bigrams, given as a column."""
+    hashed = [F.array_min(F.transform(grams, _seeded(b * rows + r))) for b in range(bands) for r in range(rows)]
+    return F.array(*[F.xxhash64(F.lit(b), *hashed[b * rows : (b + 1) * rows]) for b in range(bands)])
 
 
 def candidates(docs: DataFrame, *, id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """left_id, right_id: each document beside the smallest id of each of its bands."""
-    keyed = docs.where(F.length(column) > 0).select(F.col(id_column).alias("right_id"), F.explode(F.array_distinct(band_keys(F.col(column)))).alias("band"))
+    grams = docs.where(F.length(column) > 0).select(F.col(id_column).alias("right_id"), ngrams(tokens(F.lower(normalize(F.col(column)))), 2).alias("grams"))
+    keyed = grams.repartition(F.col("right_id")).select("right_id", F.explode(F.array_distinct(band_keys(F.col("grams")))).alias("band"))
     hubs = keyed.groupBy("band").agg(F.min("right_id").alias("left_id"))
     return keyed.join(hubs, "band").where("left_id < right_id").select("left_id", "right_id").distinct()
 
 
+def features(docs: DataFrame, *, sep: str = "\n\n", id_column: str = "doc_id", column: str = "text") -> DataFrame:
+    """id, f: what the document similarity compares, computed once for each document."""
+    t = F.col(column)
+    own = docs.select(id_column, F.coalesce(t, F.lit("")).alias(column)).withColumn("__norm", normalize(t)).withColumn("__lower", F.lower("__norm"))
+    own = own.withColumn("__words", tokens(F.col("__norm")))
+    capital = F.transform(F.filter("__words", lambda w: (F.octet_length(w) > 2) & w.rlike(r"^\p{Lu}")), F.lower)
+    listed = F.filter(literal_array(TECHNICAL_TERMS), lambda x: F.contains(F.col("__lower"), x))
+    fields = F.array(*[F.greatest(*[F.contains(F.col("__lower"), F.lit(x)) for x in f]) for f in SEMANTIC_FIELDS])
+    return own.select(
+        id_column,
+        F.struct(
+            content_words(F.col("__words")).alias("words"),
+            ngrams(F.col("__words"), 2).alias("bigrams"),
+            F.array_union(listed, capital).alias("terms"),
+            fields.alias("fields"),
+            structure(t, sep).alias("structure"),
+            keywords(t).alias("keywords"),
+            F.octet_length(t).alias("bytes"),
+            F.size(F.array_distinct(tokens(t))).alias("vocabulary"),
+        ).alias("f"),
+    )
+
+
+def compare(a: Column, b: Column, *, enhanced: bool = False) -> Column:
+    """The weighted document similarity of two ``features``."""
+    lexical = cosine_of_words(a["words"], b["words"])
+    if enhanced:
+        both = F.aggregate(F.zip_with(a["fields"], b["fields"], lambda x, y: (x & y).cast("int")), F.lit(0), lambda s, x: s + x)
+        more = 0.4 * jaccard(a["bigrams"], b["bigrams"]) + 0.4 * jaccard(a["terms"], b["terms"]) + 0.2 * both / len(SEMANTIC_FIELDS)
+        lexical = F.when((a["bytes"] > 100) & (b["bytes"] > 100), 0.7 * lexical + 0.3 * more).otherwise(lexical)
+    empty_a, empty_b = a["bytes"] == 0, b["bytes"] == 0
+    lexical = F.when(empty_a & empty_b, 1.0).when(empty_a | empty_b, 0.0).otherwise(lexical)
+    share = lambda x, y: F.when(F.greatest(x, y) > 0, F.least(x, y) / F.greatest(x, y)).otherwise(F.lit(1.0))
+    sizes = F.least(0.6 * share(a["bytes"], b["bytes"]) + 0.4 * share(a["vocabulary"], b["vocabulary"]), F.lit(1.0))
+    return 0.4 * lexical + 0.25 * structure_similarity(a["structure"], b["structure"]) + 0.25 * jaccard(a["keywords"], b["keywords"]) + 0.1 * sizes
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = DEFAULT.duplicate_threshold, sep: str = "\n\n", id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """left_id, right_id, similarity of candidate pairs at or over the threshold."""
     pairs = candidates(docs, id_column=id_column, column=column)
-    own = lambda side: docs.select(F.col(id_column).alias(f"{side}_id"), F.col(column).alias(f"{side}_text"))
-    joined = pairs.join(own("left"), "left_id").join(own("right"), "right_id")
-    score = F.round(document_similarity(F.col("left_text"), F.col("right_text"), sep=sep), 6)
-    return joined.select("left_id", "right_id", score.alias("similarity")).where(F.col("similarity") >= threshold)
+    own = features(docs, sep=sep, id_column=id_column, column=column)
+    left = own.select(F.col(id_column).alias("left_id"), F.col("f").alias("a"))
+    right = own.select(F.col(id_column).alias("right_id"), F.col("f").alias("b"))
+    score = F.round(compare(F.col("a"), F.col("b")), 6)
+    return pairs.join(left, "left_id").join(right, "right_id").select("left_id", "right_id", score.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def duplicate_decision(existing: DataFrame, new: DataFrame, keys: list[str], *, threshold: float = DEFAULT.duplicate_threshold, version: str = "version", content: str = "content") -> DataFrame:

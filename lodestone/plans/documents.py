@@ -107,7 +107,9 @@ def similarity_parts(spark, sf_dir):
 
 @query()
 def document_similarity(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("doc_id", F.round(text.document_similarity(F.col("text"), F.col("other"), enhanced=True, sep="\n"), 6).alias("similarity"))
+    own = similarity.features(table(spark, sf_dir, "documents"), sep="\n")
+    joined = own.select("doc_id", F.col("f").alias("a")).join(own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("f").alias("b")), "doc_id")
+    return joined.select("doc_id", F.round(similarity.compare(F.col("a"), F.col("b"), enhanced=True), 6).alias("similarity"))
 
 
 @query()
