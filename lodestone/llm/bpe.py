@@ -22,6 +22,7 @@ import base64
 import codecs
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from lodestone.runtime import ship_package
 
-MAX_STATES = 120_000
-MAX_CHUNKS = 150_000
+MAX_STATES = 200_000
+MAX_CHUNKS = 350_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -198,19 +199,23 @@ class Codec:
         self.transducer = Transducer(TokenGraph(ranks))
         self.find = regex.compile(pattern).findall
         self.bytes_of = self.transducer.graph.bytes_of
+        self.marks = {m: tuple(self.transducer.encode(m.encode())) for m in ".,"}
+        self.odd_space = regex.compile(r" \s|\s |^ | $").search
         self.chunks: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a chunk that is not known. Letters after a space are one piece, a full stop or comma after them another."""
         body = chunk[1:] if chunk[:1] == " " else chunk
+        if (out := self.chunks.get(chunk)) is not None:  # by an earlier one of the same text
+            return out
         if (out := self.older.get(chunk)) is not None:
             pass
         elif body.isalpha():
             out = tuple(self.transducer.encode(chunk.encode()))
         elif body[-1:] in (".", ",") and body[:-1].isalpha():
             head = chunk[:-1]
-            out = (*(self.chunks.get(head) or self._chunk(head)), *self.transducer.encode(chunk[-1].encode()))
+            out = self._chunk(head) + self.marks[chunk[-1]]
         else:
             out = tuple(i for piece in self.find(chunk) for i in self.transducer.encode(piece.encode()))
         if len(chunk) <= 64:
@@ -222,22 +227,27 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         """The pattern never joins the two sides of a single space between other characters, so the text
         is cut there and equal chunks are encoded once."""
-        ids: list[int] = []
-        waiting = ""
         parts = text.split(" ")
-        for k, part in enumerate(parts):
-            chunk = " " + part if k else part
-            if waiting:
-                chunk = waiting + chunk
-                waiting = ""
-            following = parts[k + 1] if k + 1 < len(parts) else "."
-            if not part or part[-1].isspace() or not following or following[0].isspace():
-                if k + 1 < len(parts):
-                    waiting = chunk
-                    continue
-            found = self.chunks.get(chunk)
-            ids += self._chunk(chunk) if found is None else found
-        return ids
+        chunks = parts[:1]
+        chunks += [" " + part for part in parts[1:]]
+        if self.odd_space(text):
+            chunks = list(self._joined(chunks))
+        found = list(map(self.chunks.get, chunks))
+        if None in found:
+            found = [self._chunk(chunk) if ids is None else ids for chunk, ids in zip(chunks, found, strict=True)]
+        return list(chain.from_iterable(found))
+
+    @staticmethod
+    def _joined(chunks: list[str]) -> Iterator[str]:
+        """Chunks put together again where the space between them has white space beside it or ends the text."""
+        waiting = chunks[0]
+        for chunk in chunks[1:]:
+            if waiting and not waiting[-1].isspace() and len(chunk) > 1 and not chunk[1].isspace():
+                yield waiting
+                waiting = chunk
+            else:
+                waiting += chunk
+        yield waiting
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
