@@ -37,7 +37,7 @@ def _package_json(rows: DataFrame) -> DataFrame:
 
 
 def _requirements(rows: DataFrame) -> DataFrame:
-    lines = rows.select("path", F.explode(F.split("content", "\n")).alias("line")).withColumn("line", F.trim("line")).where("line <> '' and not startswith(line, '#') and not startswith(line, '-')")
+    lines = rows.select("path", F.explode(F.split("content", "\n")).alias("line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> '' and not startswith(line, '#') and not startswith(line, '-')")
     name = F.regexp_extract("line", r"^([A-Za-z0-9][A-Za-z0-9._-]*)", 1)
     version = F.regexp_extract("line", r"^[A-Za-z0-9][A-Za-z0-9._-]*(?:\[[^\]]*\])?\s*(?:==|>=|<=|~=|!=|>|<)\s*([^\s,;#]+)", 1)
     return lines.where(name != "").select("path", name.alias("name"), F.when(version == "", "*").otherwise(version).alias("version"), F.lit("direct").alias("kind"), F.lit(None).cast("string").alias("error"))
@@ -46,7 +46,7 @@ def _requirements(rows: DataFrame) -> DataFrame:
 def _go_mod(rows: DataFrame) -> DataFrame:
     block = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(r"(?s)require\s*\((.*?)\)"), F.lit(1)), lambda b: F.split(b, "\n")))
     single = F.regexp_extract_all("content", F.lit(r"(?m)^\s*require\s+([^\s(]+\s+\S+)"), F.lit(1))
-    lines = rows.select("path", F.explode(F.concat(single, block)).alias("line")).withColumn("p", F.split(F.trim(F.regexp_replace("line", "//.*", "")), r"\s+"))
+    lines = rows.select("path", F.explode(F.concat(single, block)).alias("line")).withColumn("p", F.split(F.regexp_replace("line", r"//.*|^\s+|\s+$", ""), r"\s+"))
     return lines.where("size(p) >= 2").select("path", F.get("p", 0).alias("name"), F.regexp_replace(F.get("p", 1), "^v", "").alias("version"), F.lit("direct").alias("kind"), F.lit(None).cast("string").alias("error"))
 
 
