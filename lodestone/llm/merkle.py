@@ -9,7 +9,7 @@ The fingerprint as a string: the root, a colon, and the leaves' digests (low 32
 paragraphs and ``/`` between sections. Likeness of two fingerprints: twice the leaf digests in common
 over the sum of both, each counted once; of two empty texts 1.
 
-Defined results: null text counts as the empty text, which has one empty paragraph without leaves;
+Defined results: null text counts as the empty text, which has no section;
 white space alone is a leaf; equal doc_ids are ordered by a hash of their text; of a single row the next
 document is itself; rows without doc_id are not returned.
 """
@@ -26,43 +26,34 @@ BUCKET_ROWS = 3000
 MAX_BUCKETS = 4096
 
 
-def paragraphs(text: Column) -> Column:
-    """array<array<long>>: the leaf digests of each paragraph."""
-    leaf = rf"\s*+(?:\S++\s*+){{1,{RUN}}}+|\s++"
-    return F.transform(
-        F.split(text, r"(?<=\n)"),
-        lambda p: F.transform(F.regexp_extract_all(p, F.lit(leaf), F.lit(0)), lambda x: F.xxhash64(x)),
-    )
+_LINES = rf"(?:[^\n]*+\n){{{SECTION}}}|(?:[^\n]*+\n){{0,{SECTION - 1}}}[^\n]++\z|(?:[^\n]*+\n){{1,{SECTION - 1}}}\z"
+_LEAF = rf"\s*+(?:\S++\s*+){{1,{RUN}}}+|\s++"
 
 
-def paragraph_digests(tree: Column) -> Column:
-    return F.transform(tree, lambda leaves: F.xxhash64(leaves))
+def tree(text: Column) -> Column:
+    """array<array<array<long>>>: sections, their paragraphs, their leaves' digests. Each level is cut from the one above it only."""
+    leaves_of = lambda p: F.transform(F.regexp_extract_all(p, F.lit(_LEAF), F.lit(0)), lambda x: F.xxhash64(x))
+    own = lambda s: F.transform(F.filter(F.split(s, r"(?<=\n)"), lambda p: p != ""), leaves_of)
+    return F.transform(F.regexp_extract_all(text, F.lit(_LINES), F.lit(0)), own)
 
 
-def section_digests(tree: Column) -> Column:
-    """array<string>: SHA-256 over the digests of each section's paragraphs."""
-    own = paragraph_digests(tree)
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(tree) / F.lit(SECTION)) - 1, F.lit(0)).cast("int")),
-        lambda k: F.sha2(F.array_join(F.transform(F.slice(own, k * SECTION + 1, SECTION), lambda d: F.hex(d)), ",").cast("binary"), 256),
-    )
+def section_digest(section: Column) -> Column:
+    """SHA-256 over the digests of the section's paragraphs, each over its leaves'."""
+    return F.sha2(F.array_join(F.transform(section, lambda p: F.hex(F.xxhash64(p))), ",").cast("binary"), 256)
 
 
-def root(tree: Column) -> Column:
-    return F.sha2(F.array_join(section_digests(tree), ",").cast("binary"), 256)
+def root(nodes: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(nodes, section_digest), ",").cast("binary"), 256)
 
 
-def leaves(tree: Column) -> Column:
-    return F.flatten(tree)
+def leaves(nodes: Column) -> Column:
+    return F.flatten(F.flatten(nodes))
 
 
-def to_string(tree: Column) -> Column:
-    short = F.transform(tree, lambda p: F.array_join(F.transform(p, lambda d: F.right(F.hex(d), F.lit(8))), ""))
-    parts = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(tree) / F.lit(SECTION)) - 1, F.lit(0)).cast("int")),
-        lambda k: F.array_join(F.slice(short, k * SECTION + 1, SECTION), "."),
-    )
-    return F.concat(root(tree), F.lit(":"), F.lower(F.array_join(parts, "/")))
+def to_string(nodes: Column) -> Column:
+    short = lambda p: F.array_join(F.transform(p, lambda d: F.right(F.hex(d), F.lit(8))), "")
+    parts = F.transform(nodes, lambda s: F.array_join(F.transform(s, short), "."))
+    return F.concat(root(nodes), F.lit(":"), F.lower(F.array_join(parts, "/")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -72,11 +63,16 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """Indexes (from 0) of the paragraphs that differ, found below differing sections only; empty for equal roots."""
-    sa, sb, pa, pb = section_digests(a), section_digests(b), paragraph_digests(a), paragraph_digests(b)
-    sections = F.filter(F.sequence(F.lit(0), F.greatest(F.size(sa), F.size(sb)) - 1), lambda k: ~F.get(sa, k).eqNullSafe(F.get(sb, k)))
-    inside = F.flatten(F.transform(sections, lambda k: F.sequence(k * SECTION, k * SECTION + SECTION - 1)))
-    return F.filter(inside, lambda k: ~F.get(pa, k).eqNullSafe(F.get(pb, k)))
+    """Indexes (from 0) of the paragraphs that differ, looked for below differing sections only; empty for equal trees."""
+
+    def below(pair: Column, k: Column) -> Column:
+        both = F.zip_with(pair["a"], pair["b"], lambda x, y: ~F.xxhash64(x).eqNullSafe(F.xxhash64(y)))
+        at = F.filter(F.transform(both, lambda d, i: F.when(d, k * SECTION + i)), lambda i: i.isNotNull())
+        only = F.coalesce(pair["a"], pair["b"])  # a section that one side lacks differs as a whole
+        whole = F.transform(only, lambda _, i: k * SECTION + i)
+        return F.when(section_digest(pair["a"]) == section_digest(pair["b"]), F.array().cast("array<int>")).when(pair["a"].isNull() | pair["b"].isNull(), whole).otherwise(at)
+
+    return F.flatten(F.transform(F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b"))), below))
 
 
 def with_next(docs: DataFrame, prepare) -> DataFrame:
@@ -116,11 +112,11 @@ def with_next(docs: DataFrame, prepare) -> DataFrame:
 def fingerprint_with_edit(docs: DataFrame) -> DataFrame:
     """doc_id, text, edited and the trees of both, with likeness to the edited text's and the next document's."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    led = with_next(rows, lambda df: df.withColumn("tree", paragraphs(F.col("text"))))
+    led = with_next(rows, lambda df: df.withColumn("tree", tree(F.col("text"))))
     n = F.length("text")
     k = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_text"), F.lit(1), k))
-    out = led.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).withColumn("edited_tree", paragraphs(F.col("edited")))
+    out = led.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).withColumn("edited_tree", tree(F.col("edited")))
     return out.select(
         "doc_id",
         "n_chars",
