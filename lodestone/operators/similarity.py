@@ -15,6 +15,7 @@ from lodestone.functions.text import (
     SEMANTIC_FIELDS, TECHNICAL_TERMS, content_words, cosine_of_words, document_similarity, jaccard, keywords, literal_array, ngrams, normalize,
     structure, structure_similarity, tokens,
 )
+from lodestone.runtime import materialize
 
 
 def term_frequency(docs: DataFrame, *, id_column: str = "doc_id", column: str = "text") -> DataFrame:
@@ -81,8 +82,9 @@ def compare(a: Column, b: Column, *, enhanced: bool = False) -> Column:
 
 def near_duplicates(docs: DataFrame, *, threshold: float = DEFAULT.duplicate_threshold, sep: str = "\n\n", id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """left_id, right_id, similarity of candidate pairs at or over the threshold."""
-    pairs = candidates(docs, id_column=id_column, column=column)
-    own = features(docs, sep=sep, id_column=id_column, column=column)
+    pairs = materialize(candidates(docs, id_column=id_column, column=column), "pairs")
+    named = pairs.select(F.col("left_id").alias(id_column)).union(pairs.select("right_id")).distinct()
+    own = features(docs.join(named, id_column, "left_semi"), sep=sep, id_column=id_column, column=column)
     left = own.select(F.col(id_column).alias("left_id"), F.col("f").alias("a"))
     right = own.select(F.col(id_column).alias("right_id"), F.col("f").alias("b"))
     score = F.round(compare(F.col("a"), F.col("b")), 6)
