@@ -93,4 +93,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lodestone.llm.oracles import ORACLES
+
+    return dict(ORACLES)
