@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application (what ``--py-files`` does)."""
+    """Send this package to the executors once per application (what ``--py-files`` does).
+
+    Arrow batches of whole texts are kept small, where the session does not say otherwise: an executor holds several at once,
+    outside its heap.
+    """
+    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if now and int(now[1]) > value and not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, str(value))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
