@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from lodestone.runtime import ship_package
 
-MAX_STATES = 200_000
-MAX_CHUNKS = 350_000
+MAX_STATES = 130_000
+MAX_CHUNKS = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

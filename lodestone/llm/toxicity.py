@@ -41,6 +41,7 @@ from lodestone.runtime import materialize, ship_package
 
 SAMPLE_ROWS = 10_000
 MAX_PATTERNS = 4000
+COUNT_TASKS = 48  # a task counts some 200 documents, so its tables stay small
 MIN_DOCS, MIN_SHARE, MIN_DEVIATION = 4, 0.02, 6.0
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8, 9)
 THRESHOLD = 0.7
@@ -120,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, m
         )
 
     each = [F.sum(F.when(F.col("k") == k, F.col(y)).otherwise(0)).alias(f"{y}{k}") for k in range(1, MAX_MATCHES + 1) for y in ("toxic", "clean")]
-    counted = rows.mapInArrow(count, "pattern string, k int, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *each)
+    counted = rows.repartition(COUNT_TASKS).mapInArrow(count, "pattern string, k int, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *each)
     counts = materialize(counted.where(F.col("toxic") >= MIN_DOCS), "toxic-counts")
     total = counts.where("pattern = ''").first()
     toxic, clean = (total["toxic"], total["clean"]) if total else (0, 0)
