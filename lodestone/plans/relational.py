@@ -161,11 +161,11 @@ def set_operations(spark, sf_dir):
     return low.intersect(high).withColumn("side", F.lit("both")).union(low.subtract(high).withColumn("side", F.lit("low")))
 
 
-@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem
+@query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem
 WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY CUBE (l_returnflag, l_linestatus)""")
 def cube_pricing(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp_ntz '1998-09-02'")
-    return rows.cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"), F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"))
+    return rows.cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 4).alias("revenue"), F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
@@ -173,12 +173,12 @@ def rollup_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT o_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
+@query("""SELECT o_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
 WHERE c_mktsegment = 'BUILDING' GROUP BY o_orderkey ORDER BY revenue DESC, o_orderkey LIMIT 10""")
 def top_revenue(spark, sf_dir):
     c, o, lines = (table(spark, sf_dir, x) for x in ("customer", "orders", "lineitem"))
     joined = o.join(c.where("c_mktsegment = 'BUILDING'"), o.o_custkey == c.c_custkey, "left_semi").join(lines, o.o_orderkey == lines.l_orderkey)
-    return joined.groupBy("o_orderkey").agg(F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue")).orderBy(F.desc("revenue"), "o_orderkey").limit(10)
+    return joined.groupBy("o_orderkey").agg(F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 4).alias("revenue")).orderBy(F.desc("revenue"), "o_orderkey").limit(10)
 
 
 @query("""SELECT o_custkey, o_orderkey, rank() OVER w AS rank, o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS step FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC)""")
