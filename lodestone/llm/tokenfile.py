@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,12 +27,16 @@ from pyspark.sql import functions as F
 
 from lodestone.runtime import materialize, ship_package
 
-MAX_WORDS = 250_000
+MAX_WORDS = 350_000
 STRIPE_BYTES = 16 << 20
 _MARKS = (b".", b",")
 _LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _byte_characters() -> dict[int, str]:
     """Byte-level pretokenisers show a printable Latin-1 byte as itself and the others, in order, from U+0100 on."""
     hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
@@ -63,20 +68,22 @@ class WordCache:
         model, out, other = self.tokenizer.model.tokenize, {}, []
         for w in words:
             if w.isalpha():
-                out[w] = np.array([t.id for t in model(w.decode())], "<u4").tobytes()
+                out[w] = _packed([t.id for t in model(w.decode())])
             elif _LETTERS(w.decode()):
-                out[w] = np.array([t.id for t in model(w.decode("latin-1").translate(_BYTE_CHARACTERS))], "<u4").tobytes()
+                out[w] = _packed([t.id for t in model(w.decode("latin-1").translate(_BYTE_CHARACTERS))])
             else:
                 other.append(w)
         found = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-        return out | {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(other, found, strict=True)}
+        return out | {w: _packed(e.ids) for w, e in zip(other, found, strict=True)}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers. New words of all texts are encoded in one call."""
         split = [t.lower().split() for t in texts]  # bytes: only A-Z and ASCII white space are concerned
         young, new = self.young, set()
-        for words in split:
-            new.update(w for w in words if w not in young)
+        known_ids = [list(map(young.get, words)) for words in split]
+        for words, ids in zip(split, known_ids, strict=True):
+            if None in ids:
+                new.update(w for w, x in zip(words, ids, strict=True) if x is None)
         table = {}
         bare = {w: w[:-1] if w[-1:] in _MARKS and w[-2:-1].isalpha() else w for w in new}
         ask = []
@@ -95,8 +102,8 @@ class WordCache:
             if w is not b and w != b:
                 table[w] = table[b] + mark[w[-1:]]
         out = []
-        for words in split:
-            out.append(b"".join([table[w] if w in table else young[w] for w in words]))
+        for words, ids in zip(split, known_ids, strict=True):
+            out.append(b"".join([table[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids))
         for w in new:
             self._keep(w, table[w])
         return out
