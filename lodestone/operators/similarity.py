@@ -1,21 +1,26 @@
 """Near-duplicate detection by the weighted document similarity.
 
-Pairs are never formed over a whole table: candidates share a block of MinHash bands over word bigrams. In a block, each
-document meets the one with the smallest id (a hub), so a block of n copies gives n - 1 pairs; documents that the hub
-does not match meet each other only through other bands.
+Pairs are never formed over a whole table: equal texts are one node, named by their smallest id, and all pairs of nodes whose
+sets of lower-cased word bigrams have a Jaccard similarity of ``overlap`` or more are scored (``operators.overlap``: an exact join). A node's
+copies come back beside it. The number of pairs is that of similar texts, so a class of n unequal texts gives up to n (n - 1) / 2.
 """
 
 from __future__ import annotations
 
+from itertools import pairwise
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT
 from lodestone.functions.text import (
-    SEMANTIC_FIELDS, TECHNICAL_TERMS, content_words, cosine_of_words, document_similarity, jaccard, keywords, literal_array, ngrams, normalize,
+    SEMANTIC_FIELDS, STOP_WORDS, TECHNICAL_TERMS, content_words, cosine_of_words, document_similarity, jaccard, keywords, literal_array, ngrams, normalize,
     structure, structure_similarity, tokens,
 )
-from lodestone.runtime import materialize
+from lodestone.operators import overlap
+
+_STOP = frozenset(STOP_WORDS)
 
 
 def term_frequency(docs: DataFrame, *, id_column: str = "doc_id", column: str = "text") -> DataFrame:
@@ -25,22 +30,13 @@ def term_frequency(docs: DataFrame, *, id_column: str = "doc_id", column: str =
     return rows.groupBy(id_column, "word").agg(F.count("*").alias("n"), F.round(F.count("*") / F.first("total"), 6).alias("tf"))
 
 
-def _seeded(seed: int):
-    return lambda g: F.xxhash64(g, F.lit(seed))
-
-
-def band_keys(grams: Column, bands: int = 8, rows: int = 2) -> Column:
-    """array<long>: hashes of the MinHash bands of a set of word bigrams, given as a column."""
-    hashed = [F.array_min(F.transform(grams, _seeded(b * rows + r))) for b in range(bands) for r in range(rows)]
-    return F.array(*[F.xxhash64(F.lit(b), *hashed[b * rows : (b + 1) * rows]) for b in range(bands)])
-
-
-def candidates(docs: DataFrame, *, id_column: str = "doc_id", column: str = "text") -> DataFrame:
-    """left_id, right_id: each document beside the smallest id of each of its bands."""
-    grams = docs.where(F.length(column) > 0).select(F.col(id_column).alias("right_id"), ngrams(tokens(F.lower(normalize(F.col(column)))), 2).alias("grams"))
-    keyed = grams.repartition(F.col("right_id")).select("right_id", F.explode(F.array_distinct(band_keys(F.col("grams")))).alias("band"))
-    hubs = keyed.groupBy("band").agg(F.min("right_id").alias("left_id"))
-    return keyed.join(hubs, "band").where("left_id < right_id").select("left_id", "right_id").distinct()
+def word_bigrams(raw: bytes) -> np.ndarray:
+    """Digests of the bigrams of at least four bytes; a lone content word stands for itself, texts without either share one digest."""
+    words = raw.split()
+    grams = [g for g in map(b" ".join, pairwise(words)) if len(g) >= 4]
+    if not grams:
+        grams = [words[0] if len(words) == 1 and len(words[0]) > 1 and words[0].decode() not in _STOP else b""]
+    return overlap._digests(grams)
 
 
 def features(docs: DataFrame, *, sep: str = "\n\n", id_column: str = "doc_id", column: str = "text") -> DataFrame:
@@ -80,15 +76,23 @@ def compare(a: Column, b: Column, *, enhanced: bool = False) -> Column:
     return 0.4 * lexical + 0.25 * structure_similarity(a["structure"], b["structure"]) + 0.25 * jaccard(a["keywords"], b["keywords"]) + 0.1 * sizes
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = DEFAULT.duplicate_threshold, sep: str = "\n\n", id_column: str = "doc_id", column: str = "text") -> DataFrame:
-    """left_id, right_id, similarity of candidate pairs at or over the threshold."""
-    pairs = materialize(candidates(docs, id_column=id_column, column=column), "pairs")
-    named = pairs.select(F.col("left_id").alias(id_column)).union(pairs.select("right_id")).distinct()
-    own = features(docs.join(named, id_column, "left_semi"), sep=sep, id_column=id_column, column=column)
-    left = own.select(F.col(id_column).alias("left_id"), F.col("f").alias("a"))
-    right = own.select(F.col(id_column).alias("right_id"), F.col("f").alias("b"))
+def near_duplicates(
+    docs: DataFrame, *, threshold: float = DEFAULT.duplicate_threshold, least: float = DEFAULT.duplicate_overlap, sep: str = "\n\n", id_column: str = "doc_id", column: str = "text",
+) -> DataFrame:
+    """left_id, right_id, similarity, same_text: pairs of unequal texts at or over the threshold, and each copy beside the smallest id of its text."""
+    given = docs.where(F.length(column) > 0)
+    members, texts = overlap.representatives(given, F.sha2(F.col(column), 256), id_column=id_column, column=column)
+    words = texts.select("id", F.array_join(tokens(F.lower(normalize(F.col("text")))), " ").alias("text"))
+    pairs = overlap.verified(overlap.candidates(overlap.postings(words, word_bigrams, least), least), words, word_bigrams, least)
+    named = pairs.select(F.col("left_id").alias("id")).union(pairs.select("right_id")).distinct()
+    own = features(texts.join(named, "id", "left_semi"), sep=sep, id_column="id")
+    own = own.select("id", F.struct(*[F.col("f")[k].alias(k) for k in ("words", "structure", "keywords", "bytes", "vocabulary")]).alias("f"))
+    left = own.select(F.col("id").alias("left_id"), F.col("f").alias("a"))
+    right = own.select(F.col("id").alias("right_id"), F.col("f").alias("b"))
     score = F.round(compare(F.col("a"), F.col("b")), 6)
-    return pairs.join(left, "left_id").join(right, "right_id").select("left_id", "right_id", score.alias("similarity")).where(F.col("similarity") >= threshold)
+    scored = pairs.join(left, "left_id").join(right, "right_id").select("left_id", "right_id", score.alias("similarity"), F.lit(False).alias("same_text")).where(F.col("similarity") >= threshold)
+    copies = members.where("node < id").select(F.col("node").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("similarity"), F.lit(True).alias("same_text"))
+    return scored.union(copies.where(F.col("similarity") >= threshold))
 
 
 def duplicate_decision(existing: DataFrame, new: DataFrame, keys: list[str], *, threshold: float = DEFAULT.duplicate_threshold, version: str = "version", content: str = "content") -> DataFrame:

@@ -47,6 +47,34 @@ def test_near_duplicates_find_copies(spark):
     assert found == {(3, 100), (3, 101)}
 
 
+def test_near_duplicates_are_all_pairs_behind_unlike_hubs(spark):
+    rng = random.Random(4)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    bases = [prose(90) for _ in range(4)]
+    words = {}
+    for k in range(240):  # smaller ids, a third of a base each: they are the smallest of the bands
+        at = rng.randrange(60)
+        words[k] = [*prose(40), *bases[k % 4][at : at + 30], *prose(20)]
+    for k in range(1000, 1032):
+        words[k] = bases[k % 4][:]
+        for _ in range(rng.randrange(5)):
+            words[k][rng.randrange(90)] = f"edit{k}"
+    docs = [(k, " ".join(w)) for k, w in words.items()] + [(2000 + k, " ".join(words[1000 + k])) for k in range(6)]
+    docs += [(3000, "Sol"), (3001, "sol"), (3002, "other"), (3003, None), (3004, "")]
+    got = similarity.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    pairs = spark.createDataFrame(docs[240:], "doc_id long, text string")
+    f = similarity.features(pairs.where("length(text) > 0"))
+    both = f.alias("a").crossJoin(f.alias("b")).where("a.doc_id < b.doc_id")
+    like = both.select(F.col("a.doc_id"), F.col("b.doc_id"), F.round(similarity.compare(F.col("a.f"), F.col("b.f")), 6).alias("s")).where("s >= 0.85").collect()
+    text_of, first = dict(docs), {}
+    for k, t in docs:
+        first.setdefault(t, k)
+    want = {(a, b, s) for a, b, s in like if (first[text_of[a]] == a and first[text_of[b]] == b) or (text_of[a] == text_of[b] and first[text_of[b]] == a)}
+    assert len(want) > 80 and (3000, 3001) in {w[:2] for w in want}
+    assert {(r.left_id, r.right_id, r.similarity) for r in got} == want
+    assert all(r.same_text == (text_of[r.left_id] == text_of[r.right_id]) for r in got) and len(got) == len(want)
+
+
 def test_normalize_and_keywords(spark):
     r = one(spark, text.normalize(F.lit("  This   is\n\na  messy\n\n\ntext   with   extra   spaces  \n\n")), F.array_sort(text.keywords(F.lit("This async function calls an HTTP method of the framework."))))
     assert r[0] == "This is a messy text with extra spaces"
