@@ -32,15 +32,21 @@ def knn(vectors: DataFrame, query: list[float], k: int = 10, *, metric: str = "l
 
 def knn_batch(
     vectors: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "l2", id_column: str = "vec_id", column: str = "embedding",
-    exclude_self: bool = False, config: Config = DEFAULT,
+    exclude_self: bool = False, config: Config = DEFAULT, depth: int = 0,
 ) -> DataFrame:
     """query_id, id, score, rank of the k nearest of each row of ``queries`` (query_id, query)."""
     ship_package(vectors.sparkSession)
     n = queries.count()
     if n > config.max_sent_vectors:
+        if depth > 20:
+            raise ValueError("more rows of one query_id than max_sent_vectors")
+        # each depth deals by another hash: a hash that has dealt rows here cannot part them again
         portions = -(-n // config.max_sent_vectors)
-        bucket = F.pmod(F.xxhash64("query_id"), F.lit(portions))
-        some = [knn_batch(vectors, queries.where(bucket == b), k, metric=metric, id_column=id_column, column=column, exclude_self=exclude_self, config=config) for b in range(portions)]
+        bucket = F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(portions))
+        some = [
+            knn_batch(vectors, queries.where(bucket == b), k, metric=metric, id_column=id_column, column=column, exclude_self=exclude_self, config=config, depth=depth + 1)
+            for b in range(portions)
+        ]
         return reduce(DataFrame.unionByName, some)
     rows = queries.where("query is not null").select("query_id", "query").collect()
     by_size: dict[int, tuple[list, list]] = {}

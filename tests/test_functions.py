@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.config import Config
 from lodestone.functions import chunk, classify, code, html, quality, text, url, vectors, versions
 from lodestone.operators import crawl, packages, policies, profile, search, similarity, store
 from lodestone.sources import feeds, manifests
@@ -114,6 +115,17 @@ def test_batched_neighbours_are_the_exact_ones(spark):
             assert [r.id for r in got if r.query_id == q] == [w[0] for w in want]
 
 
+def test_batched_neighbours_in_portions(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(k, [rng.random() for _ in range(4)]) for k in range(60)], "vec_id long, embedding array<float>")
+    queries = df.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    want = sorted(map(tuple, search.knn_batch(df, queries, 3).collect()))
+    got = search.knn_batch(df, queries, 3, config=Config(max_sent_vectors=10))  # four portions, even and on the bound
+    assert sorted(map(tuple, got.collect())) == want
+    with pytest.raises(ValueError, match="query_id"):
+        search.knn_batch(df, queries.withColumn("query_id", F.lit(1)), 3, config=Config(max_sent_vectors=20))
+
+
 def test_chunks_cover_the_text(spark):
     body = "\n\n".join("p" * (50 + 37 * (k % 9)) for k in range(60))
     r = one(spark, chunk.fixed_chunks(F.lit(body)), chunk.paragraph_chunks(F.lit(body)), chunk.fixed_chunks(F.lit("")), chunk.paragraph_chunks(F.lit("short")))
