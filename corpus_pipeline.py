@@ -4,6 +4,9 @@ Each stage is a function of (spark, docs, sf_dir) and returns a DataFrame; all b
 columns of ``documents``. ``run`` writes each stage's result as Parquet to the shared folder and reads it
 back as the next stage's input, so a lost executor never costs more than the stage at work.
 
+The near-duplicate stage finds links by an exact set-similarity join, not by SimHash: at a Jaccard similarity of 0.8 fingerprints
+differ in some ten bits, and a limit that wide no longer selects. op8 keeps its fingerprints and four bits.
+
 Defined results: rows without doc_id are not kept by the near-duplicate stage; of rows that repeat a
 doc_id one stays there; extra columns of the input are dropped by the first stage.
 """
@@ -13,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, queries, simhash, substring, toxicity
+from lodestone.llm import bpe, decontam, near_copies, queries, substring, toxicity
 from lodestone.runtime import materialize
 
+SHINGLE, LEAST = 5, 0.8  # words a shingle, least Jaccard similarity of near copies
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -27,8 +31,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """The document with the smallest doc_id of each class of texts linked by a Jaccard similarity of 0.8 over five-word shingles."""
+    first = near_copies.classes(docs, width=SHINGLE, least=LEAST).where("doc_id = component_id").select("doc_id")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     kept = docs.join(first, "doc_id", "left_semi").withColumn("__row", F.row_number().over(one))
     return kept.where("__row = 1").select(*COLUMNS)

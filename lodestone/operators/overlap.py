@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.runtime import materialize, ship_package
+from lodestone.runtime import discard, materialize, ship_package
 
 SAMPLE_ROWS = 20_000
 SAMPLE_SHINGLES = 1_000_000
@@ -116,26 +116,28 @@ def postings(texts: DataFrame, cut: Cut, least: float, *, sample_rows: int = SAM
     return materialize(rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared, schema), "postings")
 
 
+def _allowed(least: float):
+    """Whether the postings ``a`` and ``b`` of one shingle allow Jaccard ``least``, and their predecessors differ."""
+    need = least / (1 + least) * (F.col("a.size") + F.col("b.size")) - 1e-6
+    first = (F.col("a.at") == 0) | (F.col("b.at") == 0) | (F.col("a.prev") != F.col("b.prev"))
+    rest = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) >= need
+    return first & rest & (F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size") - 1e-6)
+
+
 def candidates(posted: DataFrame, least: float) -> DataFrame:
     """left_id, right_id: all pairs that the postings allow. With a column ``label``, those of unequal labels only."""
     a, b = posted.alias("a"), posted.alias("b")
-    need = least / (1 + least) * (F.col("a.size") + F.col("b.size")) - 1e-6
-    both = (
-        (F.col("a.gram") == F.col("b.gram"))
-        & (F.col("a.id") < F.col("b.id"))
-        & ((F.col("a.at") == 0) | (F.col("b.at") == 0) | (F.col("a.prev") != F.col("b.prev")))
-        & (F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) >= need)
-        & (F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size") - 1e-6)
-    )
+    both = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & _allowed(least)
     if "label" in posted.columns:
         both = both & (F.col("a.label") != F.col("b.label"))
     return a.join(b, both).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
 
 
-def hubs(posted: DataFrame) -> DataFrame:
-    """left_id, right_id: each posting beside the smallest id of its shingle."""
-    least = posted.groupBy("gram").agg(F.min("id").alias("left_id"))
-    return posted.join(least, "gram").where("left_id < id").select("left_id", F.col("id").alias("right_id")).distinct()
+def hubs(posted: DataFrame, least: float) -> DataFrame:
+    """left_id, right_id: each posting beside the smallest id of its shingle, where both allow the similarity."""
+    smallest = posted.groupBy("gram").agg(F.min(F.struct("id", "prev", "size", "at")).alias("a")).alias("h")
+    pairs = posted.alias("b").join(smallest, "gram").where((F.col("a.id") < F.col("b.id")) & _allowed(least))
+    return pairs.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, cut: Cut, least: float) -> DataFrame:
@@ -146,4 +148,6 @@ def verified(pairs: DataFrame, texts: DataFrame, cut: Cut, least: float) -> Data
     left, right = sets.select(F.col("id").alias("left_id"), F.col("grams").alias("a")), sets.select(F.col("id").alias("right_id"), F.col("grams").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     good = shared * (1 + least) >= least * (F.size("a") + F.size("b")) - 1e-6
-    return materialize(pairs.join(left, "left_id").join(right, "right_id").where(good).select("left_id", "right_id"), "pairs")
+    out = materialize(pairs.join(left, "left_id").join(right, "right_id").where(good).select("left_id", "right_id"), "pairs")
+    discard(pairs)
+    return out

@@ -340,6 +340,43 @@ def test_merkle_next_document_by_brute_force(spark):
 # the pipeline
 
 
+def test_near_duplicate_stage_finds_every_copy_over_eight_tenths(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    prose = lambda n: [f"{rng.choice('bcdfg')}{rng.randrange(4000)}" for _ in range(n)]
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+    words = {1000 + k: prose(rng.randrange(60, 300)) for k in range(60)}
+    for k in range(60):  # smaller ids that share less than 0.8: they are the hubs of their shingles
+        base = words[1000 + k]
+        words[k] = [*base[: len(base) // 2], *prose(len(base) // 2)]
+    for k in range(2000, 2240):
+        base = words[1000 + k % 60]
+        words[k] = base[:]
+        for at in rng.sample(range(len(base)), rng.randrange(1, max(2, len(base) // 40))):
+            words[k][at] = "edited"
+    words |= {5000: [], 5001: [], 5002: ["One"], 5003: ["one"], 5004: ["two"]}
+    sets = {k: shingles([x.lower() for x in w]) for k, w in words.items()}
+    ids, parent = sorted(words), {k: k for k in words}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    near = 0
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            like = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if like >= 0.8:
+                near += like <= 0.95
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    rows = [(k, " ".join(w) or None, "en", "s", 0) for k, w in words.items()] + [(None, "x", "en", "s", 1), (1000, " ".join(words[1000]), "en", "s", 0)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert near > 200
+    assert sorted(r.doc_id for r in kept) == sorted({find(k) for k in words})
+
+
 def test_pipeline_takes_planted_cases_out(spark, tmp_path):
     import corpus_pipeline
 
