@@ -5,9 +5,9 @@ any position and follows the trie of token bytes; a token may follow another onl
 keep the two apart, which is decided once a pair (``TokenGraph.adjacent``). For every prefix of a
 piece exactly one chain of such tokens ends at its end, and the chain of the whole piece is the
 piece's encoding. A deterministic state is the set of positions where a longer token can still
-start, each with its trie node and its not yet emitted chain; states are built when they are first
-reached. What all chains of a state share is emitted at once, so the delay is at most the longest
-token's length.
+start, each with its trie node and what it has to remember of the token before it; states are built when they
+are first reached, and every state names the token that ends there. What the chains of all live starts share is emitted,
+so the delay is bounded by the longest token's length.
 
 Decoding looks ids up and feeds the bytes through an incremental UTF-8 state machine, so ids may
 come in any portions.
@@ -22,17 +22,21 @@ import base64
 import codecs
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.packed import taken
 from lodestone.runtime import ship_package
 
-MAX_STATES = 130_000
-MAX_CHUNKS = 250_000
+MAX_CELLS = 12_000_000  # four bytes each
+MAX_PAIRS = 250_000
+SMALL_SUBTREE = 16
+ROWS = 200
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +51,7 @@ class TokenGraph:
         self.ranks = ranks
         self.children: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
+        self.depth: list[int] = [0]
         for raw, rank in ranks.items():
             node = 0
             for byte in raw:
@@ -55,10 +60,16 @@ class TokenGraph:
                     below = self.children[node][byte] = len(self.token)
                     self.children.append({})
                     self.token.append(-1)
+                    self.depth.append(self.depth[node] + 1)
                 node = below
             self.token[node] = rank
+        self.beneath = [0] * len(self.token)  # tokens below each node, which has a smaller number than they
+        for node in range(len(self.token) - 1, -1, -1):
+            self.beneath[node] = sum(self.beneath[x] + (self.token[x] >= 0) for x in self.children[node].values())
         self.bytes_of = {rank: raw for raw, rank in ranks.items()}
-        self._adjacent: dict[int, dict[int, bool]] = {}
+        self.length_of = {rank: len(raw) for raw, rank in ranks.items()}
+        self._adjacent: dict[tuple[int, int], bool] = {}
+        self._reach: dict[tuple[int, int], int | None] = {}
         self._seams: dict[tuple[int, bool], list[tuple[bytes, float]]] = {}
 
     def _halves(self, raw: bytes) -> list[bytes]:
@@ -89,8 +100,7 @@ class TokenGraph:
 
         Of equal ranks the leftmost pair merges first: growth of the left part, then the seam, then the right part.
         """
-        known = self._adjacent.setdefault(right, {})
-        fits = known.get(left)
+        fits = self._adjacent.get((left, right))
         if fits is None:
             a, b, i, j, fits = self._seam(left, True), self._seam(right, False), 0, 0, True
             while True:
@@ -105,91 +115,179 @@ class TokenGraph:
                     i += 1
                 else:
                     j += 1
-            known[left] = fits
+            if len(self._adjacent) >= MAX_PAIRS:
+                self._adjacent.clear()
+            self._adjacent[left, right] = fits
         return fits
 
+    def reach(self, node: int, before: int) -> int | None:
+        """What a start at ``node`` has to remember of the token before it: nothing (-1) where that token fits every token below
+        the node; None where it fits none, so that the start is dead. Only small subtrees are looked through."""
+        if before < 0 or self.beneath[node] > SMALL_SUBTREE:
+            return before
+        key = node, before
+        if key in self._reach:
+            return self._reach[key]
+        fits, misses, waiting = 0, 0, list(self.children[node].values())
+        while waiting and not (fits and misses):
+            at = waiting.pop()
+            if self.token[at] >= 0:
+                good = self.adjacent(before, self.token[at])
+                fits, misses = fits + good, misses + (not good)
+            waiting += self.children[at].values()
+        out = before if fits and misses else -1 if fits else None
+        if len(self._reach) >= MAX_PAIRS:
+            self._reach.clear()
+        self._reach[key] = out
+        return out
+
 
 class Transducer:
-    """Deterministic steps over units of up to UNIT bytes, made when first needed.
+    """Deterministic steps over bytes, made when first needed and kept in one flat table of integers.
 
-    A state lists the live starts of tokens, each as (trie node its bytes have led to, token before it);
-    the last one is the end of what has been read. A step names the next state and, for each of its
-    entries, the entry of the old state whose chain of tokens it continues and the tokens it adds. What
-    all chains share is emitted. No start stays live for longer than the longest token, which bounds the
-    delay.
+    A state lists the live starts of tokens, each as (trie node its bytes have led to, what it remembers of the token before it);
+    its last entry is the end of what has been read, with the token that ends there. Short pieces take their steps
+    side by side, one array operation for a byte of each. In a long piece the tokens that all live starts share are emitted every PORTION
+    bytes; no start stays live for longer than the longest token, which bounds the delay. A full table
+    is made anew from the states in use.
     """
 
-    UNIT = 3
-    PORTION = 300
-
-    def __init__(self, graph: TokenGraph):
-        self.graph = graph
+    PORTION = 256
+    WIDTH = 64  # bytes seen so far have a column each; the table is widened when there are more
+
+    def __init__(self, graph: TokenGraph, max_cells: int = MAX_CELLS):
+        self.graph, self.max_cells = graph, max_cells
+        self.lengths = np.zeros(max(graph.bytes_of) + 1, np.int64)
+        for token, n in graph.length_of.items():
+            self.lengths[token] = n
+        self.column = np.full(256, -1, np.int64)
+        self.bytes: list[int] = []  # of each column
+        self.width = self.WIDTH
         self.start()
 
     def start(self) -> None:
-        first = ((0, -1),)
-        self.names: dict[tuple, int] = {first: 0}
-        self.states: list[tuple] = [first]
-        self.steps: dict[tuple[int, bytes], tuple[int, tuple]] = {}
-        self.adds: dict[tuple, tuple] = {}
-
-    def _step(self, name: int, unit: bytes) -> tuple[int, tuple]:
-        children, tokens, adjacent = self.graph.children, self.graph.token, self.graph.adjacent
-        live = [(node, before, k, ()) for k, (node, before) in enumerate(self.states[name])]
-        for byte in unit:
-            following, whole = [], None
-            for node, before, k, added in live:
-                below = children[node].get(byte)
-                if below is None:
-                    continue
-                if whole is None and (token := tokens[below]) >= 0 and (before < 0 or adjacent(before, token)):
-                    whole = 0, token, k, (*added, token)
-                if children[below]:
-                    following.append((below, before, k, added))
-            if whole is None:
-                raise ValueError("the merge table has no token for a byte")
-            following.append(whole)
-            live = following
-        state = tuple([(node, before) for node, before, _, _ in live])
-        after = self.names.setdefault(state, len(self.states))
-        if after == len(self.states):
+        self.names: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.ends = np.zeros(1024, np.int32)
+        self.table = np.full((1024, self.width), -1, np.int32)
+        self.first = self._name(((0, -1),))
+
+    def _name(self, state: tuple) -> int:
+        known = self.names.setdefault(state, len(self.states))
+        if known == len(self.states):
             self.states.append(state)
-        adds = tuple([(k, added) for _, _, k, added in live])
-        step = self.steps[name, unit] = after, self.adds.setdefault(adds, adds)
-        return step
+            if known == len(self.table):
+                self.table = np.concatenate((self.table, np.full_like(self.table, -1)))
+                self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+            self.ends[known] = state[-1][1]
+        return known
+
+    def _columns(self, raw: np.ndarray) -> None:
+        """Gives each byte of ``raw`` a column."""
+        for byte in np.flatnonzero(np.bincount(raw, minlength=256) * (self.column < 0)).tolist():
+            self.column[byte] = len(self.bytes)
+            self.bytes.append(byte)
+        if len(self.bytes) > self.width:
+            self.table = np.pad(self.table, ((0, 0), (0, self.width)), constant_values=-1)
+            self.width *= 2
+            self._columns(raw[:0])
+
+    def _step(self, name: int, column: int) -> int:
+        children, tokens, adjacent, reach = self.graph.children, self.graph.token, self.graph.adjacent, self.graph.reach
+        byte, live, whole = self.bytes[column], [], None
+        for node, before in self.states[name]:
+            below = children[node].get(byte)
+            if below is None:
+                continue
+            if whole is None and (token := tokens[below]) >= 0 and (before < 0 or adjacent(before, token)):
+                whole = token
+            if children[below] and (kept := reach(below, before)) is not None:
+                live.append((below, kept))
+        if whole is None:
+            raise ValueError("the merge table has no token for a byte")
+        live.append((0, whole))
+        after = self._name(tuple(live))
+        self.table[name, column] = after
+        return after
+
+    def _made_anew(self, states: np.ndarray) -> np.ndarray:
+        """The states, under their new names where the table was full."""
+        if len(self.states) * self.width <= self.max_cells:
+            return states
+        old, (used, at) = self.states, np.unique(states, return_inverse=True)
+        self.start()
+        return np.array([self._name(old[k]) for k in used.tolist()], np.int64)[at]
+
+    def encode_all(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the pieces ``raw[offsets[k] : offsets[k + 1]]`` one after the other, and the end of each piece's tokens, from 0."""
+        begins, sizes = offsets[:-1], np.diff(offsets)
+        long = np.flatnonzero(sizes > self.PORTION)
+        rows = np.argsort(-sizes, kind="stable")[len(long) :]
+        rows = rows[sizes[rows] > 0]
+        self._columns(raw)
+        last = np.zeros(len(raw), np.int32)  # for each byte, the token that ends there
+        states, own = np.full(len(rows), self.first, np.int64), begins[rows]
+        for k in range(int(sizes[rows[0]]) if len(rows) else 0):
+            m = int(np.searchsorted(-sizes[rows], -k))  # rows of more than k bytes
+            states = self._made_anew(states[:m])
+            columns = self.column[raw[own[:m] + k]]
+            after = self.table[states, columns].astype(np.int64)
+            missing = np.flatnonzero(after < 0)
+            if len(missing):
+                ask, at = np.unique(states[missing] * self.width + columns[missing], return_inverse=True)
+                after[missing] = np.array([self._step(*divmod(x, self.width)) for x in ask.tolist()], np.int64)[at]
+            states = after
+            last[own[:m] + k] = self.ends[states]
+        rounds, at = [], begins[rows] + sizes[rows]
+        left, counts = np.arange(len(rows)), np.zeros(len(sizes), np.int64)
+        while len(left):
+            tokens = last[at[left] - 1]
+            rounds.append((rows[left], tokens))
+            at[left] -= self.lengths[tokens]
+            counts[rows[left]] += 1
+            left = left[at[left] > own[left]]
+        apart = {k: self.encode(raw[begins[k] : begins[k] + sizes[k]].tobytes()) for k in long.tolist()}
+        for k, ids in apart.items():
+            counts[k] = len(ids)
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        out = np.zeros(int(ends[-1]), np.int32)
+        for k, (some, tokens) in enumerate(rounds):
+            out[ends[some + 1] - 1 - k] = tokens
+        for k, ids in apart.items():
+            out[ends[k] : ends[k + 1]] = ids
+        return out, ends
 
     def encode(self, raw: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
-            self.start()
+        """Tokens of one piece of any length, as a stream."""
         ids: list[int] = []
-        name, get, chains, size = 0, self.steps.get, [None], self.UNIT
-        for at in range(0, len(raw), size):
-            unit = raw[at : at + size]
-            name, adds = get((name, unit)) or self._step(name, unit)
-            chains = [(chains[k], added) if added else chains[k] for k, added in adds]
-            if at and not at % self.PORTION:
-                chains = self._emit(chains, ids)
-        ids += self._tokens(chains[-1])
-        return ids
-
-    @staticmethod
-    def _tokens(chain: tuple | None) -> list[int]:
-        if chain is None:
-            return []
-        if chain[0] is None:
-            return list(chain[1])
-        parts = []
-        while chain is not None:
-            chain, added = chain
-            parts.append(added)
-        return [token for added in reversed(parts) for token in added]
-
-    def _emit(self, chains: list, ids: list[int]) -> list:
-        """Moves the tokens that all chains share to ``ids``."""
-        paths = [self._tokens(chain) for chain in chains]
+        last: list[int] = []  # for each byte read and not yet emitted, the token that ends there
+        self._columns(np.frombuffer(raw, np.uint8))
+        columns, state = self.column.tolist(), int(self._made_anew(np.array([self.first]))[0])
+        for at in range(0, len(raw), self.PORTION):
+            if at:
+                self._emit(state, last, ids)
+                state = int(self._made_anew(np.array([state]))[0])
+            for byte in raw[at : at + self.PORTION]:
+                after = int(self.table[state, columns[byte]])
+                state = after if after >= 0 else self._step(state, columns[byte])
+                last.append(int(self.ends[state]))
+        return ids + self._tokens(last, len(last))
+
+    def _tokens(self, last: list[int], at: int) -> list[int]:
+        out, length_of = [], self.graph.length_of
+        while at > 0:
+            token = last[at - 1]
+            out.append(token)
+            at -= length_of[token]
+        out.reverse()
+        return out
+
+    def _emit(self, state: int, last: list[int], ids: list[int]) -> None:
+        """Moves the tokens that the chains of all live starts share from ``last`` to ``ids``."""
+        paths = [self._tokens(last, len(last) - self.graph.depth[node]) for node, _ in self.states[state]]
         same = next((k for k, at in enumerate(zip(*paths, strict=False)) if len(set(at)) > 1), min(map(len, paths)))
         ids += paths[-1][:same]
-        return [(None, tuple(path[same:])) if len(path) > same else None for path in paths]
+        del last[: sum(map(self.graph.length_of.__getitem__, paths[-1][:same]))]
 
 
 class Codec:
@@ -199,55 +297,19 @@ class Codec:
         self.transducer = Transducer(TokenGraph(ranks))
         self.find = regex.compile(pattern).findall
         self.bytes_of = self.transducer.graph.bytes_of
-        self.marks = {m: tuple(self.transducer.encode(m.encode())) for m in ".,"}
-        self.odd_space = regex.compile(r" \s|\s |^ | $").search
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a chunk that is not known. Letters after a space are one piece, a full stop or comma after them another."""
-        body = chunk[1:] if chunk[:1] == " " else chunk
-        if (out := self.chunks.get(chunk)) is not None:  # by an earlier one of the same text
-            return out
-        if (out := self.older.get(chunk)) is not None:
-            pass
-        elif body.isalpha():
-            out = tuple(self.transducer.encode(chunk.encode()))
-        elif body[-1:] in (".", ",") and body[:-1].isalpha():
-            head = chunk[:-1]
-            out = self._chunk(head) + self.marks[chunk[-1]]
-        else:
-            out = tuple(i for piece in self.find(chunk) for i in self.transducer.encode(piece.encode()))
-        if len(chunk) <= 64:
-            if len(self.chunks) >= MAX_CHUNKS:
-                self.older, self.chunks = self.chunks, {}
-            self.chunks[chunk] = out
-        return out
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids one after the other and each text's number of them. Equal pieces are encoded once."""
+        found = [self.find(text) if text else [] for text in texts]
+        pieces = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+        _, bounds, raw = pieces.dictionary.buffers()
+        offsets = np.frombuffer(bounds, np.int32)[: len(pieces.dictionary) + 1].astype(np.int64)
+        ids, ends = self.transducer.encode_all(np.frombuffer(raw or b"", np.uint8)[: offsets[-1]], offsets)
+        ids, lengths = taken(ids, ends, pieces.indices.to_numpy())
+        return ids, np.diff(np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([0, *map(len, found)])])
 
     def encode(self, text: str) -> list[int]:
-        """The pattern never joins the two sides of a single space between other characters, so the text
-        is cut there and equal chunks are encoded once."""
-        parts = text.split(" ")
-        chunks = parts[:1]
-        chunks += [" " + part for part in parts[1:]]
-        if self.odd_space(text):
-            chunks = list(self._joined(chunks))
-        found = list(map(self.chunks.get, chunks))
-        if None in found:
-            found = [self._chunk(chunk) if ids is None else ids for chunk, ids in zip(chunks, found, strict=True)]
-        return list(chain.from_iterable(found))
-
-    @staticmethod
-    def _joined(chunks: list[str]) -> Iterator[str]:
-        """Chunks put together again where the space between them has white space beside it or ends the text."""
-        waiting = chunks[0]
-        for chunk in chunks[1:]:
-            if waiting and not waiting[-1].isspace() and len(chunk) > 1 and not chunk[1].isspace():
-                yield waiting
-                waiting = chunk
-            else:
-                waiting += chunk
-        yield waiting
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -288,16 +350,18 @@ def encode(docs: DataFrame, path: str, pattern: str, *, ids: bool = True, digest
         decimal = {rank: b"%d" % rank for rank in own.bytes_of}.__getitem__ if digests else None
         for batch in batches:
             n = batch.num_rows
-            for at in range(0, n, 200):
-                part = batch.slice(at, 200)
-                found = [own.encode(text) if text else [] for text in part.column(part.num_columns - 1).to_pylist()]
-                columns, names = [*part.columns[:-1], pa.array(map(len, found), pa.int64())], [*part.schema.names[:-1], "n_tokens"]
+            for at in range(0, n, ROWS):
+                part = batch.slice(at, ROWS)
+                flat, lengths = own.encode_all(part.column(part.num_columns - 1).to_pylist())
+                columns, names = [*part.columns[:-1], pa.array(lengths, pa.int64())], [*part.schema.names[:-1], "n_tokens"]
+                offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
                 if ids:
-                    columns.append(pa.array(found, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
                     names.append("ids")
                 if digests:
-                    columns.append(pa.array([hashlib.sha256(b",".join(map(decimal, x))).hexdigest() for x in found]))
-                    columns.append(pa.array([_decoded_digest(own, x) for x in found], pa.string()))
+                    each = [flat[a:b].tolist() for a, b in pairwise(offsets.tolist())]
+                    columns.append(pa.array([hashlib.sha256(b",".join(map(decimal, x))).hexdigest() for x in each], pa.string()))
+                    columns.append(pa.array([_decoded_digest(own, x) for x in each], pa.string()))
                     names += ["ids_sha256", "decoded_sha256"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

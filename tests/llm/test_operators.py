@@ -38,6 +38,25 @@ def test_bpe_is_tiktoken():
         assert own.decode(ids) == t.encode()
 
 
+def test_bpe_small_tables_and_long_pieces_give_the_same():
+    import public_tokenizers
+    import tiktoken
+
+    ranks = bpe.read_ranks(queries.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    own = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    own.transducer = bpe.Transducer(own.transducer.graph, max_cells=5000)
+    own.transducer.PORTION = 16
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(9)
+    pieces = ["".join(rng.choice("aeinorst") for _ in range(rng.choice([3, 8, 15, 16, 17, 33, 700]))) for _ in range(400)]
+    pieces += ["".join(rng.choice("中文字符é ß😀") for _ in range(rng.randrange(1, 300))) for _ in range(100)] + ["a" * 5000, "-" * 3000, " " * 4000, "ab" * 2000]
+    texts = [" ".join(rng.sample(pieces, 5)) for _ in range(60)] + pieces
+    for k in range(0, len(texts), 40):
+        ids, lengths = own.encode_all([*texts[k : k + 40], None, ""])
+        assert ids.tolist() == [i for t in texts[k : k + 40] for i in other.encode_ordinary(t)]
+        assert lengths.tolist()[-2:] == [0, 0] and len(own.transducer.states) * own.transducer.width < 200_000
+
+
 def test_bpe_pairs_keep_apart_as_merging_says():
     graph_ = bpe.TokenGraph(bpe.read_ranks(queries.tokenizer_path("byte_bpe_multi_50k.tiktoken")))
 
