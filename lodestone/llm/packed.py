@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +40,20 @@ class PieceTable:
         if not len(pieces):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         coded = pieces.dictionary_encode()
-        different = coded.dictionary.to_pylist()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.slot) >= self.max_pieces or len(self.ids) >= self.max_ids:
             self.clear()
         slots = list(map(self.slot.get, different))
-        if None in slots:
-            new = [p for p, s in zip(different, slots, strict=True) if s is None]
-            for piece, ids in zip(new, self.encode(new), strict=True):
-                self.slot[piece] = len(self.slot)
-                self.ids.extend(ids)
-                self.ends.append(len(self.ids))
-            slots = list(map(self.slot.__getitem__, different))
+        absent = [k for k, s in enumerate(slots) if s is None]
+        if absent:
+            new = [different[k] for k in absent]
+            runs = self.encode(new)
+            names = range(len(self.slot), len(self.slot) + len(new))
+            self.slot.update(zip(new, names, strict=True))
+            self.ends.frombytes((np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs))) + len(self.ids)).tobytes())
+            self.ids.extend(chain.from_iterable(runs))
+            for k, name in zip(absent, names, strict=True):
+                slots[k] = name
         at = np.array(slots, np.int64)[coded.indices.to_numpy()]
         ids = np.frombuffer(self.ids, np.int32) if len(self.ids) else np.zeros(0, np.int32)
         return taken(ids, np.frombuffer(self.ends, np.int64), at)  # the views go, so that the arrays can grow again

@@ -222,23 +222,66 @@ def test_difference_cover_aligns_all_offsets():
 # token files
 
 
+def _texts_with_added_tokens():
+    rng = random.Random(3)
+    signs = [*" \n\t.,aAbsTJI'é中　\x85😀19  \r\x1c\u030c\u0308\u0307ßÉİ", "<|endoftext|>", "it's", "word.", "E.T.", " .", "'s."]
+    return ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["hello <|endoftext|> world", "<|ENDOFTEXT|> a", "<|startoftext|>x."]
+
+
 def test_token_files(spark, tmp_path, data):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path("word_bpe_49k.json")
-    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(TEXTS + [None])], "doc_id long, text string"))
+    more = [(10**6 + k, t) for k, t in enumerate(TEXTS + [None] + _texts_with_added_tokens())] + [(5, "one"), (5, "two words"), (5, "one"), (7, None)]
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     out = str(tmp_path / "tokens")
     tokenfile.write(docs, path, out, files=5)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    start = 0
-    got = {r.doc_id: r for r in tokenfile.offsets(tokenfile.read(spark, out)).collect()}
-    for doc_id, text in sorted((r.doc_id, r.text) for r in docs.collect()):
-        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
-        r = got[doc_id]
-        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
-    assert tokenfile.read(spark, out).where("doc_id = 7").count() == 1
+    want = sorted((r.doc_id, [*plain.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in docs.collect())
+    written = tokenfile.read(spark, out).collect()
+    assert sorted((r.doc_id, r.tokens) for r in written) == want
+    # a repeated doc_id's rows have the places that the files give them
+    start, places = 0, []
+    for r in sorted(written, key=lambda r: (r.part, r["at"])):
+        places.append((r.doc_id, start, len(r.tokens), zlib.crc32(np.array(r.tokens, "<u4").tobytes())))
+        start += len(r.tokens)
+    assert [p[0] for p in places] == sorted(p[0] for p in places)
+    assert sorted(map(tuple, tokenfile.offsets(tokenfile.read(spark, out)).collect())) == sorted(places)
+
+
+@pytest.mark.parametrize("limit", [10, 10**6])
+def test_token_table_size_does_not_matter(limit):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    own, plain = tokenfile.TextEncoder(path, max_words=limit), Tokenizer.from_file(path)
+    assert own.wordwise
+    for wordwise in (True, False):
+        own.wordwise = wordwise
+        texts = _texts_with_added_tokens()[-400:]
+        for k in range(0, len(texts), 50):
+            ids, lengths = own.encode_all(pa.array(texts[k : k + 50]))
+            each = [plain.encode(t, add_special_tokens=False).ids for t in texts[k : k + 50]]
+            assert ids.tolist() == [i for x in each for i in x] and lengths.tolist() == list(map(len, each))
+
+
+def test_token_files_skip_row_groups(spark, tmp_path):
+    """A filter on doc_id reads one row group of the file, not all."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    out = str(tmp_path / "tokens")
+    tokenfile.write(docs, queries.tokenizer_path("word_bpe_49k.json"), out, files=1, stride=1000)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one = tokenfile.read(spark, out).where("doc_id = 12345")
+        assert "EqualTo(doc_id,12345)" in one._jdf.queryExecution().executedPlan().toString()
+        assert one.count() == 1
+        one.collect()
+        plan = one._jdf.queryExecution().executedPlan()
+        assert 1 <= plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value() <= 5000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 # toxicity
