@@ -4,6 +4,9 @@ Prefix filter: in one order of all shingles, two sets with Jaccard t or more sha
 are posted. The order puts shingles that are frequent in a bounded sample last; it decides the cost, never the result. A pair comes
 from each shared shingle whose predecessors differ (the first shared one is always such), if sizes and positions allow the
 overlap; candidates are verified on the whole sets. Shingles are compared by 64 bits of XXH64.
+
+Texts are named by an id; rows with equal ids hold equal texts, and count once. Texts are never shuffled: postings, ids and the
+shingles of candidates are.
 """
 
 from __future__ import annotations
@@ -14,13 +17,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.runtime import discard, materialize, ship_package
 
 SAMPLE_ROWS = 20_000
 SAMPLE_SHINGLES = 1_000_000
+BITMAP_BITS = 26
+SEEN_IDS = 100_000  # a task leaves out copies it has met; which it remembers does not matter
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 Cut = Callable[[bytes], np.ndarray]
 
@@ -50,13 +55,35 @@ def representatives(docs: DataFrame, key, *, id_column: str = "doc_id", column:
     return materialize(members, "members"), materialize(rows.join(named, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "text"), "texts")
 
 
-def _sets(texts: DataFrame, cut: Cut) -> DataFrame:
+def _bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
+    """Which buckets of ``2**bits`` the ids fall in, as 64-bit words: at most 2**bits / 8 bytes whatever the number of ids."""
+    slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
+    words = ids.select(F.shiftrightunsigned(slot, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return out
+
+
+def _sets(texts: DataFrame, cut: Cut, wanted: DataFrame | None = None, bits: int = BITMAP_BITS) -> DataFrame:
+    """id, grams; with ``wanted`` (id), of these and some others: those that a bitmap of bounded size cannot tell from them."""
+    sent = None if wanted is None else texts.sparkSession.sparkContext.broadcast(_bitmap(wanted, bits))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            found = [cut(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "grams"])
+            if sent is not None:
+                slot = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((sent.value[slot >> 6] >> (slot & 63)) & 1 == 1))
+            new = [k for k, x in enumerate(batch.column(0).to_pylist()) if not (x in seen or seen.add(x))]
+            batch = batch.take(pa.array(new, pa.int64()))
+            seen = set() if len(seen) > SEEN_IDS else seen
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                found = [cut(x) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "grams"])
 
-    return texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "id long, grams array<long>")
+    slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
+    return texts.select("id", F.col("text").cast("binary").alias("text"), slot.alias("slot")).mapInArrow(run, "id long, grams array<long>")
 
 
 def _frequent(texts: DataFrame, cut: Cut, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,34 +97,50 @@ def _frequent(texts: DataFrame, cut: Cut, sample_rows: int) -> tuple[np.ndarray,
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by the first column, those whose value another row has."""
-    rest = None
+    """Of postings sorted by shingle and id, those whose shingle another id has, beside the first posting of the shingle."""
+    names = ["gram", "id", "prev", "size", "at"]
+    lone: list[np.ndarray] = [np.zeros(0, np.int64)] * 5  # the latest posting, while it is its shingle's only one
+    last, hub = None, None  # the latest shingle and id, and the first posting of a shingle that goes on
     for batch in batches:
-        table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
-        key = table.column(0).to_numpy()
-        if not len(key):
+        own = [np.concatenate((x, c.to_numpy())) for x, c in zip(lone, batch.columns, strict=True)]
+        same = (own[0][1:] == own[0][:-1]) & (own[1][1:] == own[1][:-1])
+        again = np.concatenate(([not len(lone[0]) and len(own[0]) > 0 and last == (own[0][0], own[1][0])], same)) if len(own[0]) else np.zeros(0, bool)
+        own = [x[~again] for x in own]
+        gram = own[0]
+        if not len(gram):
             continue
-        same = key[1:] == key[:-1]
-        keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        # the last row waits for the next batch; one that has met its like keeps that like beside it
-        last = len(key) - (2 if len(key) > 1 and same[-1] else 1)
-        yield from table.slice(0, last).filter(pa.array(keep[:last])).to_batches()
-        rest = table.slice(last).to_batches()[0]
-        rest = pa.Table.from_batches([rest]).combine_chunks().to_batches()[0]
-    if rest is not None and rest.num_rows > 1:
-        yield rest
+        starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        sizes = np.diff(np.append(starts, len(gram)))
+        hubs = [np.repeat(x[starts], sizes) for x in own[1:]]
+        keep = np.repeat(sizes > 1, sizes)
+        goes_on = hub is not None and last[0] == gram[0]
+        if goes_on:
+            keep[: sizes[0]] = True
+            for x, value in zip(hubs, hub, strict=True):
+                x[: sizes[0]] = value
+        alone = sizes[-1] == 1 and not (goes_on and len(sizes) == 1)
+        last = gram[-1], own[1][-1]
+        lone = [x[-1:] if alone else x[:0] for x in own]
+        hub = None if alone else [x[-1] for x in hubs]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*own, *hubs)], names=[*names, *(f"hub_{n}" for n in names[1:])])
 
 
 def postings(texts: DataFrame, cut: Cut, least: float, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """gram, id, prev, size, at: the prefix of each set, as far as another set's prefix shares the shingle."""
+    """gram, id, prev, size, at: the prefix of each set, as far as another set's prefix shares the shingle, beside the shingle's posting of
+    the smallest id (hub_id, hub_prev, hub_size, hub_at)."""
     spark = texts.sparkSession
     ship_package(spark)
     sent = spark.sparkContext.broadcast(_frequent(texts, cut, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sent.value
+        seen: set[int] = set()
         for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
             for id_, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if id_ in seen:
+                    continue
+                seen.add(id_)
                 grams = cut(raw)
                 n = len(grams)
                 often = np.zeros(n, np.int64)
@@ -106,48 +149,69 @@ def postings(texts: DataFrame, cut: Cut, least: float, *, sample_rows: int = SAM
                     often = np.where(known[place] == grams, counts[place], 0)
                 k = n - math.ceil(least * n - 1e-9) + 1
                 own = grams[np.lexsort((grams, often))[:k]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array(np.full(len(own), id_, np.int64)), pa.array(np.concatenate(([0], own[:-1]))), pa.array(np.full(len(own), n, np.int32)), pa.array(np.arange(len(own), dtype=np.int32))],
-                    names=["gram", "id", "prev", "size", "at"],
-                )
+                m = len(own)
+                out.append((own, np.full(m, id_, np.int64), np.concatenate(([0], own[:-1])), np.full(m, n, np.int64), np.arange(m)))
+            seen = set() if len(seen) > SEEN_IDS else seen
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["gram", "id", "prev", "size", "at"])
 
-    schema = "gram long, id long, prev long, size int, at int"
+    schema = "gram long, id long, prev long, size long, at long"
     rows = texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
-    return materialize(rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared, schema), "postings")
+    found = rows.repartition("gram").sortWithinPartitions("gram", "id").mapInArrow(_shared, f"{schema}, hub_id long, hub_prev long, hub_size long, hub_at long")
+    return materialize(found, "postings")
 
 
-def _allowed(least: float):
-    """Whether the postings ``a`` and ``b`` of one shingle allow Jaccard ``least``, and their predecessors differ."""
-    need = least / (1 + least) * (F.col("a.size") + F.col("b.size")) - 1e-6
-    first = (F.col("a.at") == 0) | (F.col("b.at") == 0) | (F.col("a.prev") != F.col("b.prev"))
-    rest = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at")) >= need
-    return first & rest & (F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size") - 1e-6)
+def _allowed(least: float, a: list[Column], b: list[Column]) -> Column:
+    """Whether two postings (prev, size, at) of one shingle allow Jaccard ``least``, and their predecessors differ."""
+    need = least / (1 + least) * (a[1] + b[1]) - 1e-6
+    first = (a[2] == 0) | (b[2] == 0) | (a[0] != b[0])
+    rest = F.least(a[1] - a[2], b[1] - b[2]) >= need
+    return first & rest & (F.least(a[1], b[1]) >= least * F.greatest(a[1], b[1]) - 1e-6)
+
+
+def _of(alias: str, prefix: str = "") -> list[Column]:
+    return [F.col(f"{alias}.{prefix}{c}") for c in ("prev", "size", "at")]
 
 
 def candidates(posted: DataFrame, least: float) -> DataFrame:
-    """left_id, right_id: all pairs that the postings allow. With a column ``label``, those of unequal labels only."""
+    """left_id, right_id: all pairs that the postings allow."""
     a, b = posted.alias("a"), posted.alias("b")
-    both = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & _allowed(least)
-    if "label" in posted.columns:
-        both = both & (F.col("a.label") != F.col("b.label"))
+    both = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & _allowed(least, _of("a"), _of("b"))
     return a.join(b, both).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
 
 
+def candidates_across(posted: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """left_id, right_id: the pairs that the postings allow between ids of unequal labels. ``labels``: node, component; other ids stand for
+    themselves. Pairs of one label are never formed: a shingle's labels meet first, then the postings of two labels."""
+    named = posted.select("gram", "id", "prev", "size", "at").join(labels, posted.id == labels.node, "left")
+    named = named.select("gram", F.coalesce("component", "id").alias("label"), "id", "prev", "size", "at")
+    several = named.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
+    mixed = materialize(named.join(several, "gram", "left_semi"), "mixed-postings")
+    own = mixed.select("gram", "label").distinct()
+    met = own.alias("x").join(own.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label")))
+    met = met.select(F.col("x.gram").alias("gram"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).alias("m")
+    left = met.join(mixed.alias("a"), (F.col("m.gram") == F.col("a.gram")) & (F.col("m.la") == F.col("a.label")))
+    left = left.select("m.gram", "lb", F.col("a.id").alias("a_id"), *[F.col(f"a.{c}").alias(f"a_{c}") for c in ("prev", "size", "at")]).alias("l")
+    allowed = _allowed(least, _of("l", "a_"), _of("b"))
+    pairs = left.join(mixed.alias("b"), (F.col("l.gram") == F.col("b.gram")) & (F.col("l.lb") == F.col("b.label")) & allowed)
+    return pairs.select(F.least("l.a_id", "b.id").alias("left_id"), F.greatest("l.a_id", "b.id").alias("right_id")).distinct()
+
+
 def hubs(posted: DataFrame, least: float) -> DataFrame:
     """left_id, right_id: each posting beside the smallest id of its shingle, where both allow the similarity."""
-    smallest = posted.groupBy("gram").agg(F.min(F.struct("id", "prev", "size", "at")).alias("a")).alias("h")
-    pairs = posted.alias("b").join(smallest, "gram").where((F.col("a.id") < F.col("b.id")) & _allowed(least))
-    return pairs.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
+    p = posted.alias("p")
+    return p.where((F.col("hub_id") < F.col("id")) & _allowed(least, _of("p", "hub_"), _of("p"))).select(F.col("hub_id").alias("left_id"), F.col("id").alias("right_id")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, cut: Cut, least: float) -> DataFrame:
     """The pairs whose whole shingle sets have Jaccard ``least`` or more."""
     pairs = materialize(pairs, "candidates")
     named = pairs.select(F.col("left_id").alias("id")).union(pairs.select("right_id")).distinct()
-    sets = _sets(texts.join(named, "id", "left_semi"), cut)
+    sets = materialize(_sets(texts, cut, named).groupBy("id").agg(F.first("grams").alias("grams")), "sets")
     left, right = sets.select(F.col("id").alias("left_id"), F.col("grams").alias("a")), sets.select(F.col("id").alias("right_id"), F.col("grams").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     good = shared * (1 + least) >= least * (F.size("a") + F.size("b")) - 1e-6
     out = materialize(pairs.join(left, "left_id").join(right, "right_id").where(good).select("left_id", "right_id"), "pairs")
     discard(pairs)
+    discard(sets)
     return out
