@@ -58,7 +58,7 @@ def representatives(docs: DataFrame, key, *, id_column: str = "doc_id", column:
 def _bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     """Which buckets of ``2**bits`` the ids fall in, as 64-bit words: at most 2**bits / 8 bytes whatever the number of ids."""
     slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
-    words = ids.select(F.shiftrightunsigned(slot, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = ids.select(F.shiftrightunsigned(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy()
     return out
