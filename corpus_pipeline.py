@@ -4,8 +4,8 @@ Each stage is a function of (spark, docs, sf_dir) and returns a DataFrame; all b
 columns of ``documents``. ``run`` writes each stage's result as Parquet to the shared folder and reads it
 back as the next stage's input, so a lost executor never costs more than the stage at work.
 
-The near-duplicate stage finds links by an exact set-similarity join, not by SimHash: at a Jaccard similarity of 0.8 fingerprints
-differ in some ten bits, and a limit that wide no longer selects. op8 keeps its fingerprints and four bits.
+The near-duplicate stage links texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Its candidates are op8's (SimHash
+fingerprints within four bits) and, since at 0.8 fingerprints differ in some ten bits, those of an exact set-similarity join.
 
 Defined results: rows without doc_id are not kept by the near-duplicate stage; of rows that repeat a
 doc_id one stays there; extra columns of the input are dropped by the first stage.

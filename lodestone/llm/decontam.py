@@ -4,7 +4,8 @@ Text is normalised by bytes: A-Z become a-z, every other ASCII byte outside 0-9
 space, bytes of non-ASCII characters stay. Words are the runs between spaces. Each window of
 ``window`` consecutive item words (or a whole shorter item) is one pattern, delimited by spaces so
 that it matches at word bounds only. Each text is scanned once; a match's end offset leads to the
-words it covers and, through the word offsets, to the place in the original text.
+words it covers and, through the word offsets, to the place in the original text. Items of more than SHARD_BYTES are dealt to several automata,
+one pass each, whose spans and items are merged.
 
 Defined results: null or wordless texts have no words and no hits; null items and wordless items
 have no window; equal windows of several items count for each of them; repeated rows are scanned
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.runtime import ship_package
+from lodestone.runtime import materialize, ship_package
 
 WINDOW = 10
-MAX_ITEM_BYTES = 64 << 20
+SHARD_BYTES = 512 << 10  # of items in one automaton: some 400 bytes of it for each, since a word stands in ten windows
 
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -95,49 +96,65 @@ def original_spans(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(first[a]), int(stop[b - 1])) for a, b in spans]
 
 
-def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, spans (byte ranges of the original), items (sorted ids).
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans without overlap that cover the same."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
-    The items are a benchmark, small by nature: their size is checked against ``MAX_ITEM_BYTES``
-    before they are sent to every executor; larger sets raise and are to be passed in several calls.
+
+def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, *, keep: tuple[str, ...] = (), shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, spans (byte ranges of the original), items (sorted ids, as strings if they are no integers).
+
+    The items are a benchmark, small by nature: what is sent to the executors at once is at most about ``shard_bytes`` of them. With
+    more, each pass over the texts takes one shard and hands its findings to the next one, through a table.
     ``keep`` names further columns of ``docs`` to carry along.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where(
-        "item_id is not null and text is not null"
-    )
+    whole = dict(items.dtypes)["item_id"] in ("tinyint", "smallint", "int", "bigint")
+    kind, arrow = ("long", pa.int64()) if whole else ("string", pa.string())
+    items = items.select(F.col("item_id").cast(kind).alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"the items hold {size} bytes, more than {MAX_ITEM_BYTES}; pass them in several calls")
-    sent = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in items.distinct().collect()])
-    kept = docs.select("doc_id", *keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, usable = cached_automaton(sent.value, window)
-        for batch in batches:
-            n_words, n_hit, spans, ids = [], [], [], []
-            for raw in batch.column(batch.num_columns - 1).to_pylist():
-                n, hit, of = scan(raw or b"", automaton, usable)
-                n_words.append(n)
-                n_hit.append(sum(b - a for a, b in hit))
-                spans.append([{"start": a, "stop": b} for a, b in original_spans(raw, hit)] if hit else [])
-                ids.append(sorted(of))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:-1],
-                    pa.array(n_words, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                    pa.array(ids, pa.list_(pa.int64())),
-                ],
-                names=[*batch.schema.names[:-1], "n_words", "n_hit", "spans", "items"],
-            )
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return docs.select("doc_id", *keep, F.col("text").cast("binary").alias("__raw")).mapInArrow(
-        run, f"{fields}, n_words long, n_hit long, spans array<struct<start:long,stop:long>>, items array<long>"
-    )
+    shards = max(1, -(-size // shard_bytes))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema.fields)
+    rows = docs.select("doc_id", *keep, F.col("text").cast("binary").alias("__raw"))
+    own = rows.columns[:-1]
+    for shard in range(shards):
+        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard) if shards > 1 else items
+        sent = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in some.collect()])
+        last = shard + 1 == shards
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last, first=shard == 0) -> Iterator[pa.RecordBatch]:
+            automaton, usable = cached_automaton(sent.value, window)
+            for batch in batches:
+                n_words, n_hit, spans, ids = [], [], [], []
+                n = batch.num_rows
+                before = zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist(), strict=True) if not first else [((), ())] * n
+                for raw, (old, known) in zip(batch.column("__raw").to_pylist(), before, strict=True):
+                    count, hit, of = scan(raw or b"", automaton, usable)
+                    hit = merged([*hit, *((x["start"], x["stop"]) for x in old)]) if old else hit
+                    n_words.append(count)
+                    n_hit.append(sum(b - a for a, b in hit))
+                    places = original_spans(raw, hit) if hit and last else hit
+                    spans.append([{"start": a, "stop": b} for a, b in places])
+                    ids.append(sorted(of.union(known)))
+                found = [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(ids, pa.list_(arrow))]
+                kept = [batch.column(c) for c in own]
+                if last:
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), *found], names=[*own, "n_words", "n_hit", "spans", "items"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*kept, batch.column("__raw"), *found], names=[*own, "__raw", "__spans", "__items"])
+
+        made = f"array<struct<start:long,stop:long>>, {'items' if last else '__items'} array<{kind}>"
+        rows = rows.mapInArrow(run, f"{fields}, n_words long, n_hit long, spans {made}" if last else f"{fields}, __raw binary, __spans {made}")
+        if not last:
+            rows = materialize(rows, "decontamination")
+    return rows
 
 
 def digest(found: DataFrame) -> DataFrame:

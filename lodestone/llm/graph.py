@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from lodestone.runtime import discard, materialize
 
 
-def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node reachable, for all nodes of ``edges`` (a long, b long).
 
     Each round gives every node the smallest label among its neighbours and itself (a partial
     aggregation, so a hub is pre-aggregated in every task), then lets labels point to their own
-    labels. Rounds stop when none changes; their number grows with the logarithm of chains' lengths.
+    labels. Rounds stop when none changes, which they must, since labels only fall; their number grows with the logarithm of chains' lengths.
     """
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).select(F.col("a").alias("n"), "l"), "labels")
-    for _ in range(max_rounds):
+    while True:
         old = labels
         heard = both.join(old, both.b == old.n).select(F.col("a").alias("n"), "l")
         # a node also tells the node that labels it what it hears, so that chains contract
@@ -33,4 +33,3 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         discard(old)
         if not changed:
             return labels.select(F.col("n").alias("node"), F.col("l").alias("component"))
-    raise RuntimeError("components did not converge")

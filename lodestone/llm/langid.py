@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-N-grams are taken over the UTF-8 bytes of the text with A-Z lower-cased and runs of other ASCII bytes
+N-grams are taken over the characters of the text with A-Z lower-cased and runs of other ASCII characters
 (digits, punctuation, white space) as one space. Counts of each language over ``2**bits`` buckets come
 from a bounded sample of the labelled rows; the log-probability matrix (buckets x languages, bounded
 by ``bits`` and MAX_LANGS) is broadcast; batches are scored sparsely: the matrix rows of a text's
@@ -24,35 +24,37 @@ from lodestone.runtime import ship_package
 BITS = 14
 SAMPLE_ROWS = 12_000
 MAX_LANGS = 500
+ROWS_A_TASK = 2000  # of the bounded sample
 PORTION = 1 << 19
-_FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint32)
+_FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(128)], np.uint32)
+_SIZES = ((1, 40503), (2, 2246822519), (3, 3266489917), (4, 668265263))  # characters of an n-gram, and a multiplier of their own
 
 
-def grams(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all 2-, 3- and 4-grams of the texts and the number of them that each text has."""
-    padded = [b"\n" + t + b"\n\n\n\n" for t in texts]
-    raw = _FOLD[np.frombuffer(b"".join(padded), np.uint8)]
-    owner = np.repeat(np.arange(len(padded)), np.fromiter(map(len, padded), np.int64, len(padded)))
+def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all 1- to 4-grams of the texts' characters, and the number of them that each text has."""
+    padded = ["\n" + t + "\n\n\n\n" for t in texts]
+    raw = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4")
+    owner = np.repeat(np.arange(len(padded), dtype=np.int32), np.fromiter(map(len, padded), np.int64, len(padded)))
+    raw = np.where(raw < 128, _FOLD[np.minimum(raw, 127)], raw)
     keep = np.ones(len(raw), bool)
     keep[1:] = (raw[1:] != 32) | (raw[:-1] != 32) | (owner[1:] != owner[:-1])
     c, owner = raw[keep], owner[keep]
-    n = len(c) - 3
-    two = c[:n] << np.uint32(8) | c[1 : n + 1]
-    three = two << np.uint32(8) | c[2 : n + 2]
-    four = three << np.uint32(8) | c[3 : n + 3]
-    shift = np.uint32(32 - bits)
-    mixed = np.stack([(g * np.uint32(m) ^ (g >> np.uint32(15))) * np.uint32(2654435761) >> shift for g, m in ((two, 40503), (three, 2246822519), (four, 3266489917))], 1)
-    inside = owner[:n] == owner[3 : n + 3] if n > 0 else np.zeros(0, bool)
-    return mixed[inside].reshape(-1).astype(np.int64), np.bincount(owner[:n][inside], minlength=len(padded)) * 3
-
-
-def portions(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about PORTION bytes, so that the arrays stay small; a longer text is one run."""
+    n = max(len(c) - 3, 0)
+    shift, rolled, mixed = np.uint32(32 - bits), np.zeros(n, np.uint32), []
+    for k, (_, multiplier) in enumerate(_SIZES):
+        rolled = (rolled ^ (rolled >> np.uint32(13))) * np.uint32(0x01000193) + c[k : k + n]
+        mixed.append((rolled * np.uint32(multiplier) ^ (rolled >> np.uint32(15))) * np.uint32(2654435761) >> shift)
+    inside = owner[:n] == owner[3 : n + 3]
+    return np.stack(mixed, 1)[inside].reshape(-1).astype(np.int64), np.bincount(owner[:n][inside], minlength=len(padded)) * len(_SIZES)
+
+
+def portions(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about PORTION characters, so that the arrays stay small; a longer text is one run."""
     start, size = 0, 0
     for k, t in enumerate(texts):
-        size += len(t or b"")
+        size += len(t or "")
         if size >= PORTION or k + 1 == len(texts):
-            yield start, [x or b"" for x in texts[start : k + 1]]
+            yield start, [x or "" for x in texts[start : k + 1]]
             start, size = k + 1, 0
 
 
@@ -85,7 +87,7 @@ def fit(docs: DataFrame, labelled: Column, *, bits: int = BITS, sample_rows: int
             some = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(own[some])], names=["lang", "bucket", "n"])
 
-    sample = rows.where(drawn).select("lang", F.col("text").cast("binary").alias("text")).repartition(6)
+    sample = rows.where(drawn).select("lang", "text").repartition(max(1, sample_rows // ROWS_A_TASK))
     counts = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     langs: dict[str, np.ndarray] = {}
     for lang, bucket, n in counts.toLocalIterator():
@@ -124,10 +126,10 @@ def predict(docs: DataFrame, model, *, keep: tuple[str, ...] = ()) -> DataFrame:
     kept = docs.select("doc_id", *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("doc_id", *keep, letters.alias("__letters"), F.col("text").cast("binary").alias("__raw")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select("doc_id", *keep, letters.alias("__letters"), F.col("text").alias("__raw")).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
-def score_batch(texts: list[bytes], names: list[str], table: np.ndarray, bits: int) -> tuple[list[str], list[float]]:
+def score_batch(texts: list[str], names: list[str], table: np.ndarray, bits: int) -> tuple[list[str], list[float]]:
     if not names:
         return ["und"] * len(texts), [0.0] * len(texts)
     buckets, each = grams(texts, bits)

@@ -2,8 +2,8 @@
 
 A paragraph is a line with its line end; runs of up to RUN words with the white space around them are its
 leaves, so that the leaves of a text, one after the other, are the text. A section is SECTION
-paragraphs. A node's digest covers its children's in order; the root (SHA-256) tests equality of
-whole texts, and where two trees differ, the differing sections and then their paragraphs locate the edit.
+paragraphs. A node's digest covers its children's in order: a leaf is 64 bits of XXH64, and so is a paragraph over its leaves, a section and the
+root are SHA-256 over these, so that the root tests equality of whole texts (up to 64-bit collisions of runs), and where two trees differ, the differing sections and then their paragraphs locate the edit.
 
 The fingerprint as a string: the root, a colon, and the leaves' digests (low 32 bits), with ``.`` between
 paragraphs and ``/`` between sections. Likeness of two fingerprints: twice the leaf digests in common
@@ -75,6 +75,17 @@ def differing(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b"))), below))
 
 
+def _range_of(value: Column, cuts: list[int], step: int = 64) -> Column:
+    """How many of the sorted ``cuts`` are not above ``value``: every 64th is looked at, then those up to the next."""
+    below = lambda some: F.size(F.filter(some, lambda c: c <= value))
+    literals = lambda some: F.array(*[F.lit(c).cast("long") for c in some]) if some else F.array().cast("array<bigint>")
+    if len(cuts) <= step:
+        return below(literals(cuts))
+    parts = F.array(*[literals(cuts[k : k + step]) for k in range(0, len(cuts), step)])
+    coarse = F.greatest(below(literals(cuts[::step])) - 1, F.lit(0))
+    return coarse * step + below(F.get(parts, coarse))
+
+
 def with_next(docs: DataFrame, prepare) -> DataFrame:
     """Each row beside the next one by ascending doc_id (after the last: the first), as ``next_<column>``.
 
@@ -88,8 +99,7 @@ def with_next(docs: DataFrame, prepare) -> DataFrame:
     least = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, min(MAX_BUCKETS, n, max(least, n // BUCKET_ROWS)))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 20_000)).first()[0] if buckets > 1 else []
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<bigint>")
-    dealt = rows.withColumn("__bucket", F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))))
+    dealt = rows.withColumn("__bucket", _range_of(F.col("doc_id"), sorted({int(c) for c in cuts or []})))
     first = {r[0]: r[1] for r in dealt.groupBy("__bucket").agg(F.min("doc_id")).collect()}
     names = sorted(first)
     size = (names[-1] if names else 0) + 1

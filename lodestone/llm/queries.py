@@ -41,6 +41,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.to_string(F.col("edited_tree")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
+        F.size(merkle.differing(F.col("tree"), F.col("edited_tree"))).alias("n_differing"),
     )
 
 

@@ -10,8 +10,8 @@ is indexed under its own signatures and probes all signatures within t_i; candid
 all 64 bits.
 
 Equal fingerprints are one node. In a bucket, a search from node to unvisited node finds what is
-connected without listing pairs. A bucket of more than ``bucket_limit`` fingerprints is never gathered:
-its members are linked through midpoints (two fingerprints within 4 bits share a value within 2 bits
+connected without listing pairs. A bucket of more than ``bucket_limit`` rows (members and probes) is never gathered:
+its rows are linked through midpoints (two fingerprints within 4 bits share a value within 2 bits
 of both), where each midpoint links its members to the smallest - exact and linear.
 
 Defined results: null texts and texts without words have fingerprint zero, linked like any other;
@@ -153,7 +153,7 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def connect(values: np.ndarray, member: np.ndarray, limit: int) -> list[tuple[int, int]]:
+def connect(values: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Edges that connect what is linked in one bucket: a search that looks at unvisited nodes only."""
     left, edges = np.arange(len(values)), []
     while len(left):
@@ -169,9 +169,10 @@ def connect(values: np.ndarray, member: np.ndarray, limit: int) -> list[tuple[in
     return edges
 
 
-def _bucket_edges(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by bucket: edges between the fingerprints of each bucket."""
-    rest_key, rest_fp, rest_in = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+def _bucket_edges(batches: Iterator[pa.RecordBatch], limit: int, bucket_limit: int) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by bucket: edges between the fingerprints of each bucket. Of a bucket with more than ``bucket_limit`` rows, probes
+    included, each fingerprint comes out beside itself instead, as the rows come."""
+    rest_key, rest_fp, rest_in, large = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), None
 
     def flush(key, fp, inside):
         bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
@@ -181,16 +182,37 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.
         for k in np.flatnonzero((sizes > 1) & (indexed > 0)).tolist():
             values = np.unique(fp[bounds[k] : bounds[k + 1]].view(np.uint64))
             if len(values) > 1:
-                for i, j in connect(values, inside, limit):
+                for i, j in connect(values, limit):
                     a.append(int(values[i]))
                     b.append(int(values[j]))
         return pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))], names=["x", "y"])
 
+    def themselves(fp):
+        return pa.RecordBatch.from_arrays([pa.array(fp), pa.array(fp)], names=["x", "y"])
+
     for batch in batches:
         key = np.concatenate((rest_key, batch.column(0).to_numpy()))
         fp = np.concatenate((rest_fp, batch.column(1).to_numpy()))
         inside = np.concatenate((rest_in, batch.column(2).to_numpy(zero_copy_only=False)))
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on
+        if not len(key):
+            continue
+        if large is not None:  # more of the bucket that goes by midpoints
+            n = int(np.searchsorted(key, large, "right"))
+            yield themselves(fp[:n])
+            key, fp, inside = key[n:], fp[n:], inside[n:]
+            if not len(key):
+                rest_key, rest_fp, rest_in = key, fp, inside
+                continue
+            large = None
+        cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+        bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        wide = np.repeat(np.diff(bounds) > bucket_limit, np.diff(bounds))
+        if wide.any():
+            yield themselves(fp[wide])
+            if wide[-1]:
+                large = int(key[-1])
+            cut = int((~wide[:cut]).sum())
+            key, fp, inside = key[~wide], fp[~wide], inside[~wide]
         if cut:
             yield flush(key[:cut], fp[:cut], inside[:cut])
         rest_key, rest_fp, rest_in = key[cut:], fp[cut:], inside[cut:]
@@ -219,16 +241,11 @@ def links(nodes: DataFrame, *, limit: int = LIMIT, sample_rows: int = SAMPLE_ROW
                     )
 
     probes = nodes.select("fp").mapInArrow(probe, "key long, fp long, inside boolean")
-    # only buckets that index several fingerprints, or one that others probe, have candidates; large ones go by midpoints
-    large = probes.where("inside").groupBy("key").count().where(F.col("count") > bucket_limit).select("key")
-    large = materialize(large, "large")
-    some = large.limit(1).count() > 0
-    small = probes.join(large, "key", "left_anti") if some else probes
-    found = small.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _bucket_edges(it, limit), "x long, y long")
-    if some:
-        hot = probes.join(large, "key", "left_semi").select("fp").distinct()
-        found = found.union(midpoint_links(hot, limit))
-    return found.distinct()
+    found = probes.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _bucket_edges(it, limit, bucket_limit), "x long, y long")
+    found = materialize(found.distinct(), "links")
+    hot = found.where("x = y").select(F.col("x").alias("fp"))
+    found = found.where("x <> y")
+    return found.union(midpoint_links(hot, limit)).distinct() if hot.limit(1).count() else found
 
 
 def midpoint_links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:

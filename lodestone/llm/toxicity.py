@@ -2,20 +2,23 @@
 
 The lexicon is learned from labelled rows: patterns are whole words or word beginnings (``stem*``) that
 stand in far more toxic than clean training documents. A pattern's evidence is a log-ratio for one, two,
-and three or more matches in a document, because a stem may turn up once by chance. Copies among
+and three or more matches in a document (it is flat from there on), because a stem may turn up once by chance. Copies among
 the training rows count once (by the least hash of their word shingles), so that the words
 of a copied document are not taken for insults.
 
-A text is cut into clauses at line ends and sentence marks. Transducers read a clause's words and are
-composed by reading them in one pass:
+A text is cut into clauses at line ends and sentence marks, and a clause's words into symbols: their class (negator, target, urge,
+verb of saying, quotation mark, other) and whether they are lexicon words. Five transducers read the symbols; each is a table of arcs
+(state, symbol) -> (state, mark):
 
-* insult: a lexicon word, which emits its pattern;
-* threat: a word of future or duty up to three words before a lexicon word;
-* target: an addressed person up to four words to either side;
-* negation: a negator up to three words before;
-* reported speech: a verb of saying before it in the clause, or quotation marks in it.
+* insult: a lexicon word emits its pattern;
+* threat: marks one after a word of future or duty up to three words before;
+* target: marks one with an addressed person up to four words to either side. What follows is not known yet, so this one
+  guesses: one arc marks the word and dies unless a person follows in time, the other does not and dies if one follows;
+* negation: marks one after a negator up to three words before;
+* reported speech: marks one after a verb of saying or an opened quotation in the clause.
 
-The weights of the last four are log-ratios between lexicon words in toxic and in clean training
+The grammar is their composition, made state by state when first needed; a clause's reading is its best accepted path,
+and its weight the sum of the marks' weights on it. The weights are log-ratios between lexicon words in toxic and in clean training
 documents, shrunk to 0 where there are few. A document scores the logistic of the prior, the evidence of
 the patterns by their matched clauses, and the weights of the best such clause of each pattern.
 
@@ -30,7 +33,8 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from itertools import product
 
 import pyarrow as pa
 import xxhash
@@ -40,12 +44,11 @@ from pyspark.sql import functions as F
 from lodestone.runtime import materialize, ship_package
 
 SAMPLE_ROWS = 10_000
-MAX_PATTERNS = 4000
 COUNT_TASKS = 48  # a task counts some 200 documents, so its tables stay small
 MIN_DOCS, MIN_SHARE, MIN_DEVIATION = 4, 0.02, 6.0
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8, 9)
 THRESHOLD = 0.7
-MAX_MATCHES = 3
+MAX_MATCHES = 3  # of one pattern in a document; its evidence is flat from there on
 MISSING = 2.5
 MODIFIERS = ("threat", "target", "negation", "report")
 
@@ -55,17 +58,20 @@ TARGETS = "you your you're he she they him her them his their du dich dir ihr eu
 URGES = "will shall going gonna must werde wirst wird werden voy vas va vamos vais allons allez vont".split()
 REPORTS = "said says say told tells quote quoted wrote writes called sagte sagt schrieb dijo dice escribió dit disait écrit".split()
 
-_CLASS = {w: c for c, ws in (("n", NEGATORS), ("t", TARGETS), ("u", URGES), ("r", REPORTS)) for w in ws}
+QUOTES = ('"', "“", "„", "«")
+CLASSES = {"n": NEGATORS, "t": TARGETS, "u": URGES, "r": REPORTS, "q": QUOTES}
+
+_CLASS = {w: c for c, ws in CLASSES.items() for w in ws}
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_SYMBOL = re.compile(rf"{_WORD.pattern}|[{''.join(QUOTES)}]")
 
 
 def patterns(text: str) -> Counter:
     """What a text may be recognised by, with the times it is there: words and, with a star, the beginnings of them."""
     out: Counter = Counter()
     for w, k in Counter(_WORD.findall(text.lower())).items():
-        if len(w) <= 24:
-            out[w] += k
+        out[w] += k
         for n in STEM_LENGTHS:
             if len(w) > n:
                 out[w[:n] + "*"] += k
@@ -94,14 +100,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, seed: in
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["text", "toxic", "copy_key"])
 
     keyed = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(key, "text string, toxic int, copy_key long")
-    return keyed.dropDuplicates(["copy_key", "toxic"]).select("text", "toxic")
+    return keyed.groupBy("copy_key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, max_patterns: int = MAX_PATTERNS, seed: int = 11) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> dict:
     """The model: {"evidence": {pattern: log-ratios for 1, 2 and 3 or more matches}, "prior": log-odds, "weights": {modifier: weight}}.
 
     ``labels``: doc_id, toxic, restricted to the rows to learn from. Each task counts its documents by
-    pattern and label before the shuffle; the driver gets at most ``max_patterns`` rows.
+    pattern and label before the shuffle; the driver gets the telling patterns, which the sample's
+    rows bound: each stands in MIN_SHARE of the toxic ones at least.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -130,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, m
     share = toxic / (toxic + clean)
     expected = (F.col("toxic") + F.col("clean")) * share
     telling = counts.where("pattern <> ''").where(F.col("toxic") >= max(MIN_DOCS, MIN_SHARE * toxic)).where(F.col("toxic") - expected >= MIN_DEVIATION * F.sqrt(expected))
-    found = {r["pattern"]: r for r in telling.orderBy(F.desc("toxic"), "pattern").limit(max_patterns).collect()}
+    found = {r["pattern"]: r for r in telling.orderBy(F.desc("toxic"), "pattern").collect()}
     prior = math.log(toxic / clean)
     evidence = {p: _evidence(found[p], share, prior) for p in _choose({p: r["toxic"] for p, r in found.items()})}
     model = {"evidence": evidence, "prior": prior, "weights": dict.fromkeys(MODIFIERS, 0.0)}
@@ -176,8 +183,71 @@ def fit_modifiers(rows: DataFrame, model: dict, shrink: float = 8.0) -> dict[str
     return out
 
 
+Arcs = tuple[tuple[Hashable, str | None], ...]
+SYMBOLS = tuple(c + hit for c in "nturqo" for hit in ("", "!"))  # a class of words, and ! for lexicon words
+
+
+class Transducer:
+    """Arcs by (state, symbol), closed from ``start`` under ``step``; a path is accepted if it ends in a state of ``final``."""
+
+    def __init__(self, start: Hashable, step: Callable[[Hashable, str, bool], Arcs], final: Callable[[Hashable], bool] = lambda state: True):
+        self.start, self.arcs, waiting = start, {}, [start]
+        for state in waiting:
+            for symbol in SYMBOLS:
+                self.arcs[state, symbol] = step(state, symbol[0], symbol[1:] == "!")
+                waiting += [to for to, _ in self.arcs[state, symbol] if to not in waiting]
+        self.final = frozenset(filter(final, waiting))
+
+
+def after(kind: str, span: int, mark: str) -> Transducer:
+    """Marks lexicon words up to ``span`` words after one of the class. The state: for how many words more."""
+
+    def step(left: int, own: str, hit: bool) -> Arcs:
+        to = span if own == kind else left if own == "q" else max(left - 1, 0)
+        return ((to, mark if hit and left else None),)
+
+    return Transducer(0, step)
+
+
+def ever_after(kinds: str, mark: str) -> Transducer:
+    """Marks lexicon words after any of the classes in the clause."""
+    return Transducer(False, lambda seen, own, hit: ((seen or own in kinds, mark if hit and seen else None),))
+
+
+def around(kind: str, span: int, mark: str) -> Transducer:
+    """Marks lexicon words with one of the class up to ``span`` words before or after.
+
+    The state: for how many words more one before counts, within how many words one has to follow, and for how many none may.
+    """
+
+    def step(state: tuple[int, int, int], own: str, hit: bool) -> Arcs:
+        before, need, shun = state
+        if own == "q":
+            return ((state, None),)
+        if own == kind:
+            if shun:
+                return ()
+            to = span, 0, 0
+        elif need == 1:
+            return ()
+        else:
+            to = max(before - 1, 0), max(need - 1, 0), max(shun - 1, 0)
+        if not hit:
+            return ((to, None),)
+        if before:
+            return ((to, mark),)
+        follows = to[0], to[1] or span, to[2]
+        return ((follows, mark), ((to[0], to[1], span), None))
+
+    return Transducer((0, 0, 0), step, lambda state: not state[1])
+
+
+TRANSDUCERS = (after("u", 3, "threat"), around("t", 4, "target"), after("n", 3, "negation"), ever_after("rq", "report"))
+
+
 class Grammar:
-    """The composed transducers of a model."""
+    """The composition of a model's transducers. Its arcs are made when first needed; there are at most as many states as
+    combinations of the parts' states."""
 
     def __init__(self, model: dict):
         self.evidence = model["evidence"]
@@ -185,6 +255,36 @@ class Grammar:
         self.lengths = sorted({len(p) - 1 for p in self.evidence if p.endswith("*")})
         heads = sorted({p.rstrip("*")[:3] for p in self.evidence})
         self.find = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, heads))})[^\W\d_]*").finditer if heads else lambda text: iter(())
+        self.arcs: dict[tuple, list[tuple[tuple, list[str], float]]] = {}
+
+    def _arcs(self, state: tuple, symbol: str) -> list[tuple[tuple, list[str], float]]:
+        """(state, marks, weight) of the composed arcs."""
+        known = self.arcs.get((state, symbol))
+        if known is None:
+            known = []
+            for some in product(*(t.arcs[own, symbol] for t, own in zip(TRANSDUCERS, state, strict=True))):
+                marks = [mark for _, mark in some if mark]
+                known.append((tuple(to for to, _ in some), marks, sum(self.weights[m] for m in marks)))
+            self.arcs[state, symbol] = known
+        return known
+
+    def read(self, symbols: list[str]) -> tuple[float, list[list[str]]]:
+        """Weight of the best accepted path and its marks for each lexicon word."""
+        best: dict[tuple, tuple[float, tuple]] = {tuple(t.start for t in TRANSDUCERS): (0.0, ())}
+        for symbol in symbols:
+            following: dict[tuple, tuple[float, tuple]] = {}
+            hit = symbol[1:] == "!"
+            for state, (weight, path) in best.items():
+                for to, marks, more in self._arcs(state, symbol):
+                    if to not in following or following[to][0] < weight + more:
+                        following[to] = weight + more, (path, marks) if hit else path
+            best = following
+        weight, path = max((found for state, found in best.items() if all(own in t.final for t, own in zip(TRANSDUCERS, state, strict=True))), key=lambda x: x[0])
+        out = []
+        while path:
+            path, marks = path
+            out.append(marks)
+        return weight, out[::-1]
 
     def pattern(self, word: str) -> str | None:
         if word in self.evidence:
@@ -207,19 +307,10 @@ class Grammar:
             yield clause, self._read(clause, hits)
 
     def _read(self, clause: str, hits: dict[int, str]) -> list[tuple[str, list[str]]]:
-        words = list(_WORD.finditer(clause))
-        kinds = [_CLASS.get(m.group()) for m in words]
-        quoted = any(m in clause for m in ('"', "“", "„", "«"))
-        last, out = {"n": -99, "t": -99, "u": -99, "r": -99}, []
-        for k, (word, kind) in enumerate(zip(words, kinds, strict=True)):
-            pattern = hits.get(word.start())
-            if pattern is not None:
-                marks = ["threat"] * (k - last["u"] <= 3) + ["target"] * (k - last["t"] <= 4 or "t" in kinds[k + 1 : k + 5])
-                marks += ["negation"] * (k - last["n"] <= 3) + ["report"] * (quoted or last["r"] >= 0)
-                out.append((pattern, marks))
-            if kind:
-                last[kind] = k
-        return out
+        found = list(_SYMBOL.finditer(clause))
+        own = [hits.get(m.start()) for m in found]
+        _, marks = self.read([_CLASS.get(m.group(), "o") + ("!" if p else "") for m, p in zip(found, own, strict=True)])
+        return list(zip(filter(None, own), marks, strict=True))
 
     def score(self, text: str) -> tuple[float, int]:
         """(probability, number of matched clauses)."""

@@ -12,9 +12,10 @@ Files go to a folder that all executors share, through pyarrow's file systems. A
 own attempt and only names of successful tasks reach the tables of captures and directories, so retried
 and lost tasks leave nothing that is read.
 
-Defined results: null html is an empty payload; null or odd URLs have a key of their text after an empty
-host; equal URLs are all captured, in page_id order; an empty table makes an archive without records;
-pages without page_id are not written; of rows that repeat a page_id and payload one is the response.
+Defined results: null html is an empty payload; URLs without ``://`` have a key of their text,
+null ones one of their own; equal URLs are all captured, in page_id order; an empty table makes an archive without records;
+pages without page_id are not written; rows that repeat a page_id and payload are each a record, both responses or both revisits;
+unequal payloads under one page_id are judged each by its own.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -41,6 +43,7 @@ BLOCK_ROWS = 1000
 LEVEL = 1
 GAP = 1 << 16
 REQUEST = 8 << 20
+FOUND_ROWS = 10_000
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of capture
 
 
@@ -49,9 +52,9 @@ def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def capture_key(url: Column) -> Column:
-    """Reversed host, a bracket, then what follows the host; an empty host for other texts."""
+    """Reversed host, a bracket, then what follows the host; other texts come after a question mark, which no host holds, null as a number sign."""
     rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)$", 1)
-    return F.coalesce(F.when(url.contains("://"), F.concat(urlfilter.key(urlfilter.host(url)), F.lit(")"), rest)).otherwise(F.concat(F.lit(")"), url)), F.lit(")"))
+    return F.coalesce(F.when(url.contains("://"), F.concat(urlfilter.key(urlfilter.host(url)), F.lit(")"), rest)).otherwise(F.concat(F.lit("?"), url)), F.lit("#"))
 
 
 def payload_digest(payload: Column) -> Column:
@@ -106,10 +109,10 @@ class Archive:
 
 
 def decide(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, refers_to of the revisits only. Digests are pre-aggregated in each task."""
+    """page_id, digest, n, refers_to of the revisits only. Digests are pre-aggregated in each task."""
     seen = pages.select("page_id", F.octet_length("payload").alias("n"), payload_digest(F.col("payload")).alias("digest")).where(F.col("n") >= min_revisit)
     kept = seen.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return seen.join(kept, ["digest", "n"]).where("page_id <> refers_to").select("page_id", "refers_to")
+    return seen.join(kept, ["digest", "n"]).where("page_id <> refers_to").select("page_id", "digest", "n", "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str | None = None, *, min_revisit: int = MIN_REVISIT, block_rows: int = BLOCK_ROWS) -> Archive:
@@ -118,8 +121,9 @@ def write(pages: DataFrame, folder: str | None = None, *, min_revisit: int = MIN
     ship_package(spark)
     folder = folder or scratch_path(spark, "warc")
     rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    revisits = materialize(decide(rows, min_revisit), "revisits").dropDuplicates(["page_id"])
-    made = rows.join(revisits.hint("shuffle_hash"), "page_id", "left").select("page_id", "url", capture_key(F.col("url")).alias("key"), payload_digest(F.col("payload")).alias("digest"), "refers_to", "payload")
+    revisits = materialize(decide(rows, min_revisit), "revisits")
+    keyed = rows.select("page_id", "url", capture_key(F.col("url")).alias("key"), payload_digest(F.col("payload")).alias("digest"), F.octet_length("payload").alias("n"), "payload")
+    made = keyed.join(revisits, ["page_id", "digest", "n"], "left").select("page_id", "url", "key", "digest", "refers_to", "payload")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = _file_system(folder)
@@ -201,37 +205,44 @@ class Directory:
             self.blocks = {k: [json.loads(line) for line in raw.decode().split("\n")]}
         return self.blocks[k]
 
-    def find(self, key: str) -> Iterator[tuple[int, str, int, int]]:
-        """(page_id, file, offset, length) of the captures with this key."""
-        for part in range(max(0, bisect_left(self.firsts, key) - 1), bisect_right(self.firsts, key)):
-            rows = self._open(self.stems[part])
-            firsts = [r[0] for r in rows]
-            for k in range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key)):
-                lines = self._block(self.stems[part], k)
-                at = bisect_left(lines, [key])
-                while at < len(lines) and lines[at][0] == key:
-                    yield tuple(lines[at][1:])
-                    at += 1
+    def find(self, part: int, key: str) -> Iterator[tuple[int, str, int, int]]:
+        """(page_id, file, offset, length) of the captures with this key in an index file."""
+        rows = self._open(self.stems[part])
+        firsts = [r[0] for r in rows]
+        for k in range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key)):
+            lines = self._block(self.stems[part], k)
+            at = bisect_left(lines, [key])
+            while at < len(lines) and lines[at][0] == key:
+                yield tuple(lines[at][1:])
+                at += 1
 
 
 def look_up(archive: Archive, urls: DataFrame) -> DataFrame:
     """page_id, file, offset, length of all captures of the distinct ``url`` values.
 
-    Keys are sorted before the look-ups, so each task goes through few directories and blocks, in order.
+    Each key is sent once for each index file that may hold it, so a hot key's captures are listed by as many tasks as files
+    they fill, in bounded batches. Look-ups are sorted by file and key, so each task goes through few directories and blocks, in order.
     """
     spark, folder = urls.sparkSession, archive.folder
     ship_package(spark)
     sent = spark.sparkContext.broadcast(archive.roots)
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = [k for k, _ in sent.value]
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            spans = [range(max(0, bisect_left(firsts, key) - 1), bisect_right(firsts, key)) for key in keys]
+            yield pa.RecordBatch.from_arrays([pa.array([k for s in spans for k in s], pa.int32()), pa.array([key for key, s in zip(keys, spans, strict=True) for _ in s], pa.string())], names=["part", "key"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Directory(folder, sent.value)
         for batch in batches:
-            found = [x for key in batch.column(0).to_pylist() for x in index.find(key)]
-            cols = list(zip(*found, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "file", "offset", "length"])
+            found = (x for part, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in index.find(part, key))
+            while some := list(islice(found, FOUND_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "file", "offset", "length"])
 
-    keys = urls.select(capture_key(F.col("url")).alias("key")).distinct().repartitionByRange("key").sortWithinPartitions("key")
-    return keys.mapInArrow(run, "page_id long, file string, offset long, length long")
+    keys = urls.select(capture_key(F.col("url")).alias("key")).distinct().mapInArrow(places, "part int, key string")
+    return keys.repartitionByRange("part", "key").sortWithinPartitions("part", "key").mapInArrow(run, "page_id long, file string, offset long, length long")
 
 
 def read(archive: Archive, places: DataFrame) -> DataFrame:

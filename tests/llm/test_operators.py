@@ -113,11 +113,17 @@ def test_decontamination_by_brute_force(spark):
         assert covered == [words[i] for i in sorted(hit)]
 
 
-def test_decontamination_checks_the_items_size(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "MAX_ITEM_BYTES", 3)
-    rows = spark.createDataFrame([(1, "abcdef")], "item_id long, text string")
-    with pytest.raises(ValueError):
-        decontam.annotate(rows.withColumnRenamed("item_id", "doc_id"), rows)
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_decontamination_in_shards_gives_the_same(spark, kind):
+    rng = random.Random(14)
+    items = [(k, " ".join(f"w{rng.randrange(60)}" for _ in range(rng.choice([2, 9, 12, 30])))) for k in range(40)]
+    docs = [(k, " ".join([*(f"w{rng.randrange(60)}" for _ in range(40)), rng.choice(items)[1], "end", rng.choice(items)[1]])) for k in range(50)] + [(7, None), (7, "w1")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string").select(F.concat(F.lit("" if kind == "long" else "item "), "item_id").cast(kind).alias("item_id"), "text")
+    one, many = decontam.annotate(d, i), decontam.annotate(d, i, shard_bytes=300)
+    assert dict(many.dtypes)["items"] == f"array<{'bigint' if kind == 'long' else kind}>"
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    assert one.where("size(items) > 1").count() > 30
 
 
 # SimHash
@@ -146,7 +152,7 @@ def _linked(values, limit=4):
     return [find(k) for k in range(len(values))]
 
 
-@pytest.mark.parametrize("bucket_limit", [20_000, 3])
+@pytest.mark.parametrize("bucket_limit", [20_000, 3, 60])
 def test_links_and_components_by_brute_force(spark, bucket_limit):
     rng = random.Random(2)
     values = [rng.getrandbits(64) for _ in range(60)]
@@ -300,6 +306,44 @@ def test_grammar_modifiers_and_evidence():
     assert list(g.clauses("ok. Not an IDIOT; fine"))[0][1] == [("idiot", ["negation"])]
 
 
+def test_grammar_reads_as_all_its_paths_say():
+    """The best accepted path, against every path of the parts' arcs and against the marks by definition."""
+    rng = random.Random(16)
+    weights = {"threat": 0.7, "target": -0.4, "negation": -1.5, "report": 0.3}
+    g = toxicity.Grammar({"evidence": {}, "prior": 0.0, "weights": weights})
+
+    def paths(t, symbols):
+        found = [(t.start, ())]
+        for s in symbols:
+            found = [(to, (*marks, mark)) for state, marks in found for to, mark in t.arcs[state, s]]
+        return [marks for state, marks in found if state in t.final]
+
+    def defined(symbols):
+        out, words, reported = [], [s for s in symbols if s[0] != "q"], False
+        for k, s in enumerate(words):
+            reported_by_quote = any(x[0] == "q" for x in symbols[: [i for i, y in enumerate(symbols) if y[0] != "q"][k]])
+            near = lambda c, a, b, k=k: any(x[0] == c for x in words[max(0, k - a) : k] + words[k + 1 : k + 1 + b])
+            if s[1:]:
+                out.append({m for m, is_so in (("threat", near("u", 3, 0)), ("target", near("t", 4, 4)), ("negation", near("n", 3, 0)), ("report", reported or reported_by_quote)) if is_so})
+            reported |= s[0] == "r"
+        return out
+
+    for _ in range(1500):
+        symbols = [c if c == "q" else c + rng.choice(["", "", "!"]) for c in (rng.choice("ntuoooooqr") for _ in range(rng.randrange(1, 10)))]
+        each = [paths(t, symbols) for t in toxicity.TRANSDUCERS]
+        assert all(len(p) == 1 for p in each)
+        weight, marks = g.read(symbols)
+        assert [set(m) for m in marks] == defined(symbols)
+        assert weight == pytest.approx(sum(weights[m] for p in each for m in p[0] if m))
+
+
+def test_toxicity_training_rows_do_not_depend_on_their_order(spark):
+    rows = [(k, f"one two three four five {'abcdef'[k % 6]}", 1) for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = [sorted(map(tuple, toxicity.training_rows(x, x.select("doc_id", "toxic"), 1000, 1).collect())) for x in (d, d.orderBy(F.desc("doc_id")).repartition(5))]
+    assert found[0] == found[1]
+
+
 def test_toxicity_learns_words_and_beginnings(spark):
     rng = random.Random(6)
     clean = lambda: [f"c{rng.randrange(3000)}lm" for _ in range(60)]
@@ -332,22 +376,67 @@ def test_language_held_out_accuracy(spark, data):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_language_scores_by_brute_force(spark):
+    """Naive Bayes over the same buckets of character n-grams, counted in plain Python."""
+    import math
+    from collections import Counter
+
+    def buckets(text):
+        folded = "".join(c.lower() if c.isascii() and c.isalpha() else " " if c.isascii() else c for c in "\n" + text + "\n\n\n\n")
+        out, run = [], ""
+        for c in folded:
+            run += "" if c == " " and run.endswith(" ") else c
+        for k in range(len(run) - 3):
+            rolled = 0
+            for size, multiplier in langid._SIZES:
+                rolled = ((rolled ^ (rolled >> 13)) * 0x01000193 + ord(run[k + size - 1])) & 0xFFFFFFFF
+                mixed = (rolled * multiplier & 0xFFFFFFFF) ^ (rolled >> 15)
+                out.append((mixed * 2654435761 & 0xFFFFFFFF) >> (32 - langid.BITS))
+        return out
+
+    rng = random.Random(17)
+    letters = {"xx": "abcde  é1", "yy": "cdefgh ü.", "zz": "中文字符 abc"}
+    rows = [(k, "".join(rng.choice(letters[lang]) for _ in range(rng.randrange(0, 80))), lang) for k in range(150) for lang in [rng.choice(list(letters))]]
+    rows += [(500, None, "xx"), (501, "12 ..", "yy"), (502, "Ab", None), (503, "中" * 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.predict(docs, langid.fit(docs, F.lit(True))).collect()}
+    counts = {}
+    for _, t, lang in rows:
+        if lang and t is not None:
+            counts.setdefault(lang, Counter()).update(buckets(t))
+    size = 1 << langid.BITS
+    for doc_id, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[doc_id].lang_pred, got[doc_id].score) == ("und", 0.0)
+            continue
+        odds = {lang: sum(math.log((c[b] + 0.5) / (c.total() + 0.5 * size)) for b in buckets(t)) for lang, c in counts.items()}
+        best = max(sorted(odds), key=odds.get)
+        assert got[doc_id].score == pytest.approx(1 / sum(math.exp(x - odds[best]) for x in odds.values()), abs=1e-3)
+        assert got[doc_id].lang_pred == best
+
+
 # URL filters
 
 
-@pytest.mark.parametrize("max_sent", [1000, 0])
-def test_url_filter_by_brute_force(spark, max_sent):
+@pytest.mark.parametrize("n_rules", [0, 1, 60, 400])
+def test_url_filter_by_brute_force(spark, n_rules):
     rng = random.Random(7)
-    label = lambda: rng.choice(["a", "b", "org", "com", "example", "ab"])
+    label = lambda: rng.choice(["a", "b", "org", "com", "example", "ab", "org,example", "a)b", "", "é"])
     name = lambda: ".".join(label() for _ in range(rng.randrange(1, 4)))
     way = lambda: "/" + "/".join(rng.choice(["en", "es", "1", "12"]) for _ in range(rng.randrange(3)))
-    urls = [(k, f"http://{name().upper()}{way()}{rng.choice(['', '?q', '#f', ''])}") for k in range(400)] + [(900, None), (901, "x"), (902, "http://org")]
-    rules = sorted({(name(), way(), "block" if len(way()) % 2 else "allow") for _ in range(60)})
-    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
-    got = urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"), max_sent=max_sent)
-    for r in got.collect():
-        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
-        assert (r.rule, r.verdict) == (max(fits)[2:] if fits else (None, "allow"))
+    fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    urls = [(k, f"http://{name().upper().replace('É', 'é')}{way()}{rng.choice(['', '?q', '#f', ''])}") for k in range(600)] + [(900, None), (901, "x"), (902, "http://org"), (902, "http://org"), (903, "http://org,example/x")]
+    rules = sorted({(rng.choice([name(), ""]), rng.choice([way(), ""]), "block" if rng.random() < 0.5 else "allow") for _ in range(n_rules)}) + [("a/b", "", "block"), (None, "/", "block")] * (n_rules > 1)
+    got = urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules + rules[:3], "host string, path string, verdict string")).collect()
+    assert sorted(r.page_id for r in got) == sorted(k for k, _ in urls)
+    of = dict(urls)
+    for r in got:
+        rest = (of[r.page_id] or "").partition("://")[2]
+        end = next((k for k, c in enumerate(rest) if c in "/?#"), len(rest))
+        host, path = rest[:end].translate(fold), rest[end:].split("?")[0].split("#")[0]
+        fits = [(len(h + p), len(h), v == "block", h + p, v) for h, p, v in rules if h is not None and "/" not in h and (h in ("", host) or host.endswith("." + h)) and path.startswith(p)]
+        assert (r.host, r.path) == (host, path)
+        assert (r.rule, r.verdict) == (max(fits)[3:] if fits else (None, "allow"))
 
 
 # WARC
@@ -369,6 +458,23 @@ def test_warc_index_and_records(spark):
     assert warc.look_up(archive, spark.createDataFrame([("http://none.org/",)], "url string")).count() == 0
 
 
+def test_warc_repeated_pages_by_brute_force(spark):
+    rng = random.Random(15)
+    address = lambda: rng.choice([None, "", "a/)", "http://)a", "http://org,example/x", "http://org/x", "x", "http://a.b/"])
+    rows = [(5, "u", "X"), (5, "u", "Y"), (9, "v", "Y"), (9, "v", "Y")] + [(rng.randrange(12, 40), address(), rng.choice([None, "", "p", "q", "r" * 50, f"own {k}"])) for k in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = warc.write(pages, block_rows=5)
+    last = {}
+    for page, _, html in rows:
+        last[html or ""] = max(page, last.get(html or "", page))
+    want = list((page, len((html or "").encode()), "response" if last[html or ""] == page else "revisit", None if last[html or ""] == page else last[html or ""], url) for page, url, html in rows)
+    got = warc.read(archive, warc.look_up(archive, pages)).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.url) for r in got), key=str) == sorted(want, key=str)
+    for url in ("http://)a", "a/)", "http://org,example/x", None):
+        found = warc.look_up(archive, spark.createDataFrame([(url,)], "url string")).collect()
+        assert sorted(r.page_id for r in found) == sorted(p for p, u, _ in rows if u == url)
+
+
 def test_warc_keeps_small_payloads_apart(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
     archive = warc.write(pages, min_revisit=3)
@@ -399,6 +505,71 @@ def test_merkle_next_document_by_brute_force(spark):
         assert got[doc_id].edited == t[: len(t) - n] + following[:n] and got[doc_id].n_chars == len(t)
 
 
+def test_merkle_fingerprint_and_likeness_by_brute_force(spark):
+    """Leaves cut by plain Python, digests by xxhash and hashlib as Spark's functions define them."""
+    import re
+    import struct
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    leaf = lambda x: xxhash.xxh64_intdigest(x.encode(), 42)
+
+    def over(longs):  # an array of longs: each one's hash seeds the next
+        seed = 42
+        for x in longs:
+            seed = xxhash.xxh64_intdigest(struct.pack("<Q", x), seed)
+        return seed
+
+    def tree(text):
+        lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+        paragraphs = [[leaf("".join(run)) for run in _runs(line)] for line in lines]
+        return [paragraphs[k : k + merkle.SECTION] for k in range(0, len(paragraphs), merkle.SECTION)]
+
+    def _runs(line):
+        pieces = re.findall(r"\s*\S+\s*", line, re.ASCII) or [line]
+        words = re.findall(r"\S+\s*", line, re.ASCII)
+        if not words:
+            return [[line]]
+        head = line[: len(line) - len(line.lstrip(" \t\n\r\x0b\x0c"))]
+        words[0] = head + words[0]
+        assert "".join(words) == line and len(words) == len(pieces)
+        return [words[k : k + merkle.RUN] for k in range(0, len(words), merkle.RUN)]
+
+    def string(nodes):
+        sections = [hashlib.sha256(",".join(f"{over(p):X}" for p in s).encode()).hexdigest() for s in nodes]
+        top = hashlib.sha256(",".join(sections).encode()).hexdigest()
+        return top + ":" + "/".join(".".join("".join(f"{d:x}"[-8:] for d in p) for p in s) for s in nodes)
+
+    def like(a, b):
+        x, y = ({d for s in n for p in s for d in p} for n in (a, b))
+        return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+    rng = random.Random(18)
+    vocabulary = [f"w{k}" for k in range(30)] + ["é", "中文", "x."]
+    make = lambda: "".join(rng.choice(vocabulary) + rng.choice([" ", " ", "  ", "\n", " \n ", "\t"]) for _ in range(rng.randrange(0, 120)))
+    docs = [(k, make()) for k in range(60)] + [(100, None), (101, ""), (102, " \n\n "), (103, "one")]
+    found = merkle.fingerprint_with_edit(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = {r.doc_id: r for r in found.select("*", merkle.to_string(F.col("tree")).alias("fingerprint"), merkle.to_string(F.col("edited_tree")).alias("edited_fingerprint")).collect()}
+    for k, (doc_id, t) in enumerate(docs):
+        t, following, r = t or "", docs[(k + 1) % len(docs)][1] or "", got[doc_id]
+        own, edited, other = tree(t), tree(r.edited), tree(following)
+        assert [[[x & (1 << 64) - 1 for x in p] for p in s] for s in r.tree] == own
+        assert (r.fingerprint, r.edited_fingerprint) == (string(own), string(edited))
+        assert (r.near_edited, r.near_next) == (pytest.approx(like(own, edited)), pytest.approx(like(own, other)))
+
+
+def test_simhash_query_by_brute_force(spark, data):
+    """Whole documents: fingerprints by definition, all pairs compared, components by union."""
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    values = [simhash.fingerprint((r.text or "").encode()) for r in rows]
+    order = sorted(range(len(rows)), key=lambda k: rows[k].doc_id)
+    want = _linked([values[k] for k in order])
+    got = {r.doc_id: r for r in queries.op8_simhash_near_dedup(spark, data).collect()}
+    assert len(got) == len(rows)
+    for place, k in enumerate(order):
+        r = got[rows[k].doc_id]
+        assert (r.fingerprint, r.component_id) == (f"{values[k]:016x}", rows[order[want[place]]].doc_id)
+
+
 # the pipeline
 
 
