@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import count_of, literal_array, tokens
+from lodestone.functions.text import count_of, literal_array, tokens, word_count
 
 # fixed values: phrases and words that the scores count
 TRANSITIONS = (
@@ -18,22 +18,31 @@ TECHNICAL_WORDS = (
 )
 
 
+def sentence_count(text: Column) -> Column:
+    """Parts between sentence marks that are not blank."""
+    return F.regexp_count(text, F.lit(r"[^.!?\s][^.!?]*"))
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.split(text, "[.!?]"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
 
 
 def syllables(text: Column) -> Column:
-    """Vowel groups of each word's letters, at least one, a final e of several taken off."""
-    letters = F.filter(F.transform(tokens(F.lower(text)), lambda w: F.regexp_replace(w, r"[^\p{L}]", "")), lambda w: w != "")
-    groups = lambda w: F.greatest(F.size(F.regexp_extract_all(w, F.lit("[aeiouy]+"), F.lit(0))), F.lit(1))
-    return F.aggregate(letters, F.lit(0), lambda s, w: s + groups(w) - F.when(w.endswith("e") & (groups(w) > 1), 1).otherwise(0))
+    """Vowel groups of each word's letters, at least one, a final e of several taken off; counted over the whole text."""
+    letters = F.regexp_replace(F.lower(text), r"[^\p{L}\s]+", "")
+    times = lambda pattern: F.regexp_count(letters, F.lit(pattern))
+    none, one_with_e = r"(?<!\S)[^\saeiouy]++(?!\S)", r"(?<!\S)[^\saeiouy]*+[aeiouy]*+(?<=e)(?!\S)"  # possessive, so linear in long words
+    return times("[aeiouy]+") + times(none) - times(r"e(?!\S)") + times(one_with_e)
 
 
 def readability(text: Column) -> Column:
     """Flesch reading ease over 100, between 0 and 1; 0 without words or sentences."""
-    words, n = F.size(tokens(text)), F.size(sentences(text))
-    flesch = 206.835 - 1.015 * words / n - 84.6 * syllables(text) / words
-    return F.when((words == 0) | (n == 0), F.lit(0.0)).otherwise(F.least(F.greatest(flesch, F.lit(0.0)), F.lit(100.0)) / 100)
+    return flesch(word_count(text), sentence_count(text), syllables(text))
+
+
+def flesch(words: Column, n: Column, syllable_count: Column) -> Column:
+    ease = 206.835 - 1.015 * words / n - 84.6 * syllable_count / words
+    return F.when((words == 0) | (n == 0), F.lit(0.0)).otherwise(F.least(F.greatest(ease, F.lit(0.0)), F.lit(100.0)) / 100)
 
 
 def coherence(text: Column) -> Column:

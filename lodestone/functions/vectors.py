@@ -38,10 +38,10 @@ def mock_embedding(dimension: int):
         for texts in batches:
             out = []
             for text in texts:
-                digest = 0
-                for byte in (text or "").encode():
-                    digest = (digest * 31 + byte) & (1 << 64) - 1
-                raw = ((np.uint64(digest) + steps) % np.uint64(1000)) / 1000.0
+                digits = np.frombuffer((text or "").encode(), np.uint8)
+                powers = np.cumprod(np.full(len(digits), 31, np.uint64))
+                digest = digits[-1:].astype(np.uint64).sum() + (digits[:-1][::-1].astype(np.uint64) * powers[:-1]).sum()
+                raw = ((digest.astype(np.uint64) + steps) % np.uint64(1000)) / 1000.0
                 norm = float(np.sqrt((raw * raw).sum()))
                 out.append((raw / norm if norm else raw).tolist())
             yield pd.Series(out)

@@ -32,6 +32,13 @@ def exponential_average(values: Column, alpha: float = 0.5) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: (1 - alpha) * a + alpha * x)
 
 
+def exponential_averages(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float = 0.5) -> DataFrame:
+    """keys, ema from 0 in the given order: each value's weight follows from its place from the end, so no key's rows are gathered."""
+    last = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    weighted = df.withColumn("__w", F.col(value) * alpha * F.pow(F.lit(1 - alpha), F.row_number().over(last) - 1))
+    return weighted.groupBy(*keys).agg(F.sum("__w").alias("ema"))
+
+
 def health(df: DataFrame, keys: list[str], value: str, slow: float, share: float, mean: float) -> DataFrame:
     """unhealthy: more than ``share`` of the values over ``slow``; degraded: their mean over ``mean``."""
     slow_share = F.avg(F.when(F.col(value) > slow, 1.0).otherwise(0.0))

@@ -7,6 +7,7 @@ against a bound before it is sent to the tasks; larger query sets are cut into p
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import DEFAULT, Config
-from lodestone.functions.text import literal_array, tokens
+from lodestone.functions.text import literal_array, word_count
 from lodestone.functions.vectors import cosine, l2_distance
-from lodestone.runtime import ship_package
+from lodestone.runtime import materialize, ship_package
 
 
 def knn(vectors: DataFrame, query: list[float], k: int = 10, *, metric: str = "l2", id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -136,12 +137,15 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, query: str, query_vector:
 def bm25(docs: DataFrame, query: str, k: int = 10, *, id_column: str = "doc_id", column: str = "text", config: Config = DEFAULT) -> DataFrame:
     """id, score of the k best by BM25 over white-space words.
 
-    Only the query's terms are counted, in one pass without a shuffle of words; corpus counts are one row.
+    The texts are read once, for each document's number of words and of each term; that narrow table is written and
+    read twice, for the corpus counts (one row) and the scores.
     """
     terms = sorted(set(query.lower().split()))
-    words = tokens(F.lower(F.col(column)))
-    times = lambda term: F.size(F.filter(words, lambda w: w == term))
-    counted = docs.select(id_column, F.size(words).alias("n"), *[times(t).alias(f"f{i}") for i, t in enumerate(terms)])
+    lower = F.lower(F.col(column))
+    pattern = r"(?<!\S)(?:" + "|".join(re.escape(t) for t in terms) + r")(?!\S)"
+    own = docs.select(id_column, word_count(lower).alias("n"), F.regexp_extract_all(lower, F.lit(pattern), F.lit(0)).alias("hits"))
+    times = lambda term: F.size(F.filter("hits", lambda w: w == term))
+    counted = materialize(own.select(id_column, "n", *[times(t).alias(f"f{i}") for i, t in enumerate(terms)]), "term-counts")
     corpus = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))])
     both = counted.crossJoin(F.broadcast(corpus))  # one row
     score = F.lit(0.0)

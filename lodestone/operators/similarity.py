@@ -7,9 +7,12 @@ copies come back beside it. The number of pairs is that of similar texts, so a c
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +27,27 @@ _STOP = frozenset(STOP_WORDS)
 
 
 def term_frequency(docs: DataFrame, *, id_column: str = "doc_id", column: str = "text") -> DataFrame:
-    """id, word, n, tf: counts of content words over the number of all words."""
-    words = tokens(normalize(F.col(column)))
-    rows = docs.select(id_column, words.alias("words")).select(id_column, F.size("words").alias("total"), F.explode(content_words(F.col("words"))).alias("word"))
-    return rows.groupBy(id_column, "word").agg(F.count("*").alias("n"), F.round(F.count("*") / F.first("total"), 6).alias("tf"))
+    """id, word, n, tf: counts of content words over the number of all words. A document's words are counted where it lies, without a shuffle."""
+    stop = pa.array(STOP_WORDS)
+    kind = dict(docs.dtypes)[id_column]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                words = pc.split_pattern(part.column(1), " ")
+                total, row, word = pc.list_value_length(words).to_numpy(), pc.list_parent_indices(words), words.flatten()
+                keep = pc.and_(pc.greater_equal(pc.binary_length(word), 2), pc.invert(pc.is_in(word, value_set=stop)))
+                row, coded = row.filter(keep).to_numpy(), word.filter(keep).dictionary_encode()
+                size = len(coded.dictionary)
+                found, n = np.unique(row * size + coded.indices.to_numpy(), return_counts=True)
+                rows = found // max(size, 1)
+                tf = pa.array(n / total[rows], pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), coded.dictionary.take(pa.array(found % max(size, 1))), pa.array(n, pa.int64()), tf], names=["id", "word", "n", "tf"])
+
+    lower = F.lower(F.coalesce(normalize(F.col(column)), F.lit("")))
+    found = docs.select(F.col(id_column).alias("id"), lower.alias("text")).mapInArrow(run, f"id {kind}, word string, n long, tf double")
+    return found.select(F.col("id").alias(id_column), "word", "n", F.round("tf", 6).alias("tf"))
 
 
 def word_bigrams(raw: bytes) -> np.ndarray:

@@ -20,8 +20,8 @@ def normalize_text(spark, sf_dir):
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, len({words_sql(_NORM)}) AS total, unnest({_CONTENT(_NORM)}) AS word FROM documents)
-SELECT doc_id, word, count(*) AS n, round(count(*) / any_value(total), 6) AS tf FROM w GROUP BY doc_id, word""")
+WITH t AS (SELECT doc_id, string_split(lower({_NORM}), ' ') AS ws FROM documents), w AS (SELECT doc_id, len(ws) AS total, unnest(ws) AS word FROM t)
+SELECT doc_id, word, count(*) AS n, round(count(*) / any_value(total), 6) AS tf FROM w WHERE strlen(word) >= 2 AND word NOT IN (SELECT unnest({_STOP})) GROUP BY doc_id, word""")
 def term_frequency(spark, sf_dir):
     return similarity.term_frequency(table(spark, sf_dir, "documents"))
 
@@ -177,7 +177,8 @@ SELECT doc_id, words, sentences, syllables::BIGINT AS syllables, round(CASE WHEN
   ELSE least(greatest(206.835 - 1.015 * words / sentences - 84.6 * syllables / words, 0.0), 100.0) / 100 END, 6) AS readability FROM w""")
 def readability(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(t)).alias("words"), F.size(quality.sentences(t)).alias("sentences"), quality.syllables(t).alias("syllables"), F.round(quality.readability(t), 6).alias("readability"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.word_count(t).alias("words"), quality.sentence_count(t).alias("sentences"), quality.syllables(t).alias("syllables"))
+    return rows.withColumn("readability", F.round(quality.flesch(F.col("words"), F.col("sentences"), F.col("syllables")), 6))
 
 
 _TRANS = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) / {len(w)}" for w in quality.TRANSITIONS)

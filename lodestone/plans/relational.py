@@ -58,8 +58,8 @@ def rolling_rate(spark, sf_dir):
 @query("""WITH l AS (SELECT user_id, list_prepend(0.0::DOUBLE, list(value ORDER BY ts, event_id)) AS vs FROM events GROUP BY user_id)
 SELECT user_id, round(list_reduce(vs, lambda a, x: (a + x) / 2), 6) AS ema FROM l""")
 def ema_half(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("e"))
-    return rows.select("user_id", F.round(metrics.exponential_average(F.transform("e", lambda x: x["value"])), 6).alias("ema"))
+    found = metrics.exponential_averages(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
+    return found.withColumn("ema", F.round("ema", 6))
 
 
 @query("""SELECT user_id, avg(value) AS mean, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 2 AND avg(value) > 40""")
