@@ -165,3 +165,40 @@ def candidates(base: Column, versions: Column) -> Column:
     """URLs that may hold a version's notes, for explode."""
     tails = ("/v", "/", "/version/", "/release/", "/tag/", "/releases/tag/v", "/releases/tag/")
     return F.flatten(F.transform(versions, lambda v: F.array(*[F.concat(base, F.lit(t), v) for t in tails])))
+
+
+# fixed values: where change logs and documentation are looked for
+RELEVANT_PARTS = ("changelog", "changes", "history", "releases", "tags", "versions", "docs", "documentation", "wiki")
+LOG_PATHS = ("/changelog", "/changes", "/releases", "/history", "/whatsnew", "/news", "/updates", "/versions")
+COMMON_PATHS = (
+    "/changelog", "/CHANGELOG", "/Changelog", "/changelog.md", "/CHANGELOG.md", "/changes", "/CHANGES", "/changes.md", "/CHANGES.md", "/releases", "/release", "/releases.html", "/news", "/history",
+    "/whatsnew", "/updates", "/versions",
+)
+LOG_FILES = tuple(f"/blob/{branch}/{name}.md" for name in ("CHANGELOG", "CHANGES", "HISTORY") for branch in ("main", "master"))
+
+
+def is_relevant(url: Column, language: str) -> Column:
+    """Whether the lower-cased URL holds the language or a word of change logs, releases or documentation."""
+    lower = F.lower(url)
+    return F.exists(F.array(*[F.lit(w) for w in (language.lower(), *RELEVANT_PARTS)]), lambda w: F.contains(lower, w))
+
+
+def _below(base: Column, paths) -> Column:
+    return F.transform(F.array(*[F.lit(p) for p in paths]), lambda p: F.concat(base, p))
+
+
+def documentation_urls(url: Column) -> Column:
+    return _below(F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1), LOG_PATHS)
+
+
+def common_urls(url: Column) -> Column:
+    return _below(F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1), COMMON_PATHS)
+
+
+def repository_urls(url: Column) -> Column:
+    """Pages of a repository on the code host where releases and changes are told, and its API; empty for other URLs."""
+    owner, name = (F.regexp_extract(url, r"^https?://github\.com/([^/?#]+)/([^/?#]+)", k) for k in (1, 2))
+    base = F.concat(F.lit("https://github.com/"), owner, F.lit("/"), name)
+    pages = _below(base, ("/releases", "/tags", *LOG_FILES, "/wiki"))
+    more = F.array(F.concat(F.lit("https://"), owner, F.lit(".github.io/"), name), F.concat(F.lit("https://api.github.com/repos/"), owner, F.lit("/"), name, F.lit("/releases")))
+    return F.when(owner != "", F.concat(pages, more)).otherwise(F.array().cast("array<string>"))
