@@ -66,3 +66,24 @@ def search_features(releases: DataFrame, query: str, category: str | None = None
     if category is not None:
         hit = hit & (F.col("f.category") == category)
     return rows.where(hit).select("language", "version", "f.*")
+
+
+def without_fix(vulnerabilities: DataFrame) -> DataFrame:
+    return vulnerabilities.where(F.coalesce(F.size("fixed_versions"), F.lit(0)) == 0)
+
+
+def manifest_counts(dependencies: DataFrame, language: str = "language") -> DataFrame:
+    """language, total, dev of parsed dependencies; rows of files that could not be read do not count."""
+    return dependencies.where("name is not null").groupBy(language).agg(F.count("*").alias("total"), F.count_if(F.col("kind").isin("dev", "test")).alias("dev"))
+
+
+def suggestions_at_least(suggestions: Column, severity_order: tuple[str, ...], least: str, *, examples: bool = True) -> Column:
+    """Of array<struct<severity, message, example>> those of at least the severity, with or without their examples."""
+    order = F.array(*[F.lit(s) for s in severity_order])
+    kept = F.filter(suggestions, lambda s: F.array_position(order, s["severity"]) >= severity_order.index(least) + 1)
+    return kept if examples else F.transform(kept, lambda s: s.dropFields("example"))
+
+
+def library_statistics(libraries: DataFrame) -> DataFrame:
+    """Over libraries (quality double, apis and tutorials arrays): mean quality and list sizes."""
+    return libraries.agg(F.avg("quality").alias("quality"), F.sum(F.size("apis")).alias("apis"), F.sum(F.size("tutorials")).alias("tutorials"))

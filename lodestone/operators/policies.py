@@ -175,3 +175,54 @@ def missing_tools(required: DataFrame, installed: DataFrame) -> DataFrame:
 def registration_score(success_rate: Column, cache_rate: Column, mean_ms: Column) -> Column:
     speed = F.least(F.try_divide(F.lit(5000.0), mean_ms), F.lit(1.0))
     return 100 * (0.5 * success_rate + 0.3 * cache_rate + 0.2 * F.coalesce(speed, F.lit(1.0)))
+
+
+def tool_plan(tools: DataFrame, mode: str, features: tuple[str, ...] = ()) -> DataFrame:
+    """tools (tool, available, tags) with ``chosen`` and ``reason``. Modes: only_available, force_all, feature_based (any of ``features``)."""
+    wanted = F.arrays_overlap("tags", F.array(*[F.lit(f) for f in features])) if features else F.lit(False)
+    chosen = {"only_available": F.col("available"), "force_all": F.lit(True), "feature_based": F.col("available") & wanted}[mode]
+    reason = F.when(~F.col("available") & F.lit(mode != "force_all"), "not installed").when(~chosen, "no wanted feature").when(F.lit(mode == "feature_based"), "feature").when(F.lit(mode == "force_all"), "forced").otherwise("available")
+    return tools.withColumn("chosen", chosen).withColumn("reason", reason)
+
+
+def inventory_report(tools: DataFrame) -> DataFrame:
+    """category, installed, tools (one text), of tools (tool, available, category); tools without a category are general."""
+    own = F.coalesce(F.nullif("category", F.lit("")), F.lit("general"))
+    shown = F.concat("tool", F.when(F.col("available"), F.lit("")).otherwise(F.lit(" (missing)")))
+    return tools.groupBy(own.alias("category")).agg(F.count_if("available").alias("installed"), F.array_join(F.array_sort(F.collect_set(shown)), ", ").alias("tools"))
+
+
+def project_advice(language: Column, config_files: Column, frameworks: Column, dependencies: Column, languages: Column) -> Column:
+    """Rules over a profiled project to pieces of advice."""
+    has = lambda a, x: F.array_contains(a, x)
+    script = language.isin("javascript", "typescript")
+    rules = (
+        (language == "rust", "run the formatter and the linter"), ((language == "rust") & has(config_files, "Cargo.toml"), "update the locked dependencies"),
+        (script, "set up a linter and a formatter"), (script & has(config_files, "package.json"), "audit the packages"),
+        (language == "python", "use a virtual environment"), (language == "python", "set up black and flake8"),
+        (has(frameworks, "rocket"), "see the Rocket guide"), (has(frameworks, "react"), "use the React tools"),
+        (dependencies > 50, "remove unused dependencies"), (languages > 1, "describe each language in the readme"),
+    )
+    return F.filter(F.array(*[F.when(test, F.lit(advice)) for test, advice in rules]), lambda x: x.isNotNull())
+
+
+# fixed values: frameworks that a manifest's text names, and what they make of a project
+FRAMEWORKS = {
+    "rust": (("rocket", "web_server"), ("actix-web", "web_server"), ("tauri", "desktop_app"), ("serde", None), ("tokio", None)),
+    "javascript": (("react", "web_frontend"), ("vue", "web_frontend")),
+}
+
+
+def frameworks(language: Column, manifest: Column) -> Column:
+    out = F.array().cast("array<string>")
+    for name, known in FRAMEWORKS.items():
+        own = F.filter(F.array(*[F.when(F.contains(manifest, F.lit(f)), F.lit(f)) for f, _ in known]), lambda x: x.isNotNull())
+        out = F.when(language.isin("javascript", "typescript") if name == "javascript" else language == name, own).otherwise(out)
+    return out
+
+
+def registry_statistics(calls: DataFrame, keys: list[str], ok: Column, cached: Column, ms: Column, *, default: float = 0.3) -> DataFrame:
+    """keys, calls, score (0 to 100): what a registered tool is worth; without finished calls the score is 100 times the default."""
+    sums = calls.groupBy(*keys).agg(F.count("*").alias("calls"), F.avg(ok.cast("double")).alias("ok"), F.avg(cached.cast("double")).alias("cached"), F.avg(ms).alias("ms"))
+    score = F.when(F.col("ok").isNull(), 100 * default).otherwise(registration_score(F.col("ok"), F.coalesce("cached", F.lit(0.0)), F.col("ms")))
+    return sums.select(*keys, "calls", score.alias("score"))
