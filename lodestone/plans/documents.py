@@ -105,14 +105,55 @@ def similarity_parts(spark, sf_dir):
     )
 
 
-@query()
+def _similarity_sql(pairs: str, enhanced: bool) -> str:
+    """The weighted similarity of the pairs (l, r) of doc_ids that the SQL ``pairs`` names; texts are cut into parts once each."""
+    gram = "list_distinct(list_filter(list_transform(list_zip(ws[1:len(ws) - 1], ws[2:]), lambda p: p[1] || ' ' || p[2]), lambda g: strlen(g) >= 4))"
+    fields = "[" + ", ".join("(" + " OR ".join(f"contains(low, '{w}')" for w in f) + ")::INT" for f in text.SEMANTIC_FIELDS) + "]"
+    listed = f"list_filter({list_sql(text.TECHNICAL_TERMS)}, lambda t: contains(low, t))"
+    caps = r"list_transform(list_filter(ws, lambda w: strlen(w) > 2 AND regexp_matches(w, '^\p{Lu}')), lambda w: lower(w))"
+    like = lambda x: f"CASE WHEN len(a.{x}) = 0 AND len(b.{x}) = 0 THEN 1 ELSE len(list_intersect(a.{x}, b.{x})) / len(list_distinct(list_concat(a.{x}, b.{x}))) END"
+    ratio = lambda x: f"CASE WHEN greatest(a.{x}, b.{x}) > 0 THEN 1 - abs(a.{x} - b.{x}) / greatest(a.{x}, b.{x}) ELSE 1 END"
+    share = lambda x: f"CASE WHEN greatest(a.{x}, b.{x}) > 0 THEN least(a.{x}, b.{x}) / greatest(a.{x}, b.{x}) ELSE 1 END"
+    cosine = "CASE WHEN a.norm IS NULL AND b.norm IS NULL THEN 1.0 WHEN a.norm IS NULL OR b.norm IS NULL THEN 0.0 ELSE least(coalesce(dot, 0) / (a.norm * b.norm), 1.0) END"
+    more = f"0.4 * ({like('grams')}) + 0.4 * ({like('terms')}) + 0.2 * list_sum(list_transform(list_zip(a.fields, b.fields), lambda p: p[1] * p[2])) / {len(text.SEMANTIC_FIELDS)}"
+    lexical = f"CASE WHEN a.bytes > 100 AND b.bytes > 100 THEN 0.7 * ({cosine}) + 0.3 * ({more}) ELSE {cosine} END" if enhanced else cosine
+    return rf"""
+WITH pairs AS MATERIALIZED ({pairs}), ids AS (SELECT l AS doc_id FROM pairs UNION SELECT r FROM pairs),
+n AS MATERIALIZED (SELECT doc_id, text, {words_sql(_NORM)} AS ws, lower({_NORM}) AS low FROM documents JOIN ids USING (doc_id)),
+tf AS MATERIALIZED (SELECT doc_id, word, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest(list_transform(ws, lambda w: lower(w))) AS word FROM n) WHERE strlen(word) >= 2 AND word NOT IN (SELECT unnest({_STOP})) GROUP BY doc_id, word),
+norms AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM tf GROUP BY doc_id),
+dots AS (SELECT l, r, sum(x.n * y.n) AS dot FROM pairs JOIN tf x ON x.doc_id = l JOIN tf y ON y.doc_id = r AND y.word = x.word GROUP BY l, r),
+f AS MATERIALIZED (SELECT n.doc_id, norm, strlen(text) AS bytes, len(list_distinct({words_sql('text')})) AS vocabulary, CASE WHEN len(ws) < 2 THEN [] ELSE {gram} END AS grams,
+  list_distinct(list_concat({listed}, {caps})) AS terms, {fields} AS fields, list_distinct(list_concat({_KEYS}, list_transform({_IDS}, lambda w: lower(w)))) AS k,
+  len(list_filter(string_split(text, chr(10)), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g')) <> '')) AS p, ((length(text) - length(replace(text, '```', ''))) // 6) AS c,
+  len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*(- |\* |[0-9])'))) AS s FROM n LEFT JOIN norms ON norms.doc_id = n.doc_id)
+SELECT pairs.l, pairs.r, round(0.4 * CASE WHEN a.bytes = 0 AND b.bytes = 0 THEN 1 WHEN a.bytes = 0 OR b.bytes = 0 THEN 0 ELSE {lexical} END
+  + 0.25 * ({ratio('p')} + {ratio('c')} + {ratio('s')}) / 3 + 0.25 * ({like('k')}) + 0.1 * least(0.6 * {share('bytes')} + 0.4 * {share('vocabulary')}, 1.0), 6) AS similarity
+FROM pairs JOIN f a ON a.doc_id = pairs.l JOIN f b ON b.doc_id = pairs.r LEFT JOIN dots ON dots.l = pairs.l AND dots.r = pairs.r"""
+
+
+@query(f"SELECT l AS doc_id, similarity FROM ({_similarity_sql('SELECT doc_id AS l, doc_id + 1 AS r FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents)', True)})")
 def document_similarity(spark, sf_dir):
     own = similarity.features(table(spark, sf_dir, "documents"), sep="\n")
     joined = own.select("doc_id", F.col("f").alias("a")).join(own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("f").alias("b")), "doc_id")
     return joined.select("doc_id", F.round(similarity.compare(F.col("a"), F.col("b"), enhanced=True), 6).alias("similarity"))
 
 
-@query()
+# candidates of the SQL: texts whose sets of lower-cased word bigrams have a Jaccard similarity of 0.4 or more, by a join on the bigrams
+_GRAM_PAIRS = rf"""SELECT l, r FROM (
+  SELECT x.doc_id AS l, y.doc_id AS r, count(*) AS shared, any_value(x.n) AS nx, any_value(y.n) AS ny FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id AND least(x.n, y.n) >= 0.4 * greatest(x.n, y.n) GROUP BY 1, 2)
+  WHERE shared >= 0.4 * (nx + ny - shared) - 1e-9"""
+_NEAR = _similarity_sql("SELECT l, r FROM near", False)
+
+
+@query(rf"""
+WITH first AS MATERIALIZED (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS node FROM documents WHERE length(text) > 0),
+w AS (SELECT doc_id, {words_sql('lower(' + _NORM + ')')} AS ws FROM first WHERE doc_id = node),
+s AS (SELECT doc_id, CASE WHEN len(gs) > 0 THEN gs ELSE [CASE WHEN len(ws) = 1 AND strlen(ws[1]) > 1 AND NOT list_contains({_STOP}, ws[1]) THEN ws[1] ELSE '' END] END AS gs FROM
+  (SELECT doc_id, ws, CASE WHEN len(ws) < 2 THEN [] ELSE list_distinct(list_filter(list_transform(list_zip(ws[1:len(ws) - 1], ws[2:]), lambda p: p[1] || ' ' || p[2]), lambda g: strlen(g) >= 4)) END AS gs FROM w)),
+grams AS MATERIALIZED (SELECT doc_id, unnest(gs) AS g, len(gs) AS n FROM s), near AS MATERIALIZED ({_GRAM_PAIRS}), scored AS ({_NEAR})
+SELECT l AS left_id, r AS right_id, similarity, false AS same_text FROM scored WHERE similarity >= 0.85
+UNION ALL SELECT node, doc_id, 1.0, true FROM first WHERE node < doc_id""")
 def near_duplicates(spark, sf_dir):
     return similarity.near_duplicates(table(spark, sf_dir, "documents"), sep="\n")
 

@@ -29,7 +29,12 @@ def html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT page_id, url AS base, unnest(regexp_extract_all(h, '(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(h, '(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS body
+  FROM (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') AS h FROM pages)),
+t AS (SELECT page_id, base, replace(href, '&amp;', '&') AS href, trim(regexp_replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&amp;', '&'), '\s+', ' ', 'g'), ' ') AS text FROM l)
+SELECT page_id, text, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN prefix(href, '/') THEN regexp_extract(base, '^([a-z]+://[^/?#]*)', 1) || href ELSE regexp_extract(base, '^([a-z]+://[^?#]*/)', 1) || href END AS url
+FROM t WHERE strlen(text) BETWEEN 1 AND 199 AND href <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:)')""")
 def page_links(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", F.explode("extracted.links").alias("l")).select("page_id", "l.text", "l.url")
 
