@@ -29,17 +29,27 @@ def html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
-@query(r"""
-WITH l AS (SELECT page_id, url AS base, unnest(regexp_extract_all(h, '(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(h, '(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS body
-  FROM (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') AS h FROM pages)),
-t AS (SELECT page_id, base, replace(href, '&amp;', '&') AS href, trim(regexp_replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&amp;', '&'), '\s+', ' ', 'g'), ' ') AS text FROM l)
-SELECT page_id, text, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN prefix(href, '/') THEN regexp_extract(base, '^([a-z]+://[^/?#]*)', 1) || href ELSE regexp_extract(base, '^([a-z]+://[^?#]*/)', 1) || href END AS url
-FROM t WHERE strlen(text) BETWEEN 1 AND 199 AND href <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:)')""")
+_STRIPPED = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
+_LINKS = rf"""
+WITH p AS (SELECT page_id, url, html, {_STRIPPED} AS h FROM pages),
+l AS (SELECT page_id, url AS base, unnest(regexp_extract_all(h, '(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href, unnest(regexp_extract_all(h, '(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS body,
+  generate_subscripts(regexp_extract_all(h, '(?s)<a [^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1), 1) AS k FROM p),
+t AS (SELECT page_id, base, k, replace(href, '&amp;', '&') AS href, trim(regexp_replace(replace(regexp_replace(body, '<[^>]*>', '', 'g'), '&amp;', '&'), '\s+', ' ', 'g'), ' ') AS text FROM l),
+u AS (SELECT page_id, k, text, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN prefix(href, '/') THEN regexp_extract(base, '^([a-z]+://[^/?#]*)', 1) || href ELSE regexp_extract(base, '^([a-z]+://[^?#]*/)', 1) || href END AS url
+FROM t WHERE strlen(text) BETWEEN 1 AND 199 AND href <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:)'))"""
+
+
+@query(f"{_LINKS} SELECT page_id, text, url FROM u")
 def page_links(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", F.explode("extracted.links").alias("l")).select("page_id", "l.text", "l.url")
 
 
-@query()
+_PLAIN = lambda x: rf"trim(regexp_replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g'), ' ')"
+
+
+@query(rf"""{_LINKS}, g AS (SELECT page_id, string_agg('- [' || text || '](' || url || ')', chr(10) ORDER BY k) AS links FROM u GROUP BY page_id),
+m AS (SELECT page_id, url, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(h, '(?s)<article[^>]*>(.*?)</article>', 1) AS main FROM p)
+SELECT m.page_id, '# ' || {_PLAIN('title')} || chr(10) || chr(10) || url || chr(10) || chr(10) || {_PLAIN('main')} || coalesce(chr(10) || chr(10) || '## Links' || chr(10) || chr(10) || links, '') AS markdown FROM m LEFT JOIN g ON g.page_id = m.page_id""")
 def page_markdown(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", html.markdown(F.col("extracted"), F.col("url")).alias("markdown"))
 
