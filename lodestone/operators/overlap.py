@@ -1,7 +1,7 @@
 """Exact set-similarity join: all pairs of texts whose shingle sets have at least a given Jaccard similarity.
 
 Prefix filter: in one order of all shingles, two sets with Jaccard t or more share one of their first n - ceil(t n) + 1. Only these
-are posted. The order puts shingles that are frequent in a bounded sample last; it decides the cost, never the result. A pair comes
+are posted. The order puts shingles that are frequent in a share of the texts last; it decides the cost, never the result. A pair comes
 from each shared shingle whose predecessors differ (the first shared one is always such), if sizes and positions allow the
 overlap; candidates are verified on the whole sets. Shingles are compared by 64 bits of XXH64.
 
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from lodestone.runtime import discard, materialize, ship_package
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 20_000  # of fewer texts all are counted, of more every fourth, so that the order is as good at every size
+SAMPLE_SHARE = 4
 SAMPLE_SHINGLES = 1_000_000
 BITMAP_BITS = 26
 SEEN_IDS = 100_000  # a task leaves out copies it has met; which it remembers does not matter
@@ -87,8 +88,8 @@ def _sets(texts: DataFrame, cut: Cut, wanted: DataFrame | None = None, bits: int
 
 
 def _frequent(texts: DataFrame, cut: Cut, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) and their counts in a sample, the most frequent ones only."""
-    share = max(1, texts.count() // sample_rows)
+    """Shingles (sorted) and their counts in a share of the texts, at most SAMPLE_SHINGLES of them, the most frequent ones."""
+    share = min(SAMPLE_SHARE, max(1, texts.count() // sample_rows))
     drawn = _sets(texts.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0), cut)
     counted = drawn.select(F.explode("grams").alias("gram")).groupBy("gram").count().where("count > 1").orderBy(F.desc("count"), "gram").limit(SAMPLE_SHINGLES).toArrow()
     grams, counts = counted.column(0).to_numpy(), counted.column(1).to_numpy()
@@ -161,12 +162,16 @@ def postings(texts: DataFrame, cut: Cut, least: float, *, sample_rows: int = SAM
     return materialize(found, "postings")
 
 
-def _allowed(least: float, a: list[Column], b: list[Column]) -> Column:
-    """Whether two postings (prev, size, at) of one shingle allow Jaccard ``least``, and their predecessors differ."""
+def _likely(least: float, a: list[Column], b: list[Column]) -> Column:
+    """Whether sizes and positions of two postings (prev, size, at) of one shingle allow Jaccard ``least``."""
     need = least / (1 + least) * (a[1] + b[1]) - 1e-6
-    first = (a[2] == 0) | (b[2] == 0) | (a[0] != b[0])
     rest = F.least(a[1] - a[2], b[1] - b[2]) >= need
-    return first & rest & (F.least(a[1], b[1]) >= least * F.greatest(a[1], b[1]) - 1e-6)
+    return rest & (F.least(a[1], b[1]) >= least * F.greatest(a[1], b[1]) - 1e-6)
+
+
+def _allowed(least: float, a: list[Column], b: list[Column]) -> Column:
+    """Whether they do and the predecessors differ, so that a pair comes once for a run of shared shingles."""
+    return ((a[2] == 0) | (b[2] == 0) | (a[0] != b[0])) & _likely(least, a, b)
 
 
 def _of(alias: str, prefix: str = "") -> list[Column]:
@@ -182,25 +187,28 @@ def candidates(posted: DataFrame, least: float) -> DataFrame:
 
 def candidates_across(posted: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """left_id, right_id: the pairs that the postings allow between ids of unequal labels. ``labels``: node, component; other ids stand for
-    themselves. Pairs of one label are never formed: a shingle's labels meet first, then the postings of two labels."""
+    themselves. Pairs of one label are never formed: a shingle's labels meet first, then the postings of two labels. Sizes are dealt into
+    classes a factor of 1 / ``least`` wide, so that only equal or neighbouring classes can hold a pair."""
     named = posted.select("gram", "id", "prev", "size", "at").join(labels, posted.id == labels.node, "left")
-    named = named.select("gram", F.coalesce("component", "id").alias("label"), "id", "prev", "size", "at")
+    step = F.floor(F.log(F.col("size")) / math.log(1 / least) + 1e-9).cast("int")
+    named = named.select("gram", F.coalesce("component", "id").alias("label"), "id", "prev", "size", "at", step.alias("step"))
     several = named.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
     mixed = materialize(named.join(several, "gram", "left_semi"), "mixed-postings")
-    own = mixed.select("gram", "label").distinct()
-    met = own.alias("x").join(own.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.label") < F.col("y.label")))
-    met = met.select(F.col("x.gram").alias("gram"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).alias("m")
-    left = met.join(mixed.alias("a"), (F.col("m.gram") == F.col("a.gram")) & (F.col("m.la") == F.col("a.label")))
-    left = left.select("m.gram", "lb", F.col("a.id").alias("a_id"), *[F.col(f"a.{c}").alias(f"a_{c}") for c in ("prev", "size", "at")]).alias("l")
+    own = mixed.select("gram", "label", "step").distinct()
+    near = own.select("gram", F.col("label").alias("lb"), F.col("step").alias("sb"), F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step"))
+    met = own.withColumnRenamed("label", "la").join(near, ["gram", "step"]).where("la < lb").alias("m")
+    left = met.join(mixed.alias("a"), (F.col("m.gram") == F.col("a.gram")) & (F.col("m.la") == F.col("a.label")) & (F.col("m.step") == F.col("a.step")))
+    left = left.select("m.gram", "lb", "sb", F.col("a.id").alias("a_id"), *[F.col(f"a.{c}").alias(f"a_{c}") for c in ("prev", "size", "at")]).alias("l")
     allowed = _allowed(least, _of("l", "a_"), _of("b"))
-    pairs = left.join(mixed.alias("b"), (F.col("l.gram") == F.col("b.gram")) & (F.col("l.lb") == F.col("b.label")) & allowed)
+    pairs = left.join(mixed.alias("b"), (F.col("l.gram") == F.col("b.gram")) & (F.col("l.lb") == F.col("b.label")) & (F.col("l.sb") == F.col("b.step")) & allowed)
     return pairs.select(F.least("l.a_id", "b.id").alias("left_id"), F.greatest("l.a_id", "b.id").alias("right_id")).distinct()
 
 
 def hubs(posted: DataFrame, least: float) -> DataFrame:
-    """left_id, right_id: each posting beside the smallest id of its shingle, where both allow the similarity."""
+    """left_id, right_id: each id beside that smallest id of a shingle with which it shares most shingles, where both allow the similarity."""
     p = posted.alias("p")
-    return p.where((F.col("hub_id") < F.col("id")) & _allowed(least, _of("p", "hub_"), _of("p"))).select(F.col("hub_id").alias("left_id"), F.col("id").alias("right_id")).distinct()
+    met = p.where((F.col("hub_id") < F.col("id")) & _likely(least, _of("p", "hub_"), _of("p"))).groupBy("id", "hub_id").agg(F.count("*").alias("n"))
+    return met.groupBy("id").agg(F.max_by("hub_id", F.struct("n", -F.col("hub_id"))).alias("hub_id")).select(F.col("hub_id").alias("left_id"), F.col("id").alias("right_id"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, cut: Cut, least: float) -> DataFrame:
