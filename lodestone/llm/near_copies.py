@@ -2,8 +2,8 @@
 
 Candidates come from two sides. SimHash (``simhash.links``) gives the pairs of fingerprints that differ in few bits, which
 are most near copies, but not all: at a Jaccard similarity of 0.8 fingerprints differ in some ten bits, and a limit that wide no longer selects.
-An exact join (``operators.overlap``) gives the rest: first each text meets the smallest id of each shingle of its prefix, which joins
-large classes by a linear number of pairs; then all pairs that the prefix filter allows between different classes so far.
+An exact join (``operators.overlap``) gives the rest: first each text meets one other, of the smallest ids of its shingles that with which it shares
+most, which joins large classes by one pair a text; then all pairs that the prefix filter allows between different classes so far.
 Only pairs whose whole shingle sets are similar enough become links.
 
 A text is named by 64 bits of its hash, so copies are one node. Defined results: fewer words than a shingle are one shingle; texts
