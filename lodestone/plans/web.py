@@ -44,12 +44,17 @@ def page_links(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", F.explode("extracted.links").alias("l")).select("page_id", "l.text", "l.url")
 
 
-_PLAIN = lambda x: rf"trim(regexp_replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g'), ' ')"
+def _plain(x: str) -> str:
+    """Text of a piece of HTML in SQL: tags to spaces, entities decoded, white space collapsed."""
+    out = rf"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{sign}')"
+    return rf"trim(regexp_replace({out}, '[\s\x{{00A0}}]+', ' ', 'g'), ' ')"
 
 
 @query(rf"""{_LINKS}, g AS (SELECT page_id, string_agg('- [' || text || '](' || url || ')', chr(10) ORDER BY k) AS links FROM u GROUP BY page_id),
-m AS (SELECT page_id, url, regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(h, '(?s)<article[^>]*>(.*?)</article>', 1) AS main FROM p)
-SELECT m.page_id, '# ' || {_PLAIN('title')} || chr(10) || chr(10) || url || chr(10) || chr(10) || {_PLAIN('main')} || coalesce(chr(10) || chr(10) || '## Links' || chr(10) || chr(10) || links, '') AS markdown FROM m LEFT JOIN g ON g.page_id = m.page_id""")
+m AS (SELECT page_id, url, {_plain("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")} AS title, {_plain("regexp_extract(h, '(?s)<article[^>]*>(.*?)</article>', 1)")} AS main, {_plain("regexp_extract(h, '(?s)<body[^>]*>(.*)</body>', 1)")} AS body FROM p)
+SELECT m.page_id, '# ' || title || chr(10) || chr(10) || url || chr(10) || chr(10) || CASE WHEN strlen(main) >= 100 THEN main ELSE body END || coalesce(chr(10) || chr(10) || '## Links' || chr(10) || chr(10) || links, '') AS markdown FROM m LEFT JOIN g ON g.page_id = m.page_id""")
 def page_markdown(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", html.markdown(F.col("extracted"), F.col("url")).alias("markdown"))
 
