@@ -62,3 +62,25 @@ def test_every_row_has_a_result(spark, odd, name):
     if name.startswith("op1_"):
         by = {r.page_id: (r.record_type, r.refers_to) for r in rows}
         assert by[6] == ("response", None) and by[2] == ("revisit", 6) and by[0] == ("revisit", 4) and by[4] == ("response", None)
+
+
+def test_pipeline_on_empty_tables(spark, empty):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+def test_pipeline_on_odd_tables(spark, odd):
+    """Copies, the contaminated and what is repeated go; the rest keeps its text, whatever it is."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    rows = {r.doc_id: r for r in corpus_pipeline.run(spark, odd).collect()}
+    assert set(rows) <= {r.doc_id for r in docs.collect()}
+    # 1 and 2 are copies of the empty 0, 4 of 3; 3 and 5 hold the benchmark's one word; 7 is a near copy of 6, and 9 of 8, of whose
+    # two texts one stays, which is contaminated or not
+    assert set(rows) - {8} == {0, 6, 10, 11}
+    assert rows[0].n_tokens == 0 and rows[6].n_tokens > 40_000
+    assert rows[6].decoded_sha256 == hashlib.sha256(" ".join(f"word{k % 977}" for k in range(40_000)).encode()).hexdigest()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), odd).columns == list(corpus_pipeline.COLUMNS), name
