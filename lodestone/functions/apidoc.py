@@ -207,3 +207,12 @@ def structure(files: DataFrame, *, id_column: str = "path", column: str = "code"
 
     own = files.where(F.col(language).isin("python", *BRANCHES)).select(F.col(id_column).alias("id"), F.col(column).alias("code"), F.col(language).alias("language"))
     return own.mapInPandas(run, f"id {kind}, name string, first_line int, last_line int, complexity int").withColumnRenamed("id", id_column)
+
+
+def mined_example(code: Column, name: Column, reach: int = 5) -> Column:
+    """struct of line (from 0) and text: the first line that holds the name, with ``reach`` lines to either side; null where none does."""
+    rows = lines(code)
+    at = F.array_position(F.transform(rows, lambda x: F.contains(x, name)), True)
+    first = F.greatest(at - reach, F.lit(1)).cast("int")
+    text = F.array_join(F.slice(rows, first, (at - first + reach + 1).cast("int")), "\n")
+    return F.when(at > 0, F.struct((at - 1).alias("line"), text.alias("text")))

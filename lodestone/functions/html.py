@@ -204,3 +204,24 @@ def markdown(extracted: Column, url: Column) -> Column:
     links = F.transform(extracted["links"], lambda a: F.concat(F.lit("- ["), a["text"], F.lit("]("), a["url"], F.lit(")")))
     head = F.concat(F.lit("# "), F.coalesce(extracted["title"], F.lit("Untitled")), F.lit("\n\n"), F.coalesce(url, F.lit("")), F.lit("\n\n"), extracted["main"])
     return F.concat_ws("", head, part("Code", code), part("API", apis), part("Links", links))
+
+
+def regex_main(html: Column, default: str = "") -> Column:
+    """The first main, article or content block by regular expressions, tags out and white space collapsed; no parser."""
+    blocks = (r"(?is)<main[^>]*>(.*?)</main>", r"(?is)<article[^>]*>(.*?)</article>", r"(?is)<div[^>]*class=[\"'][^\"']*content[^\"']*[\"'][^>]*>(.*?)</div>")
+    found = F.coalesce(*[F.nullif(F.regexp_extract(html, b, 1), F.lit("")) for b in blocks], F.lit(default))
+    bare = F.regexp_replace(F.regexp_replace(found, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), "<[^>]*>", " ")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+
+
+def longest(*candidates: Column) -> Column:
+    """The candidate of most bytes, the first of equals; nulls do not count."""
+    best = F.greatest(*[F.coalesce(F.octet_length(c), F.lit(-1)) for c in candidates])
+    return F.coalesce(*[F.when(F.octet_length(c) == best, c) for c in candidates])
+
+
+def head(html: Column, title: str = "Documentation", description: str = "Package documentation") -> Column:
+    """struct of title and meta description by plain search, with defaults, and the length in bytes."""
+    named = F.nullif(F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1), F.lit(""))
+    about = F.nullif(F.regexp_extract(html, r'(?s)<meta name="description" content="(.*?)">', 1), F.lit(""))
+    return F.struct(F.coalesce(named, F.lit(title)).alias("title"), F.coalesce(about, F.lit(description)).alias("description"), F.octet_length(html).alias("length"))

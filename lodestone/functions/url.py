@@ -202,3 +202,18 @@ def repository_urls(url: Column) -> Column:
     pages = _below(base, ("/releases", "/tags", *LOG_FILES, "/wiki"))
     more = F.array(F.concat(F.lit("https://"), owner, F.lit(".github.io/"), name), F.concat(F.lit("https://api.github.com/repos/"), owner, F.lit("/"), name, F.lit("/releases")))
     return F.when(owner != "", F.concat(pages, more)).otherwise(F.array().cast("array<string>"))
+
+
+# fixed values: where sites keep documentation
+DOC_FOLDERS = ("/docs", "/documentation", "/api", "/reference", "/guide", "/tutorial", "/examples", "/readme", "/manual", "/help", "/wiki", "/getting-started")
+LANGUAGE_FOLDERS = {
+    "rust": ("/rustdoc", "/docs/rust", "/doc", "/book"), "python": ("/docs/python", "/py-modindex.html", "/sphinx", "/pydoc"), "javascript": ("/docs/js", "/jsdoc", "/typedoc", "/api/js"),
+    "typescript": ("/docs/js", "/jsdoc", "/typedoc", "/api/js"), "java": ("/javadoc", "/docs/java", "/apidocs"), "go": ("/godoc", "/docs/go"),
+}
+
+
+def discovered(url: Column, language: str, versions: tuple[str, ...] = ("latest", "stable")) -> Column:
+    """Candidate documentation URLs of a site: common folders, the language's, and both below each version; each once."""
+    base = F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1)
+    own = (*DOC_FOLDERS, *LANGUAGE_FOLDERS.get(language, ()))
+    return F.array_distinct(_below(base, (*own, *(f"/{v}{p}" for v in versions for p in ("", *LANGUAGE_FOLDERS.get(language, ()))))))

@@ -42,3 +42,39 @@ def loops(visits: DataFrame, *, most: int = 3, recent: int = 2, minutes: int = 5
     near = visits.join(last, "page").where(F.col("ts") >= F.col("last") - F.expr(f"INTERVAL {minutes} MINUTES"))
     counts = near.groupBy("page").agg(F.count("*").alias("near"), F.first("n").alias("n"))
     return counts.where((F.col("n") > most) | (F.col("near") > recent))
+
+
+def accepted(tasks: DataFrame, visited: DataFrame, *, max_depth: int, min_score: float) -> DataFrame:
+    """Tasks (page, depth, score) that may be visited: below the depth, relevant enough, not yet visited, each page once."""
+    fresh = tasks.where((F.col("depth") < max_depth) & (F.col("score") >= min_score)).join(visited.select("page"), "page", "left_anti")
+    return first_wins(fresh, ["page"], ["depth", F.desc("score")])
+
+
+def finished(pages: int, frontier: int, relevant: int, *, max_pages: int = 100, enough: int = 20) -> str | None:
+    """Why a crawl stops, or None while it goes on."""
+    if pages >= max_pages:
+        return "page budget"
+    if frontier == 0:
+        return "nothing left"
+    return "enough relevant pages" if relevant >= enough else None
+
+
+def library(pages: DataFrame, route: Column) -> DataFrame:
+    """Pages (library, page_id, text) routed by kind: api, tutorial, example or other; per library the counts, quality and completeness."""
+    from lodestone.functions.insight import library_scores
+
+    counts = pages.withColumn("kind", route).groupBy("library").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("api", "tutorial", "example", "other")])
+    scores = library_scores(F.col("other") > 0, F.col("api") > 0, F.col("tutorial") > 0, F.col("example") > 0, F.lit(False))
+    return counts.select("*", scores["quality"].alias("quality"), scores["completeness"].alias("completeness"))
+
+
+# fixed values: what a crawl of each kind looks for, how deep and how far
+TEMPLATES = {
+    "documentation": (("doc", "api", "reference"), 3, 50), "tutorial": (("tutorial", "guide", "example"), 2, 30), "changelog": (("changelog", "release"), 2, 20),
+}
+
+
+def tasks(libraries: DataFrame, kind: str) -> DataFrame:
+    """Crawl tasks of (library, url) by a template: keywords, max_depth, max_pages."""
+    words, depth, pages = TEMPLATES[kind]
+    return libraries.select("library", "url", F.array(*[F.lit(w) for w in words]).alias("keywords"), F.lit(depth).alias("max_depth"), F.lit(pages).alias("max_pages"))

@@ -217,3 +217,8 @@ def expand_query(query: Column, language: Column) -> Column:
 
 def rerank(hits: DataFrame, threshold: float = 0.5, k: int = 10, *, id_column: str = "doc_id") -> DataFrame:
     return hits.where(F.col("score") >= threshold).orderBy(F.desc("score"), id_column).limit(k)
+
+
+def weighted(vector_score: Column, text_score: Column, vector_weight: float = 0.7, text_weight: float = 0.3) -> Column:
+    """Caller's weights; a missing score counts 0."""
+    return vector_weight * F.coalesce(vector_score, F.lit(0.0)) + text_weight * F.coalesce(text_score, F.lit(0.0))

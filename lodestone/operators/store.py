@@ -77,3 +77,33 @@ def fallback(sources: list[DataFrame], keys: list[str]) -> DataFrame:
         rows = rows.unionByName(s)
     best = F.min("__source").over(Window.partitionBy(*keys))
     return rows.withColumn("__best", best).where("__source = __best").drop("__source", "__best")
+
+
+def exists(docs: DataFrame, condition) -> bool:
+    return docs.where(condition).limit(1).count() > 0
+
+
+def files(docs: DataFrame, keys: dict, path: str = "file_path") -> DataFrame:
+    """The distinct paths of a package's fragments; ``keys``: column to value."""
+    out = docs
+    for column, value in keys.items():
+        out = out.where(F.col(column) == value)
+    return out.select(path).distinct()
+
+
+def delete_package(docs: DataFrame, keys: dict) -> DataFrame:
+    """All but the rows in which every key column has its value; a null is not equal to any."""
+    match = F.lit(True)
+    for column, value in keys.items():
+        match = match & F.col(column).eqNullSafe(F.lit(value))
+    return docs.where(~match)
+
+
+def write_both(docs: DataFrame, path: str, *, id_column: str = "doc_id", column: str = "text", vector: str = "embedding") -> tuple[str, str]:
+    """One write to two tables: terms (dealt by the term's first character) and vectors. A reader sees both or neither, by their marker files."""
+    from lodestone.operators.ingest import inverted_index
+
+    terms, vectors = f"{path}/terms", f"{path}/vectors"
+    inverted_index(docs, id_column=id_column, column=column).withColumn("head", F.md5(F.left("term", F.lit(1))).substr(1, 2)).write.mode("overwrite").partitionBy("head").parquet(terms)
+    docs.select(id_column, vector).write.mode("overwrite").parquet(vectors)
+    return terms, vectors

@@ -53,7 +53,7 @@ def _plain(x: str) -> str:
 
 
 @query(rf"""{_LINKS}, g AS (SELECT page_id, string_agg('- [' || text || '](' || url || ')', chr(10) ORDER BY k) AS links FROM u GROUP BY page_id),
-m AS (SELECT page_id, url, {_plain("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")} AS title, {_plain("regexp_extract(h, '(?s)<article[^>]*>(.*?)</article>', 1)")} AS main, {_plain("regexp_extract(h, '(?s)<body[^>]*>(.*)</body>', 1)")} AS body FROM p)
+m AS (SELECT page_id, url, {_plain("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")} AS title, {_plain("regexp_extract(h, '(?s)<article[^>]*>(.*?)</article>', 1)")} AS main, {_plain("regexp_extract(h, '(?s)<body[^>]*>(.*?)(?:</body>|$)', 1)")} AS body FROM p)
 SELECT m.page_id, '# ' || title || chr(10) || chr(10) || url || chr(10) || chr(10) || CASE WHEN strlen(main) >= 100 THEN main ELSE body END || coalesce(chr(10) || chr(10) || '## Links' || chr(10) || chr(10) || links, '') AS markdown FROM m LEFT JOIN g ON g.page_id = m.page_id""")
 def page_markdown(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", html.markdown(F.col("extracted"), F.col("url")).alias("markdown"))

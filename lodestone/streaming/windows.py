@@ -79,3 +79,11 @@ def ingest_once(stream: DataFrame, keys: list[str], sink: str, checkpoint: str):
         fresh.write.mode("append").parquet(sink)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def response_cache(answers: DataFrame, keys: list[str], as_of, ttl_seconds: int, ts: str = "ts") -> DataFrame:
+    """key (SHA-256 of the asked fields), ts and valid of the latest answer to each question."""
+    key = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), 256)
+    latest = answers.groupBy(key.alias("key")).agg(F.max(ts).alias("ts"))
+    age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))
+    return latest.withColumn("valid", age <= ttl_seconds)
