@@ -272,3 +272,42 @@ def test_store(spark, tmp_path):
     store.snapshot(docs.drop("created_at"), str(tmp_path / "s/a"))
     store.snapshot(new, str(tmp_path / "s/b"))
     assert store.load(spark, str(tmp_path / "s/*")).columns == ["doc_id", "text", "created_at"]
+
+
+def test_configuration_and_parameters(tmp_path):
+    from lodestone import config
+
+    assert config.load((str(tmp_path / "none.toml"),)) == config.DEFAULT
+    path = tmp_path / "own.toml"
+    path.write_text("chunk_size = 50\nhybrid_weights = [0.5, 0.5]\n")
+    got = config.load((str(tmp_path / "none.toml"), str(path)))
+    assert got.chunk_size == 50 and got.hybrid_weights == (0.5, 0.5) and got.chunk_overlap == config.DEFAULT.chunk_overlap
+    path.write_text("chunk = 1\n")
+    with pytest.raises(ValueError):
+        config.load((str(path),))
+    rules = {"query": {"type": str, "required": True, "least": 1}, "limit": {"type": int, "least": 1, "most": 100}, "language": {"one_of": ("rust", "go")}}
+    assert config.validate({"query": "a", "limit": 5, "language": "go"}, rules) == []
+    assert config.validate({"limit": 500, "language": "c", "more": 1}, rules) == ["query is missing", "limit is out of range", "language is none of ['rust', 'go']", "more is unknown"]
+    assert config.validate({"query": "", "limit": True}, rules) == ["query is out of range", "limit is no int"]
+
+
+def test_crawl_stops():
+    assert crawl.finished(100, 5, 0) == "page budget" and crawl.finished(3, 0, 0) == "nothing left"
+    assert crawl.finished(3, 5, 20) == "enough relevant pages" and crawl.finished(3, 5, 1) is None
+
+
+def test_structure_of_unreadable_and_hostile_code(spark):
+    from lodestone.functions import apidoc
+
+    rows = [("a", "def f(:", "python"), ("b", "fn f() {" * 3000, "rust"), ("c", None, "python"), ("d", "function g(a) { if (a) { for(;;){} } while(a) {} }", "typescript"), ("e", "fn f() {}", "go")]
+    got = {r.path: (r.name, r.complexity) for r in apidoc.structure(spark.createDataFrame(rows[:1] + rows[2:], "path string, code string, language string")).collect()}
+    assert got == {"d": ("g", 3)}
+    assert apidoc.structure(spark.createDataFrame([("b", "fn f() {" * 300, "rust")], "path string, code string, language string")).count() == 300
+
+
+def test_html_of_any_depth_and_length(spark):
+    from lodestone.functions import html
+
+    deep, long = "<div>" * 30_000 + "end", "<p>word</p>" * 50_000
+    rows = html.extract(spark.createDataFrame([("u", deep), ("u", long), ("u", "<a href='http://[x'>t</a><<<>&#xffffffff;")], "url string, html string")).select(F.length("extracted.main").alias("n")).collect()
+    assert sorted(r.n for r in rows)[-1] == 5 * 50_000 - 1
