@@ -22,6 +22,7 @@ from lodestone.functions.text import (
     structure, structure_similarity, tokens,
 )
 from lodestone.operators import overlap
+from lodestone.runtime import materialize
 
 _STOP = frozenset(STOP_WORDS)
 
@@ -102,7 +103,7 @@ def near_duplicates(
     """left_id, right_id, similarity, same_text: pairs of unequal texts at or over the threshold, and each copy beside the smallest id of its text."""
     given = docs.where(F.length(column) > 0)
     members, texts = overlap.representatives(given, F.sha2(F.col(column), 256), id_column=id_column, column=column)
-    words = texts.select("id", F.array_join(tokens(F.lower(normalize(F.col("text")))), " ").alias("text"))
+    words = materialize(texts.select("id", F.lower(normalize(F.col("text"))).alias("text")), "words")
     pairs = overlap.verified(overlap.candidates(overlap.postings(words, word_bigrams, least), least), words, word_bigrams, least)
     named = pairs.select(F.col("left_id").alias("id")).union(pairs.select("right_id")).distinct()
     own = features(texts.join(named, "id", "left_semi"), sep=sep, id_column="id")
