@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, langid, merkle, simhash, substring, tokenfile, toxicity, urlfilter, warc
+from lodestone.llm import bpe, decontam, langid, merkle, piece_bpe, simhash, substring, tokenfile, toxicity, urlfilter, warc
 from lodestone.runtime import scratch_path
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -89,6 +89,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.offsets(tokenfile.read(spark, out))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ids=False, digests=True)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
