@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, langid, merkle, piece_bpe, repair, simhash, substring, tokenfile, toxicity, urlfilter, warc
+from lodestone.llm import bpe, decontam, langid, merkle, piece_bpe, repair, simhash, substring, tokenfile, toxicity, turn_trie, urlfilter, warc
 from lodestone.runtime import scratch_path
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -98,6 +98,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.repair(repair.damage(conversations)), conversations)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.nodes(*turn_trie.rebuilt(turn_trie.sequences(_table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
