@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lodestone.functions.version_keys import semver
+
 # fixed values: what the lines of release notes are searched for
 VERSION_PATTERNS = (r"(?i)version\s+(\d+\.\d+(?:\.\d+)?)", r"(?i)v?(\d+\.\d+(?:\.\d+)?)", r"(?i)release\s+(\d+\.\d+(?:\.\d+)?)")
 FEATURE_PATTERNS = (r"(?i)added?\s+(.+)", r"(?i)new\s+(.+)", r"(?i)introduced?\s+(.+)", r"(?i)implemented?\s+(.+)", r"(?i)stabilized?\s+(.+)")
@@ -26,14 +28,9 @@ def is_prerelease(tag: Column) -> Column:
     return F.lower(tag).rlike("alpha|beta|rc")
 
 
-def sort_key(version: Column, parts: int = 4) -> Column:
-    """array<int> that orders versions by their numbers; missing and odd parts count 0."""
-    numbers = F.split(F.regexp_replace(version, "^[vV]", ""), r"[.\-+]")
-    return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.coalesce(F.get(numbers, k).try_cast("int"), F.lit(0)))
-
-
 def needs_update(current: Column, target: Column) -> Column:
-    return sort_key(target) > sort_key(current)
+    """Whether the target is the later version by SemVer; null where one of them is none."""
+    return semver(target) > semver(current)
 
 
 def from_output(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import classify, html, url, versions
+from lodestone.functions import classify, html, url, version_keys, versions
 from lodestone.operators.store import first_wins
 from lodestone.plans.base import query, table, words_sql
 
@@ -176,6 +176,6 @@ def version_sort(spark, sf_dir):
 
     version = F.concat_ws(".", "p_size", F.col("p_partkey") % 13, F.col("p_partkey") % 7)
     rows = table(spark, sf_dir, "part").withColumn("version", version)
-    return rows.select("p_partkey", "version", F.row_number().over(Window.partitionBy("p_brand").orderBy(versions.sort_key(F.col("version")), "p_partkey")).alias("rank"), versions.needs_update(F.col("version"), F.lit("20.5.3")).alias("outdated"))
+    return rows.select("p_partkey", "version", F.row_number().over(Window.partitionBy("p_brand").orderBy(version_keys.semver(F.col("version")), "p_partkey")).alias("rank"), versions.needs_update(F.col("version"), F.lit("20.5.3")).alias("outdated"))
 
 
