@@ -1,7 +1,7 @@
 """Vector, keyword and fused search.
 
-Exact nearest neighbours of many queries: each Arrow batch of stored vectors meets all query vectors in one matrix product and
-keeps its own top k, which the shuffle then merges, so k rows a query and batch move. The query side is checked
+Exact nearest neighbours of many queries: each Arrow batch of stored vectors meets all query vectors in one matrix product, what can be among the
+first k is computed exactly, and the batch keeps its own top k, which the shuffle then merges, so k rows a query and batch move. The query side is checked
 against a bound before it is sent to the tasks; larger query sets are cut into portions of that size.
 """
 
@@ -31,6 +31,29 @@ def knn(vectors: DataFrame, query: list[float], k: int = 10, *, metric: str = "l
     return scored.orderBy(F.desc("score"), id_column).limit(k)
 
 
+def nearest_scores(queries: np.ndarray, vectors: np.ndarray, k: int, apart: np.ndarray | None = None) -> np.ndarray:
+    """1 / (1 + distance), to six places, of each query (row) and vector (column) that can be among the query's first k; -inf for others.
+
+    A matrix product on centred vectors gives all distances with a bound of their error, which says what is computed once more, from
+    differences. Pairs that are ``apart`` do not count.
+    """
+    centre = queries.mean(0)
+    a, b = queries - centre, vectors - centre
+    squares = (a**2).sum(1)[:, None] + (b**2).sum(1)[None]
+    near = squares - 2 * a @ b.T
+    error = squares * (4 * (queries.shape[1] + 8) * np.finfo(np.float64).eps) + np.finfo(np.float64).tiny
+    least, most = (1 / (1 + np.sqrt(np.maximum(near + e, 0))) for e in (error, -error))
+    if apart is not None:
+        least[apart] = most[apart] = -np.inf
+    limit = np.partition(least, -k, axis=1)[:, -k] if k < least.shape[1] else np.full(len(least), -np.inf)
+    rows, columns = np.nonzero((most >= limit[:, None] - 2e-6) & (most > -np.inf))  # scores that round to the same are ties
+    out = np.full(near.shape, -np.inf)
+    for at in range(0, len(rows), 20_000):
+        i, j = rows[at : at + 20_000], columns[at : at + 20_000]
+        out[i, j] = np.round(1 / (1 + np.sqrt(((queries[i] - vectors[j]) ** 2).sum(1))), 6)
+    return out
+
+
 def knn_batch(
     vectors: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "l2", id_column: str = "vec_id", column: str = "embedding",
     exclude_self: bool = False, config: Config = DEFAULT, depth: int = 0,
@@ -69,14 +92,14 @@ def knn_batch(
                 flat = column_.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
                 for start in range(0, len(queries_), 512):
                     own = queries_[start : start + 512]
+                    apart = query_ids[start : start + 512][:, None] == ids[at][None] if exclude_self else None
                     if metric == "l2":
-                        score = 1 / (1 + np.sqrt(((own[:, None, :] - flat[None, :, :]) ** 2).sum(2)) if d * len(flat) * len(own) <= 4_000_000 else 1 + np.sqrt(np.maximum((own**2).sum(1)[:, None] + (flat**2).sum(1)[None] - 2 * own @ flat.T, 0)))
+                        score = nearest_scores(own, flat, k, apart)
                     else:
                         norms = np.sqrt((own**2).sum(1))[:, None] * np.sqrt((flat**2).sum(1))[None]
-                        score = np.where(norms > 0, own @ flat.T / np.where(norms > 0, norms, 1), 0.0)
-                    score = np.round(score, 6)
-                    if exclude_self:
-                        score[query_ids[start : start + 512][:, None] == ids[at][None]] = -np.inf
+                        score = np.round(np.where(norms > 0, own @ flat.T / np.where(norms > 0, norms, 1), 0.0), 6)
+                        if apart is not None:
+                            score[apart] = -np.inf
                     keep = min(k, len(at))
                     order = np.lexsort((np.broadcast_to(ids[at], score.shape), -score), axis=1)[:, :keep]
                     q = np.repeat(query_ids[start : start + 512], keep)
