@@ -100,10 +100,11 @@ def delete_package(docs: DataFrame, keys: dict) -> DataFrame:
 
 
 def write_both(docs: DataFrame, path: str, *, id_column: str = "doc_id", column: str = "text", vector: str = "embedding") -> tuple[str, str]:
-    """One write to two tables: terms (dealt by the term's first character) and vectors. A reader sees both or neither, by their marker files."""
+    """One write to two tables: terms (sorted by term) and vectors. Both go to a new folder that one marker shows to readers
+    (``publish.read(spark, path, "terms")``), so these see both of one write or both of the one before."""
     from lodestone.operators.ingest import inverted_index
+    from lodestone.operators.publish import publish
 
-    terms, vectors = f"{path}/terms", f"{path}/vectors"
-    inverted_index(docs, id_column=id_column, column=column).withColumn("head", F.md5(F.left("term", F.lit(1))).substr(1, 2)).write.mode("overwrite").partitionBy("head").parquet(terms)
-    docs.select(id_column, vector).write.mode("overwrite").parquet(vectors)
-    return terms, vectors
+    terms = inverted_index(docs, id_column=id_column, column=column)
+    folder = publish(docs.sparkSession, path, {"terms": terms, "vectors": docs.select(id_column, vector)}, sort={"terms": ["term"]})
+    return f"{folder}/terms", f"{folder}/vectors"

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import search, store
+from lodestone.operators import search, store, text_index, vector_index
 from lodestone.plans.base import list_sql, query, table
+from lodestone.runtime import scratch_path
 
 QUERY = "the tion version of license"
 
@@ -40,6 +41,30 @@ def knn_batch_l2(spark, sf_dir):
     return search.knn_batch(vectors, queries, 5, exclude_self=True)
 
 
+def _every_twentieth(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(f"""
+SELECT query_id, id, score, rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id AS id, round(1 / (1 + {_L2}), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 / (1 + {_L2}), 6) DESC, e.vec_id) AS rank
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) WHERE rank <= 10""")
+def vector_index_search(spark, sf_dir):
+    """The index without a limit of probes: exact, by the cells' and the codes' bounds."""
+    vectors, queries = _every_twentieth(spark, sf_dir)
+    return vector_index.search(vector_index.build(vectors), queries, 10)
+
+
+@query()
+def vector_index_probes(spark, sf_dir):
+    """As many probes as a measured recall of 0.9 asks for; approximate, so tested by its recall."""
+    vectors, queries = _every_twentieth(spark, sf_dir)
+    index = vector_index.build(vectors)
+    probes, _ = vector_index.calibrate(index, vectors, queries.orderBy("query_id").limit(100), exclude_self=True)
+    return vector_index.search(index, queries, 10, probes=probes, exclude_self=True)
+
+
 def _documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.lit("").alias("title"), F.col("text").alias("content"), F.col("lang").alias("language"), F.col("source").alias("package_name"), F.lit("").alias("doc_type")
@@ -80,6 +105,21 @@ def bm25_topk(spark, sf_dir):
     return search.bm25(table(spark, sf_dir, "documents"), QUERY)
 
 
+_QUERIES = (QUERY, "license", "the and of in die der le la", "nowhere tion zzz")
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS query, doc_id, score FROM ({_bm25_sql(sorted(set(q.split())), 10)})" for k, q in enumerate(_QUERIES)))
+def text_index_topk(spark, sf_dir):
+    """BM25 by the impact-ordered index; what every query reads of it follows the best documents, not the corpus."""
+    root = scratch_path(spark, "text-index")
+    text_index.build(table(spark, sf_dir, "documents"), root)
+    found = None
+    for k, q in enumerate(_QUERIES):
+        rows = text_index.search(spark, root, q).rows.select(F.lit(k).alias("query"), F.col("id").alias("doc_id"), "score")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query(f"""
 WITH a AS ({_bm25_sql(sorted(set(QUERY.split())), 20)}),
 b AS (SELECT e.vec_id AS doc_id, round(1 / (1 + {_L2}), 6) AS score FROM embeddings e, {_Q0} ORDER BY score DESC, e.vec_id LIMIT 20)
