@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import lines
+from lodestone.functions.lexer import blanked
 from lodestone.runtime import ship_package
 
 # fixed values: how definitions look in each language; the group numbers are (name, parameters, result)
@@ -171,19 +173,29 @@ def _python_nodes(code: str) -> list[tuple[str, int, int, int]]:
 
 
 def _brace_nodes(code: str, language: str) -> list[tuple[str, int, int, int]]:
-    """Functions by matching braces; a branch counts where it stands directly in the body."""
-    out = []
-    for m in re.finditer(FUNCTIONS["rust" if language == "rust" else "javascript"][0], code):
-        depth, at, count = 1, m.end(), 1
-        if code[at - 1] != "{":
-            continue
-        while at < len(code) and depth:
-            if depth == 1 and (b := re.compile(BRANCHES[language]).match(code, at)) and not (code[at - 1].isalnum() or code[at - 1] == "_"):
-                count, at = count + 1, b.end()
-                continue
-            depth += {"{": 1, "}": -1}.get(code[at], 0)
-            at += 1
-        out.append((m[1], code.count("\n", 0, m.start()) + 1, code.count("\n", 0, at) + 1, count))
+    """Functions by matching braces; a branch counts where it stands directly in the body. Strings and comments are no code. The text is passed
+    once: functions that hold others are open at one time."""
+    plain = blanked(code, language)
+    breaks = [m.start() for m in re.finditer("\n", plain)]
+    line = lambda at: bisect.bisect_left(breaks, at) + 1
+    begins = {m.end() - 1: (m[1], line(m.start())) for m in re.finditer(FUNCTIONS["rust" if language == "rust" else "javascript"][0], plain) if plain[m.end() - 1] == "{"}
+    out, open_, depth = [], [], 0
+    for m in re.finditer(r"[{}]|" + BRANCHES[language], plain):
+        sign = m.group(0)
+        if sign == "{":
+            depth += 1
+            if m.start() in begins:
+                open_.append([*begins[m.start()], depth, 1, len(out)])
+                out.append(None)
+        elif sign == "}":
+            depth -= 1
+            if open_ and depth < open_[-1][2]:
+                name, first, _, count, place = open_.pop()
+                out[place] = (name, first, line(m.start()), count)
+        elif open_ and depth == open_[-1][2]:
+            open_[-1][3] += 1
+    for name, first, _, count, place in open_:  # not closed: to the end
+        out[place] = (name, first, line(len(plain)), count)
     return out
 
 

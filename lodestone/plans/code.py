@@ -58,6 +58,18 @@ def code_structure(spark, sf_dir):
     return apidoc.structure(_files(spark, sf_dir), id_column="p_partkey")
 
 
+_TRICKY = _text('fn work_', "p_partkey", '(a: i32) {~    let open = "{ if {";~    let raw = r#"} "', "p_name", '" {"#; // } }~    /* { /* while */ { */~    if a > ', "p_size", " {~        let c = '}';~    }~    match a { _ => {} }~}~")
+_TRICKY_SCRIPT = _text("function sell_", "p_partkey", "(size) {~  const label = `{ ${size > ", "p_size", ' ? `}${"{"} if` : { a: "}" }} ', "p_name", "`; // {~  if (size) { return '}'; }~  /* for { */~}~")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'work_' ELSE 'sell_' END || p_partkey AS name, 1 AS first_line, CASE WHEN p_partkey % 2 = 0 THEN 9 ELSE 5 END AS last_line, CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 2 END AS complexity FROM part""")
+def code_structure_in_strings(spark, sf_dir):
+    """Braces and branch words in strings, raw strings, templates and comments."""
+    code_ = F.when(F.col("p_partkey") % 2 == 0, F.expr(_TRICKY)).otherwise(F.expr(_TRICKY_SCRIPT))
+    language = F.when(F.col("p_partkey") % 2 == 0, "rust").otherwise("javascript")
+    return apidoc.structure(table(spark, sf_dir, "part").select("p_partkey", code_.alias("code"), language.alias("language")), id_column="p_partkey")
+
+
 @query(f"SELECT {LANGUAGE} AS language, count(*) AS files, count(*)::BIGINT AS functions, count(*) FILTER (p_partkey % 4 IN (0, 2, 3))::BIGINT AS documented FROM part GROUP BY 1")
 def documentation_coverage(spark, sf_dir):
     found = profile.code_coverage(_files(spark, sf_dir), path="p_partkey")

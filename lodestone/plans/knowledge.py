@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import chunk, insight, text, url
 from lodestone.functions.vectors import mock_embedding
-from lodestone.operators import ingest, search
+from lodestone.operators import ingest, languages, search
 from lodestone.operators.store import first_wins
 from lodestone.plans.base import list_sql, query, table
 
@@ -136,6 +136,22 @@ def natural_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", insight.natural_language(F.col("text")).alias("language"))
 
 
+_RANKS = ", ".join(f"('{name}', '{g}', {k})" for name, profile in languages.PROFILES.items() for g, k in profile.items())
+_LETTERS = r"' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' '"
+
+
+@query(rf"""WITH profile(language, g, place) AS (VALUES {_RANKS}), names AS (SELECT DISTINCT language FROM profile),
+p AS (SELECT doc_id, {_LETTERS} AS p FROM documents WHERE regexp_matches(text, '\p{{L}}')),
+c AS (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, length(p) - 1), lambda k: substring(p, k::INT, 3))) AS g FROM p) GROUP BY doc_id, g),
+r AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) - 1 AS k FROM c QUALIFY k < {languages.SIZE}),
+a AS (SELECT r.doc_id, names.language, sum(CASE WHEN place IS NULL THEN {languages.SIZE} ELSE abs(k - place) END) AS away, count(*) AS grams FROM r CROSS JOIN names LEFT JOIN profile ON profile.language = names.language AND profile.g = r.g GROUP BY 1, 2)
+SELECT d.doc_id, language, coalesce(round(1 - away / ({languages.SIZE} * grams), 6), 0.0) AS nearness FROM documents d
+LEFT JOIN (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY away, language) = 1) a ON a.doc_id = d.doc_id""")
+def language_detection(spark, sf_dir):
+    """Script and trigram ranks over whole texts; all of these texts are in the Latin script."""
+    return languages.detect(table(spark, sf_dir, "documents"))
+
+
 _SHORT = "'see the rust api docs of ' || p_name || ' with tokio and async code ' || repeat('word ', p_size * 30) || ' quality: about ' || p_size % 12 || '/10'"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import classify, html, url, version_keys, versions
+from lodestone.functions import classify, density, html, url, version_keys, versions
 from lodestone.operators.store import first_wins
 from lodestone.plans.base import query, table, words_sql
 
@@ -179,3 +179,23 @@ def version_sort(spark, sf_dir):
     return rows.select("p_partkey", "version", F.row_number().over(Window.partitionBy("p_brand").orderBy(version_keys.semver(F.col("version")), "p_partkey")).alias("rank"), versions.needs_update(F.col("version"), F.lit("20.5.3")).alias("outdated"))
 
 
+
+
+_PLAIN = lambda x: rf"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(rf"""
+WITH p AS (SELECT page_id, regexp_split_to_array(regexp_replace(html, '{density.NO_CONTENT}', ' ', 'g'), '{density.BLOCK_TAGS}') AS parts FROM pages WHERE html IS NOT NULL),
+b AS (SELECT page_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS part FROM p),
+w AS (SELECT page_id, pos, {_PLAIN('part')} AS text, coalesce(list_sum(list_transform(regexp_extract_all(part, '(?is)<a[^>]*>(.*?)</a\s*>', 1), lambda a: length({_PLAIN('a')}))), 0) AS linked FROM b),
+s AS (SELECT page_id, pos, text, sum(length(text) - {density.LINK} * linked - {density.COST}) OVER (PARTITION BY page_id ORDER BY pos) AS up FROM w),
+f AS (SELECT s.page_id, s.pos AS last, s.up - least(coalesce(min(t.up), 0), 0) AS total,
+  coalesce(max(t.pos) FILTER (t.up = m.low), -1) + 1 AS first FROM s
+  LEFT JOIN (SELECT page_id, pos, least(0, coalesce(min(up) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS low FROM s) m ON m.page_id = s.page_id AND m.pos = s.pos
+  LEFT JOIN s t ON t.page_id = s.page_id AND t.pos < s.pos GROUP BY s.page_id, s.pos, s.up),
+r AS (SELECT * FROM f WHERE total > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY total DESC, last) = 1)
+SELECT r.page_id, first::INT AS first, last::INT AS last, total::BIGINT AS sum, md5(string_agg(text, chr(10) ORDER BY pos) FILTER (text <> '')) AS text_md5
+FROM r JOIN s ON s.page_id = r.page_id AND pos BETWEEN first AND last GROUP BY r.page_id, first, last, total""")
+def dense_main_content(spark, sf_dir):
+    found = table(spark, sf_dir, "pages").select("page_id", density.main_content(F.col("html")).alias("m")).where("m is not null")
+    return found.select("page_id", "m.first", "m.last", "m.sum", F.md5("m.text").alias("text_md5"))
