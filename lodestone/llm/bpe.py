@@ -12,7 +12,7 @@ so the delay is bounded by the longest token's length.
 Decoding looks ids up and feeds the bytes through an incremental UTF-8 state machine, so ids may
 come in any portions.
 
-Defined results: null text encodes as the empty text (no ids); repeated rows are encoded each; text
+Defined results: null text encodes as the empty text (no ids); bytes of a string that are no UTF-8 become U+FFFD first; repeated rows are encoded each; text
 of any length is processed whole, piece by piece.
 """
 
@@ -368,7 +368,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, ids: bool = True, digest
     kept = docs.select("doc_id", *keep)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + ["n_tokens long"]
     fields += ["ids array<int>"] * ids + ["ids_sha256 string", "decoded_sha256 string"] * digests
-    return docs.select("doc_id", *keep, F.col("text").alias("__text")).mapInArrow(run, ", ".join(fields))
+    return docs.select("doc_id", *keep, F.make_valid_utf8("text").alias("__text")).mapInArrow(run, ", ".join(fields))
 
 
 def _decoded_digest(own: Codec, ids: list[int], portion: int = 4096) -> str:

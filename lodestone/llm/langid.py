@@ -6,7 +6,7 @@ from a bounded sample of the labelled rows; the log-probability matrix (buckets
 by ``bits`` and MAX_LANGS) is broadcast; batches are scored sparsely: the matrix rows of a text's
 n-grams are gathered and summed segment by segment in numpy.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; null languages are
+Defined results: bytes of a string that are no UTF-8 become U+FFFD first; null texts and texts without a letter are ``und`` with score 0; null languages are
 never learned; with nothing to learn from, every text is ``und``; repeated rows are scored each.
 """
 
@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labelled: Column, *, bits: int = BITS, sample_rows: int
             some = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(own[some])], names=["lang", "bucket", "n"])
 
-    sample = rows.where(drawn).select("lang", "text").repartition(max(1, sample_rows // ROWS_A_TASK))
+    sample = rows.where(drawn).select("lang", F.make_valid_utf8("text").alias("text")).repartition(max(1, sample_rows // ROWS_A_TASK))
     counts = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     langs: dict[str, np.ndarray] = {}
     for lang, bucket, n in counts.toLocalIterator():
@@ -126,7 +126,7 @@ def predict(docs: DataFrame, model, *, keep: tuple[str, ...] = ()) -> DataFrame:
     kept = docs.select("doc_id", *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("doc_id", *keep, letters.alias("__letters"), F.col("text").alias("__raw")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.select("doc_id", *keep, letters.alias("__letters"), F.make_valid_utf8("text").alias("__raw")).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def score_batch(texts: list[str], names: list[str], table: np.ndarray, bits: int) -> tuple[list[str], list[float]]:

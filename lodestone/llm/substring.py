@@ -15,7 +15,7 @@ send packed arrays from blocks to hash shards - one entry for each sequence and
 a third of all documents share is pre-aggregated in each block - and one bit for each entry comes back.
 No pairs are formed and nothing but two sums reaches the driver.
 
-Defined results: null texts have no words; texts of fewer than 13 words lose none; rows without
+Defined results: bytes of a string that are no UTF-8 become U+FFFD first; null texts have no words; texts of fewer than 13 words lose none; rows without
 doc_id are not returned; rows that repeat a doc_id do not remove each other's words (their doc_ids are
 equal); in a table without rows the result has none. Anchors compare by 48 bits and the shard (a false
 match only adds a candidate), windows by 64 bits within a block of some 2 MB and by 96 bits between blocks, both made of 64-bit hashes
@@ -229,7 +229,7 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = (), untouched: bo
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *keep)
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").cast("binary").alias("text"), *keep)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))  # rows sent: one for each block and shard at most
     blocks, shards = max(least, size // BLOCK_BYTES), max(least, size // (12 * SHARD_ENTRIES))

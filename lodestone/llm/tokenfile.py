@@ -12,7 +12,7 @@ pretokeniser drops white space and never joins across it, the normaliser lower-c
 with letters of their own word only, so a text's ids are its words' ids in order. Texts that hold an added token's string, and all
 texts of a tokenizer of another form, go through the library whole.
 
-Defined results: null text has only the end id; an empty table gives an empty result; equal doc_ids
+Defined results: bytes of a string that are no UTF-8 become U+FFFD first; null text has only the end id; an empty table gives an empty result; equal doc_ids
 are ordered by a hash of their texts; a text of any length is encoded whole.
 """
 
@@ -156,7 +156,7 @@ def encode(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
 def write(docs: DataFrame, path: str, out: str, end_id: int = 2, files: int | None = None, stride: int = 10_000) -> None:
     """Write the token files under ``out``: as many as shuffle partitions, or more so that none has much over PART_BYTES of text."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").alias("text"))
     if files is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))

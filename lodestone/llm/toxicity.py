@@ -22,7 +22,7 @@ and its weight the sum of the marks' weights on it. The weights are log-ratios b
 documents, shrunk to 0 where there are few. A document scores the logistic of the prior, the evidence of
 the patterns by their matched clauses, and the weights of the best such clause of each pattern.
 
-Defined results: null, empty and wordless texts have no clause and score the prior alone (near 0);
+Defined results: bytes of a string that are no UTF-8 become U+FFFD first; null, empty and wordless texts have no clause and score the prior alone (near 0);
 without labelled rows of both kinds the lexicon is empty; a null label is not learned; of several
 labels of a document the largest counts; repeated rows are scored each.
 """
@@ -92,7 +92,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, seed: in
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = int(min(1.0, sample_rows / max(1, marks.count())) * 1_000_000 + 0.5)
     drawn = marks.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) < share)
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    rows = docs.where("text is not null").select("doc_id", F.make_valid_utf8("text").alias("text")).join(F.broadcast(drawn), "doc_id")
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,4 +350,4 @@ def score(docs: DataFrame, model: dict, *, threshold: float = THRESHOLD, keep: t
 
     kept = docs.select("doc_id", *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return docs.select("doc_id", *keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, score double, predicted int, n_clauses long")
+    return docs.select("doc_id", *keep, F.make_valid_utf8("text").alias("__text")).mapInArrow(run, f"{fields}, score double, predicted int, n_clauses long")
