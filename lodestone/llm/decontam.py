@@ -4,8 +4,8 @@ Text is normalised by bytes: A-Z become a-z, every other ASCII byte outside 0-9
 space, bytes of non-ASCII characters stay. Words are the runs between spaces. Each window of
 ``window`` consecutive item words (or a whole shorter item) is one pattern, delimited by spaces so
 that it matches at word bounds only. Each text is scanned once; a match's end offset leads to the
-words it covers and, through the word offsets, to the place in the original text. Items of more than SHARD_BYTES are dealt to several automata,
-one pass each, whose spans and items are merged.
+words it covers and, through the word offsets, to the place in the original text. Items of more than SHARD_BYTES are dealt to several automata, which scan
+only the texts that a sieve of all windows' hashes leaves, and whose spans and items are merged.
 
 Defined results: null or wordless texts have no words and no hits; null items and wordless items
 have no window; equal windows of several items count for each of them; repeated rows are scanned
@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.runtime import materialize, ship_package
+from lodestone.llm.substring import _STEP, _windows, hash_words
+from lodestone.runtime import discard, materialize, ship_package
 
 WINDOW = 10
 SHARD_BYTES = 512 << 10  # of items in one automaton: some 400 bytes of it for each, since a word stands in ten windows
 
+MAX_WINDOWS = 16_000_000  # of some 90 MB of items
+
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
@@ -110,51 +113,108 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, *, keep: tuple[str, ...] = (), shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, spans (byte ranges of the original), items (sorted ids, as strings if they are no integers).
 
-    The items are a benchmark, small by nature: what is sent to the executors at once is at most about ``shard_bytes`` of them. With
-    more, each pass over the texts takes one shard and hands its findings to the next one, through a table.
+    The items are a benchmark, small by nature: one automaton holds at most about ``shard_bytes`` of them. With more, the texts are read
+    twice (and never written): a sieve of all items' windows by their hashes gives the texts without any their result, and keeps those that can have one. Only these few
+    are then scanned by an automaton for each shard of the items, each pass handing its findings to the next one through a table.
     ``keep`` names further columns of ``docs`` to carry along.
     """
     spark = docs.sparkSession
     ship_package(spark)
     whole = dict(items.dtypes)["item_id"] in ("tinyint", "smallint", "int", "bigint")
-    kind, arrow = ("long", pa.int64()) if whole else ("string", pa.string())
+    kind = "long" if whole else "string"
     items = items.select(F.col("item_id").cast(kind).alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *keep).schema.fields)
     rows = docs.select("doc_id", *keep, F.col("text").cast("binary").alias("__raw"))
-    own = rows.columns[:-1]
+    if shards == 1:
+        return _scanned(rows, items, window, kind, first=True, last=True)
+    sieved = _sieved(rows, items, window)
+    columns = ["doc_id", *keep]
+    none = [F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<struct<start:long,stop:long>>").alias("spans"), F.array().cast(f"array<{kind}>").alias("items")]
+    clean = sieved.where("not __held").select(*columns, F.col("__words").alias("n_words"), *none)
+    rows = materialize(sieved.where("__held").drop("__words", "__held"), "decontamination")
     for shard in range(shards):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard) if shards > 1 else items
-        sent = spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in some.collect()])
-        last = shard + 1 == shards
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last, first=shard == 0) -> Iterator[pa.RecordBatch]:
-            automaton, usable = cached_automaton(sent.value, window)
-            for batch in batches:
-                n_words, n_hit, spans, ids = [], [], [], []
-                n = batch.num_rows
-                before = zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist(), strict=True) if not first else [((), ())] * n
-                for raw, (old, known) in zip(batch.column("__raw").to_pylist(), before, strict=True):
-                    count, hit, of = scan(raw or b"", automaton, usable)
-                    hit = merged([*hit, *((x["start"], x["stop"]) for x in old)]) if old else hit
-                    n_words.append(count)
-                    n_hit.append(sum(b - a for a, b in hit))
-                    places = original_spans(raw, hit) if hit and last else hit
-                    spans.append([{"start": a, "stop": b} for a, b in places])
-                    ids.append(sorted(of.union(known)))
-                found = [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(ids, pa.list_(arrow))]
-                kept = [batch.column(c) for c in own]
-                if last:
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), *found], names=[*own, "n_words", "n_hit", "spans", "items"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*kept, batch.column("__raw"), *found], names=[*own, "__raw", "__spans", "__items"])
-
-        made = f"array<struct<start:long,stop:long>>, {'items' if last else '__items'} array<{kind}>"
-        rows = rows.mapInArrow(run, f"{fields}, n_words long, n_hit long, spans {made}" if last else f"{fields}, __raw binary, __spans {made}")
-        if not last:
+        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard)
+        before, rows = rows, _scanned(rows, some, window, kind, first=shard == 0, last=shard + 1 == shards)
+        if shard + 1 < shards:
             rows = materialize(rows, "decontamination")
-    return rows
+            discard(before)
+    return clean.unionByName(rows)
+
+
+def _sieved(rows: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """``rows`` and __words (their number), __held: whether a text has a window whose 64-bit hash is that of an item's. The items' hashes are
+    eight bytes a window; more than MAX_WINDOWS are an error."""
+    spark = rows.sparkSession
+    ship_package(spark)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                w = words(raw)
+                width = min(window, len(w))
+                if width:
+                    found = np.unique(_windows(hash_words(b" ".join(w)), width, _STEP))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), width, np.int32)), pa.array(found.view(np.int64))], names=["width", "hash"])
+
+    hashes = materialize(items.select("text").mapInArrow(cut, "width int, hash long").distinct(), "item-windows")
+    if hashes.count() > MAX_WINDOWS:
+        raise ValueError(f"more than {MAX_WINDOWS} different windows of items")
+    table = hashes.toArrow()
+    widths, found = table.column(0).to_numpy(), table.column(1).to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast({int(k): np.sort(found[widths == k]) for k in np.unique(widths)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            counts, held = [], []
+            for raw in batch.column(batch.num_columns - 1).to_pylist():
+                w = words(raw or b"")
+                hashed = hash_words(b" ".join(w))
+                counts.append(len(w))
+                held.append(any(_any_in(_windows(hashed, width, _STEP), own) for width, own in known.items()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(held, pa.bool_())], names=[*batch.schema.names, "__words", "__held"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{fields}, __words long, __held boolean")
+
+
+def _any_in(hashes: np.ndarray, known: np.ndarray) -> bool:
+    if not len(hashes):
+        return False
+    return bool((known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes).any())
+
+
+def _scanned(rows: DataFrame, items: DataFrame, window: int, kind: str, *, first: bool, last: bool) -> DataFrame:
+    """One pass of one automaton: what it finds joins what earlier passes found (__spans, __items), and the last pass gives the result's columns."""
+    arrow = pa.int64() if kind == "long" else pa.string()
+    own = [c for c in rows.columns if c not in ("__raw", "__spans", "__items")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema.fields)
+    sent = rows.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in items.collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, usable = cached_automaton(sent.value, window)
+        for batch in batches:
+            n_words, n_hit, spans, ids = [], [], [], []
+            n = batch.num_rows
+            before = zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist(), strict=True) if not first else [((), ())] * n
+            for raw, (old, known) in zip(batch.column("__raw").to_pylist(), before, strict=True):
+                count, hit, of = scan(raw or b"", automaton, usable)
+                hit = merged([*hit, *((x["start"], x["stop"]) for x in old)]) if old else hit
+                n_words.append(count)
+                n_hit.append(sum(b - a for a, b in hit))
+                places = original_spans(raw, hit) if hit and last else hit
+                spans.append([{"start": a, "stop": b} for a, b in places])
+                ids.append(sorted(of.union(known)))
+            found = [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(ids, pa.list_(arrow))]
+            kept = [batch.column(c) for c in own]
+            if last:
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), *found], names=[*own, "n_words", "n_hit", "spans", "items"])
+            else:
+                yield pa.RecordBatch.from_arrays([*kept, batch.column("__raw"), *found], names=[*own, "__raw", "__spans", "__items"])
+
+    made = f"array<struct<start:long,stop:long>>, {'items' if last else '__items'} array<{kind}>"
+    return rows.mapInArrow(run, f"{fields}, n_words long, n_hit long, spans {made}" if last else f"{fields}, __raw binary, __spans {made}")
 
 
 def digest(found: DataFrame) -> DataFrame:
