@@ -40,6 +40,7 @@ from lodestone.runtime import materialize, scratch_path, ship_package
 
 MIN_REVISIT = 0
 BLOCK_ROWS = 1000
+HOT_SHARE = 1000
 LEVEL = 1
 GAP = 1 << 16
 REQUEST = 8 << 20
@@ -109,10 +110,17 @@ class Archive:
 
 
 def decide(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, digest, n, refers_to of the revisits only. Digests are pre-aggregated in each task."""
+    """page_id, digest, n, refers_to of the revisits only. Digests are pre-aggregated in each task. The few that each have more than a
+    HOT_SHARE of all records meet their rows by a broadcast, so that one empty or common payload is no single task's."""
     seen = pages.select("page_id", F.octet_length("payload").alias("n"), payload_digest(F.col("payload")).alias("digest")).where(F.col("n") >= min_revisit)
-    kept = seen.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    return seen.join(kept, ["digest", "n"]).where("page_id <> refers_to").select("page_id", "digest", "n", "refers_to").distinct()
+    seen = materialize(seen, "digests")
+    kept = seen.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
+    kept = materialize(kept, "payloads")
+    least = seen.count() / HOT_SHARE
+    hot = F.broadcast(kept.where(F.col("copies") > least).drop("copies"))  # fewer than HOT_SHARE rows
+    rest = seen.join(hot, ["digest", "n"], "left_anti").join(kept.where(F.col("copies") <= least).drop("copies"), ["digest", "n"])
+    found = seen.join(hot, ["digest", "n"]).unionByName(rest)
+    return found.where("page_id <> refers_to").select("page_id", "digest", "n", "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str | None = None, *, min_revisit: int = MIN_REVISIT, block_rows: int = BLOCK_ROWS) -> Archive:
