@@ -50,3 +50,23 @@ def share_of_total(df: DataFrame, keys: list[str], value: Column, name: str = "t
     """Sums by key with their share of the whole; the whole is summed over the groups, not over the rows."""
     sums = df.groupBy(*keys).agg(F.sum(value).alias(name))
     return sums.crossJoin(F.broadcast(sums.agg(F.sum(name).alias("__all")))).withColumn("share", F.try_divide(name, "__all")).drop("__all")
+
+
+def quantile_sketches(df: DataFrame, keys: list[str], value: str, k: int = 400) -> DataFrame:
+    """keys, sketch: a KLL sketch of each key's values, of a few kilobytes however many there are; batch or stream.
+
+    A rank read off it is wrong by some 1.1 % (k = 200), 0.6 % (400) or 0.3 % (800) of n at most, with 99 % confidence. Sketches are made in each task and merged,
+    so a hot key costs its sketch and no sort. Nulls do not count; a key without values has no sketch.
+    """
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, keys: list[str], k: int = 400) -> DataFrame:
+    """Sketches of coarser keys, or of tables apart, from finer ones."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", k).alias("sketch"))
+
+
+def quantiles(sketches: DataFrame, keys: list[str], percents: tuple[int, ...]) -> DataFrame:
+    """keys, n and a column p<percent> for each percent: a value of the data whose rank is near percent / 100 of n."""
+    own = [F.kll_sketch_get_quantile_double("sketch", F.lit(p / 100.0)).alias(f"p{p}") for p in percents]
+    return sketches.select(*keys, F.kll_sketch_get_n_double("sketch").alias("n"), *own)

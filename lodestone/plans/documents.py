@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import chunk, quality, text
+from lodestone.functions import chunk, quality, table_functions, text
 from lodestone.operators import profile, similarity
 from lodestone.plans.base import list_sql, query, table, words_sql
 
@@ -256,3 +256,33 @@ WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line
 SELECT doc_id, md5(line) AS line_md5, count(*) AS n FROM l WHERE strlen(line) > 10 GROUP BY doc_id, line HAVING count(*) > 2""")
 def repeated_lines(spark, sf_dir):
     return profile.repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", F.md5("line").alias("line_md5"), "n")
+
+
+# SQL with the engine's table functions, run by spark.sql over views of the tables
+def _views(spark, sf_dir, *names):
+    table_functions.register(spark)
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(f"lodestone_{name}")
+
+
+@query("""
+WITH c AS (SELECT doc_id, text, greatest(ceil((length(text) - 1000) / 900.0), 0)::INT + 1 AS n FROM documents WHERE length(text) > 0)
+SELECT doc_id, k::INT AS chunk_index, md5(substring(text, k * 900 + 1, 1000)) AS digest FROM c, unnest(range(n)) AS t(k)""")
+def sql_text_chunks(spark, sf_dir):
+    _views(spark, sf_dir, "documents")
+    return spark.sql("SELECT doc_id, chunk_index, md5(chunk) AS digest FROM lodestone_documents, LATERAL text_chunks(text, 1000, 100)")
+
+
+@query(r"""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, floor(epoch(min(ts)))::BIGINT AS started, floor(epoch(max(ts)))::BIGINT AS ended, count(*) AS n FROM s GROUP BY user_id, k""")
+def sql_event_sessions(spark, sf_dir):
+    _views(spark, sf_dir, "events")
+    return spark.sql("SELECT user_id, unix_timestamp(started) AS started, unix_timestamp(ended) AS ended, n FROM event_sessions(TABLE(SELECT user_id, cast(ts AS timestamp) AS ts FROM lodestone_events), 6 * 3600)")
+
+
+@query(r"""SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]+)"', 1)) AS target FROM pages) WHERE NOT regexp_matches(target, '^(#|javascript:|mailto:)') GROUP BY page_id""")
+def sql_page_links(spark, sf_dir):
+    _views(spark, sf_dir, "pages")
+    return spark.sql("SELECT page_id, count(*) AS links FROM lodestone_pages, LATERAL page_links(html, url) GROUP BY page_id")

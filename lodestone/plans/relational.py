@@ -221,3 +221,14 @@ def session_windows(spark, sf_dir):
 @query("""SELECT count(*) AS total, count(*) FILTER (epoch(TIMESTAMP '2024-01-31') - floor(epoch(ts)) > 864000) AS expired, count(*) FILTER (epoch(TIMESTAMP '2024-01-31') - floor(epoch(ts)) <= 864000) AS active FROM events""")
 def cache_statistics(spark, sf_dir):
     return windows.cache_stats(table(spark, sf_dir, "events"), "2024-01-31", 864_000)
+
+
+@query("SELECT event_type, count(value) AS n, true AS near FROM events GROUP BY event_type")
+def quantile_sketches(spark, sf_dir):
+    """Sketches of each type and day merged by type; whether its median and 95th percentile are within 1 % of n of the exact ones in rank."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    merged = metrics.merged_sketches(metrics.quantile_sketches(events, ["event_type", "day"], "value"), ["event_type"])
+    found = metrics.quantiles(merged, ["event_type"], (50, 95))
+    ranks = events.join(found, "event_type").groupBy("event_type", "n").agg(*[F.count_if(F.col("value") <= F.col(f"p{p}")).alias(f"r{p}") for p in (50, 95)])
+    near = [F.abs(F.col(f"r{p}") / F.col("n") - p / 100) <= F.greatest(F.lit(0.01), 2 / F.col("n")) for p in (50, 95)]
+    return ranks.select("event_type", "n", (near[0] & near[1]).alias("near"))
