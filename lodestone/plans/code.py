@@ -184,3 +184,14 @@ def widget_examples(spark, sf_dir):
 def example_scores(spark, sf_dir):
     text = F.concat(F.lit("see the example of "), "p_name")
     return table(spark, sf_dir, "part").select("p_partkey", F.round(code.example_quality(F.col("p_size") * 100, text), 6).alias("quality"), F.round(code.coverage(F.col("p_size") % 3, F.col("p_size") % 4), 6).alias("coverage"))
+
+
+_CASES = lambda language: "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(lower(t), '{w}')" for w in words)} THEN '{name}'" if words else f"ELSE '{name}'" for words, name in versions.CATEGORIES[language]) + " END"
+_FEATURE = "(CASE p_size % 4 WHEN 0 THEN 'New async ' WHEN 1 THEN 'Macro ' WHEN 2 THEN 'Typing of ' ELSE '' END || p_type || ' (' || p_brand || '): ' || p_name)"
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {_CASES('rust')} WHEN 1 THEN {_CASES('python')} WHEN 2 THEN {_CASES('javascript')} ELSE 'Other' END AS category, trim(regexp_extract(t, '^([^:(\\[]*)', 1)) AS name FROM (SELECT *, {_FEATURE} AS t FROM part)")
+def feature_lines(spark, sf_dir):
+    """Categories and names of lines that differ from row to row."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_FEATURE).alias("t"), F.element_at(F.array(*map(F.lit, ("rust", "python", "javascript", "cobol"))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("language"))
+    return rows.select("p_partkey", versions.feature_category(F.col("t"), F.col("language")).alias("category"), versions.feature_name(F.col("t")).alias("name"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import chunk, quality, table_functions, text
 from lodestone.operators import profile, similarity
-from lodestone.plans.base import list_sql, query, table, words_sql
+from lodestone.plans.base import ORACLES, list_sql, query, table, words_sql
 
 _NORM = r"""trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}\s.,!?;:()\[\]{}"'']', '', 'g'), '\s+', ' ', 'g'))"""
 _STOP = list_sql(text.STOP_WORDS)
@@ -286,3 +286,16 @@ def sql_event_sessions(spark, sf_dir):
 def sql_page_links(spark, sf_dir):
     _views(spark, sf_dir, "pages")
     return spark.sql("SELECT page_id, count(*) AS links FROM lodestone_pages, LATERAL page_links(html, url) GROUP BY page_id")
+
+
+@query(f"""
+WITH r AS ({ORACLES['readability']}), c AS ({ORACLES['coherence']}), t AS ({ORACLES['technical_score']})
+SELECT d.doc_id, round(0.3 * readability + 0.2 * coherence + 0.2 * (CASE WHEN length(source) > 0 THEN 0.2 ELSE 0 END + CASE WHEN strlen(text) > 200 THEN 0.3 ELSE 0 END + CASE WHEN lang IS NOT NULL THEN 0.15 ELSE 0 END) + 0.15 * 0.5 + 0.15 * technical, 4) AS overall
+FROM documents d JOIN r ON r.doc_id = d.doc_id JOIN c ON c.doc_id = d.doc_id JOIN t ON t.doc_id = d.doc_id""")
+def overall_quality(spark, sf_dir):
+    """All of a document's quality measures weighted into one."""
+    t, none = F.col("text"), F.array().cast("array<string>")
+    readable = quality.flesch(text.word_count(t), quality.sentence_count(t), quality.syllables(t))
+    complete = quality.completeness(F.col("source"), t, none, F.lit(None).cast("string"), F.col("lang"))
+    measures = [F.round(m, 6) for m in (readable, quality.coherence(t), complete, quality.relevance(none, none, none), quality.technical_score(t))]
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(quality.overall(*measures), 4).alias("overall"))

@@ -285,3 +285,16 @@ def tools_per_language(spark, sf_dir):
 @query("""SELECT lang, source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r = 1""")
 def longest_candidate(spark, sf_dir):
     return first_wins(table(spark, sf_dir, "documents"), ["lang", "source"], [F.desc("n_chars"), "doc_id"]).select("lang", "source", "doc_id")
+
+
+_LOW = "lower(text)"
+_LISTED = lambda words: f"list_aggregate(list_filter({list_sql(words)}, lambda w: contains({_LOW}, w)), 'string_agg', ' ')"
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN {' OR '.join(f"contains({_LOW}, '{m}')" for m in marks)} THEN '{name}'" for name, marks in insight.TEXT_TYPES) + f""" ELSE 'unknown' END AS type,
+  coalesce({_LISTED(insight.LANGUAGES)}, '') AS languages, coalesce({_LISTED(insight.TECHNOLOGIES)}, '') AS technologies, coalesce({_LISTED(insight.SUBJECTS)}, '') AS topics,
+  CASE WHEN n <= 50 THEN 1 WHEN n <= 200 THEN 2 WHEN n <= 500 THEN 3 WHEN n <= 1000 THEN 4 ELSE 5 END AS difficulty FROM (SELECT *, len(regexp_extract_all(text, '\\S+')) AS n FROM documents)""")
+def document_semantics(spark, sf_dir):
+    s = insight.semantics(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
+    return rows.select("doc_id", "s.type", *[F.array_join(f"s.{c}", " ").alias(c) for c in ("languages", "technologies", "topics")], "s.difficulty")

@@ -104,8 +104,8 @@ def response_cache(spark, sf_dir):
     return windows.response_cache(table(spark, sf_dir, "events"), ["user_id", "event_type"], "2024-01-31 00:00:00", 3 * 86400)
 
 
-@query(f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 2 ELSE 1 END::BIGINT AS line FROM part WHERE p_partkey % 4 < 3""")
+@query(f"""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 2 ELSE 1 END::BIGINT AS line FROM part""")
 def mined_examples(spark, sf_dir):
-    files = code_plans._files(spark, sf_dir).where("p_partkey % 4 < 3")
-    name = F.concat(F.element_at(F.array(*map(F.lit, ("get_", "is_", "sell_"))), (F.col("p_partkey") % 4 + 1).cast("int")), "p_partkey", F.lit("("))
+    files = code_plans._files(spark, sf_dir)
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("get_", "is_", "sell_", "update_"))), (F.col("p_partkey") % 4 + 1).cast("int")), "p_partkey", F.lit("("))
     return files.select("p_partkey", apidoc.mined_example(F.col("code"), name)["line"].cast("long").alias("line"))

@@ -88,9 +88,9 @@ def version_lists(spark, sf_dir):
     return feeds.version_list(_replies(spark, sf_dir))
 
 
-@query(f"SELECT {_REGISTRIES} AS registry, 'n' || s_suppkey AS name, '1.' || s_suppkey || '.0' AS version, 'd' AS description, 'h' AS homepage, 'MIT' AS license FROM supplier WHERE s_suppkey % 6 < 4")
+@query(f"SELECT {_REGISTRIES} AS registry, CASE WHEN s_suppkey % 6 < 4 THEN 'n' || s_suppkey END AS name, CASE WHEN s_suppkey % 6 < 4 THEN '1.' || s_suppkey || '.0' END AS version, CASE WHEN s_suppkey % 6 < 4 THEN 'd' END AS description, CASE WHEN s_suppkey % 6 < 4 THEN 'h' END AS homepage, CASE WHEN s_suppkey % 6 < 4 THEN 'MIT' END AS license FROM supplier")
 def package_documents(spark, sf_dir):
-    return feeds.package_document(_replies(spark, sf_dir).where("s_suppkey % 6 < 4"))
+    return feeds.package_document(_replies(spark, sf_dir))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 1 THEN 'index.d.ts' END AS types, s_suppkey % 6 = 1 AS native, CASE WHEN s_suppkey % 6 = 1 THEN 'frontend' ELSE 'library' END AS category FROM supplier")
@@ -336,10 +336,4 @@ def extracted_parts(spark, sf_dir):
 
 @query("""SELECT event_type, count(*) AS total, count(*) FILTER (TIMESTAMP '2024-01-31 00:00:00' - ts > INTERVAL 5 DAY) AS expired FROM events GROUP BY event_type""")
 def expired_entries(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # five kinds
-    out = None
-    for kind in kinds:
-        own = windows.cache_stats(events.where(F.col("event_type") == kind), "2024-01-31 00:00:00", 5 * 86400).select(F.lit(kind).alias("event_type"), "total", "expired")
-        out = own if out is None else out.unionByName(own)
-    return out
+    return windows.cache_stats(table(spark, sf_dir, "events"), "2024-01-31 00:00:00", 5 * 86400, keys=["event_type"]).select("event_type", "total", "expired")

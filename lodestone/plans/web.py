@@ -199,3 +199,22 @@ FROM r JOIN s ON s.page_id = r.page_id AND pos BETWEEN first AND last GROUP BY r
 def dense_main_content(spark, sf_dir):
     found = table(spark, sf_dir, "pages").select("page_id", density.main_content(F.col("html")).alias("m")).where("m is not null")
     return found.select("page_id", "m.first", "m.last", "m.sum", F.md5("m.text").alias("text_md5"))
+
+
+@query("SELECT page_id, coalesce(" + ", ".join(f"nullif(regexp_extract(url, '{m[0]}(" + m[1:].replace(".", r"\.") + "[0-9.]*)', 1), '')" for m in url.VERSION_MARKS) + ") AS version FROM pages")
+def page_url_versions(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", url.version(F.col("url")).alias("version"))
+
+
+@query(r"""
+WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="([^"]+)"[^>]*>.*?</a>', 1)) AS target, trim(regexp_replace(unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="[^"]+"[^>]*>(.*?)</a>', 1)), '<[^>]*>', '', 'g')) AS shown FROM pages),
+n AS (SELECT page_id, count(*) AS links FROM a WHERE NOT regexp_matches(target, '^(#|javascript:|mailto:)') AND strlen(shown) BETWEEN 1 AND 199 GROUP BY page_id)
+SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, coalesce(links, 0) AS links FROM pages LEFT JOIN n USING (page_id)""")
+def page_parts(spark, sf_dir):
+    rows = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", F.col("extracted.title").alias("title"), F.size("extracted.links").cast("long").alias("links"))
+
+
+@query("SELECT doc_id, " + ", ".join("(" + " + ".join(f"(length(text) - length(replace(text, '{w}', ''))) // {len(w)}" for w in words) + f")::BIGINT AS {name}" for name, words in classify.API_STRUCTURES.items()) + " FROM documents")
+def api_structure_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", *[classify.api_structures(F.col("text"), name).cast("long").alias(name) for name in classify.API_STRUCTURES])

@@ -62,10 +62,10 @@ def latest_within(events: DataFrame, key: str, ttl_ms: int, ts: str = "ts", valu
     return rows.groupBy("key").applyInPandasWithState(update, out, "at long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def cache_stats(entries: DataFrame, as_of, ttl_seconds: int, ts: str = "ts") -> DataFrame:
-    """total, expired, active at a given time."""
+def cache_stats(entries: DataFrame, as_of, ttl_seconds: int, ts: str = "ts", keys: list[str] = ()) -> DataFrame:
+    """total, expired, active at a given time, by the keys."""
     age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col(ts).cast("timestamp"))
-    return entries.agg(F.count("*").alias("total"), F.count_if(age > ttl_seconds).alias("expired"), F.count_if(age <= ttl_seconds).alias("active"))
+    return entries.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(age > ttl_seconds).alias("expired"), F.count_if(age <= ttl_seconds).alias("active"))
 
 
 def ingest_once(stream: DataFrame, keys: list[str], sink: str, checkpoint: str):

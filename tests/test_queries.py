@@ -8,6 +8,7 @@ import pytest
 
 from lodestone.plans import catalog
 
+BY_RECALL = {"vector_index_probes"}  # approximate; its recall is tested in test_vector_index.py
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -35,7 +36,9 @@ def _rows(frame: pd.DataFrame) -> list[tuple]:
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, data, sql, name):
     if name not in catalog.ORACLES:
-        pytest.skip("tested on a small fixture")
+        assert name in BY_RECALL, "a query without SQL"
+        assert catalog.QUERIES[name](spark, data).count() > 0
+        return
     got = catalog.QUERIES[name](spark, data).toPandas()
     want = sql.execute(catalog.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
