@@ -7,20 +7,20 @@ the training rows count once (by the least hash of their word shingles), so that
 of a copied document are not taken for insults.
 
 A text is cut into clauses at line ends and sentence marks, and a clause's words into symbols: their class (negator, target, urge,
-verb of saying, quotation mark, other) and whether they are lexicon words. Five transducers read the symbols; each is a table of arcs
-(state, symbol) -> (state, mark):
+verb of saying, quotation mark, other) and whether they are lexicon words. Five transducers, the first over letters and the others over these symbols, are
+each a table of arcs (state, symbol) -> (state, mark):
 
-* insult: a lexicon word emits its pattern;
+* insult: reads a word's letters and emits the pattern it is (a whole word, or else the shortest stem), which makes it a lexicon word to the others;
 * threat: marks one after a word of future or duty up to three words before;
 * target: marks one with an addressed person up to four words to either side. What follows is not known yet, so this one
   guesses: one arc marks the word and dies unless a person follows in time, the other does not and dies if one follows;
 * negation: marks one after a negator up to three words before;
 * reported speech: marks one after a verb of saying or an opened quotation in the clause.
 
-The grammar is their composition, made state by state when first needed; a clause's reading is its best accepted path,
-and its weight the sum of the marks' weights on it. The weights are log-ratios between lexicon words in toxic and in clean training
+The grammar is their composition, made state by state when first needed; a clause's reading is its best accepted path by the sum of
+the marks' weights on it, and each lexicon word has its own share of that sum. The weights are log-ratios between lexicon words in toxic and in clean training
 documents, shrunk to 0 where there are few. A document scores the logistic of the prior, the evidence of
-the patterns by their matched clauses, and the weights of the best such clause of each pattern.
+the patterns by their matched clauses, and for each pattern the greatest share that a path gives it.
 
 Defined results: bytes of a string that are no UTF-8 become U+FFFD first; null, empty and wordless texts have no clause and score the prior alone (near 0);
 without labelled rows of both kinds the lexicon is empty; a null label is not learned; of several
@@ -199,6 +199,40 @@ class Transducer:
         self.final = frozenset(filter(final, waiting))
 
 
+class Insults:
+    """The lexicon as a transducer over letters: deterministic arcs (state, letter) -> state, and what a word emits that ends in a state or leaves the
+    arcs there."""
+
+    def __init__(self, patterns):
+        self.arcs: list[dict[str, int]] = [{}]
+        whole: dict[int, str] = {}
+        stems: dict[int, str] = {}
+        for pattern in patterns:
+            state = 0
+            for letter in pattern.rstrip("*"):
+                if letter not in self.arcs[state]:
+                    self.arcs[state][letter] = len(self.arcs)
+                    self.arcs.append({})
+                state = self.arcs[state][letter]
+            (stems if pattern.endswith("*") else whole)[state] = pattern
+        self.leaves: list[str | None] = [None] * len(self.arcs)  # of a word that has more letters
+        self.ends: list[str | None] = [None] * len(self.arcs)
+        for state, arcs in enumerate(self.arcs):  # a state comes before those that it leads to
+            self.ends[state] = whole.get(state, self.ends[state])
+            self.leaves[state] = self.leaves[state] or stems.get(state)
+            for to in arcs.values():
+                self.ends[to] = self.leaves[to] = self.leaves[state]
+
+    def read(self, word: str) -> str | None:
+        state = 0
+        for letter in word:
+            to = self.arcs[state].get(letter)
+            if to is None:
+                return self.leaves[state]
+            state = to
+        return self.ends[state]
+
+
 def after(kind: str, span: int, mark: str) -> Transducer:
     """Marks lexicon words up to ``span`` words after one of the class. The state: for how many words more."""
 
@@ -252,7 +286,7 @@ class Grammar:
     def __init__(self, model: dict):
         self.evidence = model["evidence"]
         self.prior, self.weights = model["prior"], model["weights"]
-        self.lengths = sorted({len(p) - 1 for p in self.evidence if p.endswith("*")})
+        self.insults = Insults(self.evidence)
         heads = sorted({p.rstrip("*")[:3] for p in self.evidence})
         self.find = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(map(re.escape, heads))})[^\W\d_]*").finditer if heads else lambda text: iter(())
         self.arcs: dict[tuple, list[tuple[tuple, list[str], float]]] = {}
@@ -286,15 +320,10 @@ class Grammar:
             out.append(marks)
         return weight, out[::-1]
 
-    def pattern(self, word: str) -> str | None:
-        if word in self.evidence:
-            return word
-        return next((p for n in self.lengths if len(word) > n and (p := word[:n] + "*") in self.evidence), None)
-
     def clauses(self, text: str) -> Iterator[tuple[str, list[tuple[str, list[str]]]]]:
         """(clause, [(pattern, modifiers) of each lexicon word]) of the clauses that have one."""
         lower = text.lower()
-        found = [(m.start(), r) for m in self.find(lower) if (r := self.pattern(m.group())) is not None]
+        found = [(m.start(), r) for m in self.find(lower) if (r := self.insults.read(m.group())) is not None]
         if not found:
             return
         bounds = [0, *(m.end() for m in _CLAUSE.finditer(lower)), len(lower)]

@@ -634,3 +634,17 @@ def test_pipeline_takes_planted_cases_out(spark, tmp_path):
     kept = [*docs[1003][:80], *docs[1003][150:]]
     assert out[1003].decoded_sha256 == hashlib.sha256(" ".join(kept).encode()).hexdigest()
     assert out[5].decoded_sha256 == hashlib.sha256(" ".join(docs[5]).encode()).hexdigest()
+
+
+def test_insults_are_read_letter_by_letter():
+    """Whole words first, then the shortest stem that the word goes on after."""
+    rng = random.Random(12)
+    letters = "abc"
+    for _ in range(40):
+        patterns = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) + rng.choice(["", "*"]) for _ in range(12)}
+        machine = toxicity.Insults(patterns)
+        for _ in range(300):
+            word = "".join(rng.choice(letters + "d") for _ in range(rng.randrange(1, 8)))
+            stems = sorted((p for p in patterns if p.endswith("*") and len(word) > len(p) - 1 and word.startswith(p[:-1])), key=len)
+            assert machine.read(word) == (word if word in patterns else next(iter(stems), None))
+    assert toxicity.Insults([]).read("word") is None
