@@ -1,12 +1,14 @@
 """Exact set-similarity join: all pairs of texts whose shingle sets have at least a given Jaccard similarity.
 
 Prefix filter: in one order of all shingles, two sets with Jaccard t or more share one of their first n - ceil(t n) + 1. Only these
-are posted. The order puts shingles that are frequent in a bounded sample last; it decides the cost, never the result. A pair comes
+are posted. The order puts frequent shingles last; it decides the cost, never the result. How frequent they are is counted over all
+texts, but only over what would be posted: first in the order of hashes, then, as the frequent ones found so far leave the
+prefixes and others enter them, again. (A bounded sample of whole sets starts the count with the most frequent ones.) A pair comes
 from each shared shingle whose predecessors differ (the first shared one is always such), if sizes and positions allow the
 overlap; candidates are verified on the whole sets. Shingles are compared by 64 bits of XXH64.
 
-Texts are named by an id; rows with equal ids hold equal texts, and count once. Texts are never shuffled: postings, ids and the
-shingles of candidates are.
+Texts are named by an id; rows with equal ids hold equal texts, and count once. The texts stay where they are and are read once for each
+count, for the postings and for each verification; postings, ids and the shingles of candidates are shuffled.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 from lodestone.runtime import discard, materialize, ship_package
 
-SAMPLE_ROWS = 20_000
-SAMPLE_SHINGLES = 1_000_000
+KNOWN_SHINGLES = 1_000_000  # that every task knows the number of, 16 bytes each; more of them, the least frequent first, count as rare
+FREQUENT = 3  # texts, from which on a shingle is counted
+SAMPLE_ROWS = 20_000  # whole sets
+COUNTS = 2
 BITMAP_BITS = 26
 SEEN_IDS = 100_000  # a task leaves out copies it has met; which it remembers does not matter
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -45,16 +49,6 @@ def word_shingles(width: int) -> Cut:
     return cut
 
 
-def representatives(docs: DataFrame, key, *, id_column: str = "doc_id", column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, node: the smallest id with an equal ``key``), (id, text of the nodes); null ids are left out."""
-    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(column), F.lit("")).alias("text"), key.alias("key"))
-    ids = materialize(rows.select("id", "key"), "keys")
-    nodes = ids.groupBy("key").agg(F.min("id").alias("node"))
-    members = ids.join(nodes, "key").select("id", "node").distinct()
-    named = nodes.select(F.col("node").alias("id"), "key")
-    return materialize(members, "members"), materialize(rows.join(named, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "text"), "texts")
-
-
 def _bitmap(ids: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     """Which buckets of ``2**bits`` the ids fall in, as 64-bit words: at most 2**bits / 8 bytes whatever the number of ids."""
     slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
@@ -86,14 +80,72 @@ def _sets(texts: DataFrame, cut: Cut, wanted: DataFrame | None = None, bits: int
     return texts.select("id", F.col("text").cast("binary").alias("text"), slot.alias("slot")).mapInArrow(run, "id long, grams array<long>")
 
 
-def _frequent(texts: DataFrame, cut: Cut, sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) and their counts in a sample, the most frequent ones only."""
-    share = max(1, texts.count() // sample_rows)
-    drawn = _sets(texts.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0), cut)
-    counted = drawn.select(F.explode("grams").alias("gram")).groupBy("gram").count().where("count > 1").orderBy(F.desc("count"), "gram").limit(SAMPLE_SHINGLES).toArrow()
-    grams, counts = counted.column(0).to_numpy(), counted.column(1).to_numpy()
-    order = np.argsort(grams)
-    return grams[order], counts[order]
+Known = tuple[np.ndarray, np.ndarray]
+
+
+def _prefixes(texts: DataFrame, cut: Cut, least: float, known: Known, columns: str) -> DataFrame:
+    """Of gram, id, prev, size, at the ``columns`` of each set's prefix. ``known``: frequent shingles, sorted, and their counts."""
+    sent = texts.sparkSession.sparkContext.broadcast(known)
+    names = columns.split(", ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often_grams, counts = sent.value
+        seen: set[int] = set()
+        for batch in batches:
+            out: list[dict[str, np.ndarray]] = []
+            for id_, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if id_ in seen:
+                    continue
+                seen.add(id_)
+                grams = cut(raw)
+                n = len(grams)
+                often = np.zeros(n, np.int64)
+                if len(often_grams):
+                    place = np.minimum(np.searchsorted(often_grams, grams), len(often_grams) - 1)
+                    often = np.where(often_grams[place] == grams, counts[place], 0)
+                own = grams[np.lexsort((grams, often))[: prefix_length(n, least)]]
+                m = len(own)
+                out.append({"gram": own, "id": np.full(m, id_, np.int64), "prev": np.concatenate(([0], own[:-1])), "size": np.full(m, n, np.int64), "at": np.arange(m)})
+            seen = set() if len(seen) > SEEN_IDS else seen
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out])) for c in names], names=names)
+
+    return texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def prefix_length(n: int, least: float) -> int:
+    return n - math.ceil(least * n - 1e-9) + 1
+
+
+def _added(known: Known, counted: DataFrame) -> Known:
+    """``known`` and the most frequent of ``counted`` (gram, n), as far as ``KNOWN_SHINGLES`` goes: whole steps of an eighth of an octave."""
+    counted = materialize(counted.select("gram", "n", F.floor(F.log2("n") * 8).cast("int").alias("step")), "frequent")
+    room, lowest = KNOWN_SHINGLES - len(known[0]), None
+    for step, n in counted.groupBy("step").count().orderBy(F.desc("step")).collect():  # a few hundred at most
+        if n > room:
+            break
+        room, lowest = room - n, step
+    if lowest is not None:
+        found = counted.where(F.col("step") >= lowest).select("gram", "n").toArrow()
+        grams, counts = np.concatenate((known[0], found.column(0).to_numpy())), np.concatenate((known[1], found.column(1).to_numpy()))
+        order = np.lexsort((-counts, grams))
+        grams, counts = grams[order], counts[order]
+        first = np.concatenate(([True], grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, bool)
+        known = grams[first], counts[first]
+    discard(counted)
+    return known
+
+
+def _frequent(texts: DataFrame, cut: Cut, least: float) -> Known:
+    """Shingles (sorted) that several unequal texts have, and how often, the most frequent ones."""
+    share = max(1, texts.count() // SAMPLE_ROWS)
+    drawn = _sets(texts.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0), cut).select("id", F.explode("grams").alias("gram"))
+    posted = lambda known: _prefixes(texts, cut, least, known, "gram, id")
+    known: Known = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for k in range(COUNTS + 1):
+        counted = (posted(known) if k else drawn).groupBy("gram").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("z"))
+        known = _added(known, counted.where((F.col("a") != F.col("z")) & (F.col("n") > (FREQUENT if k else 1))).select("gram", (F.col("n") * (1 if k else share)).alias("n")))
+    return known
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,39 +177,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (*own, *hubs)], names=[*names, *(f"hub_{n}" for n in names[1:])])
 
 
-def postings(texts: DataFrame, cut: Cut, least: float, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def postings(texts: DataFrame, cut: Cut, least: float) -> DataFrame:
     """gram, id, prev, size, at: the prefix of each set, as far as another set's prefix shares the shingle, beside the shingle's posting of
     the smallest id (hub_id, hub_prev, hub_size, hub_at)."""
-    spark = texts.sparkSession
-    ship_package(spark)
-    sent = spark.sparkContext.broadcast(_frequent(texts, cut, sample_rows))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = sent.value
-        seen: set[int] = set()
-        for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
-            for id_, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if id_ in seen:
-                    continue
-                seen.add(id_)
-                grams = cut(raw)
-                n = len(grams)
-                often = np.zeros(n, np.int64)
-                if len(known):
-                    place = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                    often = np.where(known[place] == grams, counts[place], 0)
-                k = n - math.ceil(least * n - 1e-9) + 1
-                own = grams[np.lexsort((grams, often))[:k]]
-                m = len(own)
-                out.append((own, np.full(m, id_, np.int64), np.concatenate(([0], own[:-1])), np.full(m, n, np.int64), np.arange(m)))
-            seen = set() if len(seen) > SEEN_IDS else seen
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["gram", "id", "prev", "size", "at"])
-
-    schema = "gram long, id long, prev long, size long, at long"
-    rows = texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
-    found = rows.repartition("gram").sortWithinPartitions("gram", "id").mapInArrow(_shared, f"{schema}, hub_id long, hub_prev long, hub_size long, hub_at long")
+    ship_package(texts.sparkSession)
+    names = "gram, id, prev, size, at"
+    rows = _prefixes(texts, cut, least, _frequent(texts, cut, least), names)
+    schema = ", ".join(f"{c} long" for c in f"{names}, hub_id, hub_prev, hub_size, hub_at".split(", "))
+    found = rows.repartition("gram").sortWithinPartitions("gram", "id").mapInArrow(_shared, schema)
     return materialize(found, "postings")
 
 
@@ -184,41 +211,120 @@ def candidates(posted: DataFrame, least: float) -> DataFrame:
     return a.join(b, both).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
 
 
-def candidates_across(posted: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+def candidates_across(posted: DataFrame, labels: DataFrame, least: float, stars: DataFrame | None = None) -> DataFrame:
     """left_id, right_id: the pairs that the postings allow between ids of unequal labels. ``labels``: node, component; other ids stand for
-    themselves. Pairs of one label are never formed: a shingle's labels meet first, then the postings of two labels. Sizes are dealt into
-    classes a factor of 1 / ``least`` wide, so that only equal or neighbouring classes can hold a pair."""
-    named = posted.select("gram", "id", "prev", "size", "at").join(labels, posted.id == labels.node, "left")
+    themselves. Pairs of one label are never formed: a shingle's labels meet first, then the postings of two labels, those of the one with fewer
+    first. Sizes are dealt into classes a factor of 1 / ``least`` wide, so that only equal or neighbouring classes can hold a pair.
+
+    With ``stars`` (id, star) pairs of one star are left out, too (``star_candidates`` has them)."""
+    named = posted.select("gram", "id", "prev", "size", "at").join(labels, posted.id == labels.node, "left").withColumn("label", F.coalesce("component", "id"))
+    if stars is None:
+        named = named.withColumn("star", F.col("id"))
+    else:
+        named = named.join(stars.select("id", "star"), "id", "left").withColumn("star", F.coalesce("star", "id"))
     step = F.floor(F.log(F.col("size")) / math.log(1 / least) + 1e-9).cast("int")
-    named = named.select("gram", F.coalesce("component", "id").alias("label"), "id", "prev", "size", "at", step.alias("step"))
-    several = named.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("gram")
+    named = named.select("gram", "label", F.when(F.lit(stars is None), F.lit(0).cast("long")).otherwise(F.col("star")).alias("star"), "id", "prev", "size", "at", step.alias("step"))
+    several = named.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("star").alias("v"), F.max("star").alias("w"))
+    several = several.where("x <> y" if stars is None else "x <> y and v <> w").select("gram")
     mixed = materialize(named.join(several, "gram", "left_semi"), "mixed-postings")
-    own = mixed.select("gram", "label", "step").distinct()
-    near = own.select("gram", F.col("label").alias("lb"), F.col("step").alias("sb"), F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step"))
-    met = own.withColumnRenamed("label", "la").join(near, ["gram", "step"]).where("la < lb").alias("m")
-    left = met.join(mixed.alias("a"), (F.col("m.gram") == F.col("a.gram")) & (F.col("m.la") == F.col("a.label")) & (F.col("m.step") == F.col("a.step")))
-    left = left.select("m.gram", "lb", "sb", F.col("a.id").alias("a_id"), *[F.col(f"a.{c}").alias(f"a_{c}") for c in ("prev", "size", "at")]).alias("l")
-    allowed = _allowed(least, _of("l", "a_"), _of("b"))
-    pairs = left.join(mixed.alias("b"), (F.col("l.gram") == F.col("b.gram")) & (F.col("l.lb") == F.col("b.label")) & (F.col("l.sb") == F.col("b.step")) & allowed)
-    return pairs.select(F.least("l.a_id", "b.id").alias("left_id"), F.greatest("l.a_id", "b.id").alias("right_id")).distinct()
+    own = mixed.groupBy("gram", "label", "star", "step").agg(F.count("*").alias("n"))
+    near = own.select("gram", F.struct("n", "label", "star", "step").alias("b"), F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step"))
+    apart = (F.col("a.label") != F.col("b.label")) & (F.col("a") < F.col("b"))
+    if stars is not None:
+        apart = apart & (F.col("a.star") != F.col("b.star"))
+    met = own.select("gram", "step", F.struct("n", "label", "star", "step").alias("a")).join(near, ["gram", "step"]).where(apart).select("gram", "a", "b").alias("m")
+    same = lambda cell, rows: (F.col(f"{cell}.label") == F.col(f"{rows}.label")) & (F.col(f"{cell}.star") == F.col(f"{rows}.star")) & (F.col(f"{cell}.step") == F.col(f"{rows}.step"))
+    left = met.join(mixed.alias("p"), (F.col("m.gram") == F.col("p.gram")) & same("m.a", "p"))
+    left = left.select("m.gram", F.col("m.b").alias("cell"), F.col("p.id").alias("a_id"), *[F.col(f"p.{c}").alias(f"a_{c}") for c in ("prev", "size", "at")]).alias("l")
+    pairs = left.join(mixed.alias("q"), (F.col("l.gram") == F.col("q.gram")) & same("l.cell", "q") & _allowed(least, _of("l", "a_"), _of("q")))
+    return pairs.select(F.least("l.a_id", "q.id").alias("left_id"), F.greatest("l.a_id", "q.id").alias("right_id")).distinct()
+
+
+def star_deltas(stars: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """id, star, grams (in which the id's set and that of its star differ), w, room: of ids (id, hub) that share most with their hub.
+
+    For two ids of a star to have Jaccard ``least``, their differences must share w + w' - room shingles at least; so an id is similar to the hub itself if
+    its w is no more than ``room``.
+    """
+    c = least / (1 + least)
+    own, hub = sets.select("id", F.col("grams").alias("a")), sets.select(F.col("id").alias("hub"), F.col("grams").alias("h"))
+    both = stars.join(own, "id").join(hub, "hub")
+    both = both.select("id", F.col("hub").alias("star"), F.array_except("h", "a").alias("missing"), F.array_except("a", "h").alias("more"), F.size("h").alias("n"))
+    w = (1 - c) * F.size("missing") + c * F.size("more")
+    return both.where(F.size("missing") + F.size("more") <= F.col("n")).select("id", "star", F.concat("missing", "more").alias("grams"), w.alias("w"), ((1 - 2 * c) * F.col("n")).alias("room"))
+
+
+def star_candidates(deltas: DataFrame, labels: DataFrame) -> DataFrame:
+    """left_id, right_id: pairs of one star and unequal labels whose differences may share enough shingles.
+
+    Two ids that are both similar to the hub have one label already, so one of a pair is not. That says how many shingles its
+    differences must share at least, and a prefix filter on the differences, those that are rare in the star first, finds all such pairs: what the hub alone
+    lacks is common to the whole star and comes last.
+    """
+    named = deltas.join(labels, deltas.id == labels.node, "left").select("star", "id", F.coalesce("component", "id").alias("label"), "grams", F.size("grams").alias("n"), "w", "room")
+    alone = F.col("w") > F.col("room") + 1e-9
+    stats = named.groupBy("star").agg(F.min("w").alias("least_w"), F.min(F.when(alone, F.col("w"))).alias("least_alone"), F.min("label").alias("x"), F.max("label").alias("z"))
+    open_ = named.join(stats.where("least_alone is not null and x <> z").drop("x", "z"), "star").withColumn("alone", alone)
+    need = F.col("w") - F.col("room") + F.when(F.col("alone"), F.col("least_w")).otherwise(F.col("least_alone"))
+    open_ = materialize(open_.withColumn("prefix", F.col("n") - F.greatest(F.ceil(need - 1e-6), F.lit(1)) + 1).where("prefix > 0").drop("least_w", "least_alone"), "star-members")
+    each = open_.select("star", "id", F.explode("grams").alias("gram"))
+    counts = each.groupBy("star", "gram").agg(F.count("*").alias("often")).where("often > 1")
+    # what only one id of a star has meets nothing, but takes its place in the order
+    ranked = each.join(counts, ["star", "gram"], "left").groupBy("star", "id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "gram"))).alias("order"))
+    posted = ranked.join(open_.drop("grams", "star"), "id").select("star", "id", "label", "n", "w", "room", "alone", F.posexplode(F.slice("order", F.lit(1), F.col("prefix").cast("int"))).alias("at", "o"))
+    posted = materialize(posted.where("o.often > 1").select("star", "id", "label", "n", "w", "room", "alone", "at", F.col("o.gram").alias("gram")), "star-postings")
+    a, b = posted.alias("a"), posted.alias("b")
+    enough = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= F.col("a.w") + F.col("b.w") - F.col("a.room") - 1e-6
+    both = (F.col("a.star") == F.col("b.star")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.label") < F.col("b.label")) & (F.col("a.alone") | F.col("b.alone")) & enough
+    return a.join(b, both).select(F.least("a.id", "b.id").alias("left_id"), F.greatest("a.id", "b.id").alias("right_id")).distinct()
+
+
+def _best(met: DataFrame) -> DataFrame:
+    """id, hub: of each id's partners (id, hub_id, once for a shared shingle) that which comes most often."""
+    return met.groupBy("id", "hub_id").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("hub_id", F.struct("n", -F.col("hub_id"))).alias("hub"))
+
+
+def as_pairs(hubs: DataFrame) -> DataFrame:
+    """left_id, right_id of (id, hub)."""
+    return hubs.select(F.least("hub", "id").alias("left_id"), F.greatest("hub", "id").alias("right_id"))
 
 
 def hubs(posted: DataFrame, least: float) -> DataFrame:
-    """left_id, right_id: each id beside that smallest id of a shingle with which it shares most shingles, where both allow the similarity."""
+    """id, hub: each id beside that smallest id of a shingle with which it shares most shingles, where both allow the similarity."""
     p = posted.alias("p")
-    met = p.where((F.col("hub_id") < F.col("id")) & _likely(least, _of("p", "hub_"), _of("p"))).groupBy("id", "hub_id").agg(F.count("*").alias("n"))
-    return met.groupBy("id").agg(F.max_by("hub_id", F.struct("n", -F.col("hub_id"))).alias("hub_id")).select(F.col("hub_id").alias("left_id"), F.col("id").alias("right_id"))
+    return _best(p.where((F.col("hub_id") < F.col("id")) & _likely(least, _of("p", "hub_"), _of("p"))).select("id", "hub_id"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, cut: Cut, least: float) -> DataFrame:
-    """The pairs whose whole shingle sets have Jaccard ``least`` or more."""
-    pairs = materialize(pairs, "candidates")
+def central(posted: DataFrame, least: float) -> DataFrame:
+    """id, hub: each id beside the most central id of a shingle, likewise. The more of its prefix others share, the more central
+    an id is: in a family of edited copies that which has the fewest edits of its own."""
+    length = F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1
+    share = posted.groupBy("id", "size").agg(F.count("*").alias("n")).select("id", (F.col("n") / length).alias("share"))
+    rows = posted.select("gram", "id", "prev", "size", "at").join(share, "id")
+    hub = rows.groupBy("gram").agg(F.max_by(F.struct("id", "prev", "size", "at"), F.struct("share", -F.col("id"))).alias("h"))
+    met = rows.alias("p").join(hub, "gram").where((F.col("h.id") != F.col("p.id")) & _likely(least, _of("h"), _of("p")))
+    return _best(met.select(F.col("p.id").alias("id"), F.col("h.id").alias("hub_id")))
+
+
+def shingle_sets(pairs: DataFrame, texts: DataFrame, cut: Cut) -> DataFrame:
+    """id, grams of the ids in the pairs, in one pass over the texts."""
     named = pairs.select(F.col("left_id").alias("id")).union(pairs.select("right_id")).distinct()
-    sets = materialize(_sets(texts, cut, named).groupBy("id").agg(F.first("grams").alias("grams")), "sets")
+    return materialize(_sets(texts, cut, named).groupBy("id").agg(F.first("grams").alias("grams")), "sets")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose whole shingle sets have Jaccard ``least`` or more."""
     left, right = sets.select(F.col("id").alias("left_id"), F.col("grams").alias("a")), sets.select(F.col("id").alias("right_id"), F.col("grams").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     good = shared * (1 + least) >= least * (F.size("a") + F.size("b")) - 1e-6
-    out = materialize(pairs.join(left, "left_id").join(right, "right_id").where(good).select("left_id", "right_id"), "pairs")
+    return materialize(pairs.join(left, "left_id").join(right, "right_id").where(good).select("left_id", "right_id"), "pairs")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, cut: Cut, least: float) -> DataFrame:
+    """``similar`` with sets made for these pairs."""
+    pairs = materialize(pairs, "candidates")
+    sets = shingle_sets(pairs, texts, cut)
+    out = similar(pairs, sets, least)
     discard(pairs)
     discard(sets)
     return out
