@@ -2,8 +2,8 @@
 
 Candidates come from two sides. SimHash (``simhash.links``) gives the pairs of fingerprints that differ in few bits, which
 are most near copies, but not all: at a Jaccard similarity of 0.8 fingerprints differ in some ten bits, and a limit that wide no longer selects.
-An exact join (``operators.overlap``) gives the rest: first each text meets one other, of the smallest ids of its shingles that with which it shares
-most, which joins large classes by one pair a text; then all pairs that the prefix filter allows between different classes so far.
+An exact join (``operators.overlap``) gives the rest: first each text meets two others, of the smallest and of the most central ids of its shingles those with
+which it shares most, which joins large classes by two pairs a text. A central text and those that chose it are a star. Then come all pairs that the prefix filter allows between different classes so far, for texts of one star on what makes them differ from its centre.
 Only pairs whose whole shingle sets are similar enough become links.
 
 A text is named by 64 bits of its hash, so copies are one node. Defined results: fewer words than a shingle are one shingle; texts
@@ -43,9 +43,19 @@ def classes(docs: DataFrame, *, width: int = 5, least: float = 0.8, limit: int =
     texts = rows.select(F.xxhash64("text").alias("id"), "text")
     members = materialize(rows.select("doc_id", F.xxhash64("text").alias("id")), "members")
     posted = overlap.postings(texts, cut, least)
-    near = overlap.verified(fingerprint_pairs(texts, width, limit).union(overlap.hubs(posted, least)).distinct(), texts, cut, least)
-    more = overlap.verified(overlap.candidates_across(posted, _labels(near), least), texts, cut, least)
-    discard(posted)
+    central = materialize(overlap.central(posted, least), "central")
+    first = fingerprint_pairs(texts, width, limit).union(overlap.as_pairs(overlap.hubs(posted, least))).union(overlap.as_pairs(central))
+    first = materialize(first.distinct(), "candidates")
+    sets = overlap.shingle_sets(first, texts, cut)
+    near = overlap.similar(first, sets, least)
+    deltas = materialize(overlap.star_deltas(central, sets, least), "deltas")
+    for done in (first, sets, central):
+        discard(done)
+    labels = _labels(near)
+    further = overlap.candidates_across(posted, labels, least, deltas).union(overlap.star_candidates(deltas, labels))
+    more = overlap.verified(further.distinct(), texts, cut, least)
+    for done in (posted, deltas):
+        discard(done)
     named = materialize(_labels(near.union(more)), "classes")
     of = members.join(named, members.id == named.node, "left").select("doc_id", F.coalesce("component", "id").alias("class"))
     # classes are named by their smallest doc_id; those that a repeated doc_id is in become one

@@ -11,7 +11,11 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, scor
 PAGES = "page_id long, url string, html string, path string, digest string"
 
 
-def _write(spark, folder, docs, pages, items, labels):
+TURNS = [(1, 0, "user", "Hi."), (1, 0, "user", "Hi."), (1, None, None, None), (2, 5, "", "x" * 100_000), (None, 1, "user", "no conversation"), (7, 1, "assistant", "中。"), (7, 2, "tool", "\x00")]
+
+
+def _write(spark, folder, docs, pages, items, labels, turns=()):
+    spark.createDataFrame([(*t, "p", 1) for t in turns], "conv_id long, turn long, role string, text string, place string, depth int").write.parquet(f"{folder}/conversations.parquet")
     spark.createDataFrame(docs, DOCS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(pages, PAGES).write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame(items, "item_id long, text string, spans string").write.parquet(f"{folder}/benchmark.parquet")
@@ -35,7 +39,7 @@ def odd(spark, tmp_path_factory):
     pages = [(0, None, None), (1, "no url", ""), (2, "http://A.Example.ORG/es/x?q#f", "<p>a</p>"), (3, "http://A.Example.ORG/es/x?q#f", "<p>a</p>"), (4, "http://org", None), (5, "://", "ü"), (6, "https://example.org/en/12", "<p>a</p>"), (7, "https://x.com:80/fr/\n", "z" * 200_000)]
     items = [(0, None), (1, ""), (2, "..."), (3, passage), (3, passage), (4, "one")]
     labels = [(k, 1, None if k == 5 else k % 2, "t") for k in range(12)] + [(None, 1, 1, "t"), (99, 1, 1, "t"), (3, 0, 0, "t")]
-    return _write(spark, str(tmp_path_factory.mktemp("odd")), docs, [(*p, "p", "d") for p in pages], [(*i, "s") for i in items], labels)
+    return _write(spark, str(tmp_path_factory.mktemp("odd")), docs, [(*p, "p", "d") for p in pages], [(*i, "s") for i in items], labels, TURNS)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -46,6 +50,13 @@ def test_empty_tables_give_no_rows(spark, empty, name):
 @pytest.mark.parametrize("name", NAMES)
 def test_every_row_has_a_result(spark, odd, name):
     rows = queries.queries()[name](spark, odd).collect()
+    if name.startswith(("op12_", "op13_")):
+        if name.startswith("op12_"):
+            assert {r.conv_id for r in rows} == {1, 2, 7, None} and len(rows) == 4
+        else:
+            root = next(r for r in rows if r.depth == 0)
+            assert (root.conv_id, root.n_convs, root.parent_conv_id) == (1, 3, None) and {r.conv_id for r in rows} <= {1, 2, 7}
+        return
     assert len(rows) == (8 if name.startswith(("op1_", "op4_")) else 14)
     if name.startswith("op6_"):
         empty = hashlib.sha256(b"").hexdigest()
