@@ -28,6 +28,11 @@ def is_prerelease(tag: Column) -> Column:
     return F.lower(tag).rlike("alpha|beta|rc")
 
 
+def sort_key(version: Column) -> Column:
+    """Key that orders versions of no named standard: SemVer's; null for what is none."""
+    return semver(version)
+
+
 def needs_update(current: Column, target: Column) -> Column:
     """Whether the target is the later version by SemVer; null where one of them is none."""
     return semver(target) > semver(current)
