@@ -2,7 +2,7 @@
 
 Each stage is a function of (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
 columns of ``documents``. ``run`` writes each stage's result as Parquet to the shared folder and reads it
-back as the next stage's input, so a lost executor never costs more than the stage at work.
+back as the next stage's input, so a lost executor never costs more than the stage at work; what a stage has read is deleted then.
 
 The near-duplicate stage links texts whose five-word shingles have a Jaccard similarity of 0.8 or more. Its candidates are op8's (SimHash
 fingerprints within four bits) and, since at 0.8 fingerprints differ in some ten bits, those of an exact set-similarity join.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontam, near_copies, queries, substring, toxicity
-from lodestone.runtime import materialize
+from lodestone.runtime import discard, materialize
 
 SHINGLE, LEAST = 5, 0.8  # words a shingle, least Jaccard similarity of near copies
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -73,5 +73,6 @@ ORACLE_SQL = None  # SQL expresses neither the learned grammar nor the encoding
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs
