@@ -227,12 +227,13 @@ def candidates_across(posted: DataFrame, labels: DataFrame, least: float, stars:
     several = named.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("star").alias("v"), F.max("star").alias("w"))
     several = several.where("x <> y" if stars is None else "x <> y and v <> w").select("gram")
     mixed = materialize(named.join(several, "gram", "left_semi"), "mixed-postings")
-    own = mixed.groupBy("gram", "label", "star", "step").agg(F.count("*").alias("n"))
-    near = own.select("gram", F.struct("n", "label", "star", "step").alias("b"), F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step"))
-    apart = (F.col("a.label") != F.col("b.label")) & (F.col("a") < F.col("b"))
+    own = mixed.groupBy("gram", "label", "star", "step").agg(F.count("*").alias("n"), F.max(F.col("size") - F.col("at")).alias("rest"), F.min("size").alias("size"))
+    near = own.select("gram", F.struct("n", "label", "star", "step", "rest", "size").alias("b"), F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step"))
+    fits = F.least("a.rest", "b.rest") >= least / (1 + least) * (F.col("a.size") + F.col("b.size")) - 1e-6  # for some posting of either
+    apart = (F.col("a.label") != F.col("b.label")) & (F.col("a") < F.col("b")) & fits
     if stars is not None:
         apart = apart & (F.col("a.star") != F.col("b.star"))
-    met = own.select("gram", "step", F.struct("n", "label", "star", "step").alias("a")).join(near, ["gram", "step"]).where(apart).select("gram", "a", "b").alias("m")
+    met = own.select("gram", "step", F.struct("n", "label", "star", "step", "rest", "size").alias("a")).join(near, ["gram", "step"]).where(apart).select("gram", "a", "b").alias("m")
     same = lambda cell, rows: (F.col(f"{cell}.label") == F.col(f"{rows}.label")) & (F.col(f"{cell}.star") == F.col(f"{rows}.star")) & (F.col(f"{cell}.step") == F.col(f"{rows}.step"))
     left = met.join(mixed.alias("p"), (F.col("m.gram") == F.col("p.gram")) & same("m.a", "p"))
     left = left.select("m.gram", F.col("m.b").alias("cell"), F.col("p.id").alias("a_id"), *[F.col(f"p.{c}").alias(f"a_{c}") for c in ("prev", "size", "at")]).alias("l")
