@@ -62,7 +62,7 @@ def described(before: Column, at: Column, reach: int) -> Column:
 
 def parameters(text: Column) -> Column:
     """array<struct<name, type, optional>> of ``a: int, b``; without a colon the type is unknown."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda p: p != "")
     optional = lambda p: F.contains(p, F.lit(":")) & (F.contains(p, F.lit("?")) | F.contains(p, F.lit("Optional")))
     kind = lambda p: F.when(F.contains(p, F.lit(":")), F.trim(F.get(F.split(p, ":"), 1))).otherwise("unknown")
     return F.transform(parts, lambda p: F.struct(F.trim(F.get(F.split(p, ":"), 0)).alias("name"), kind(p).alias("type"), optional(p).alias("optional")))
@@ -148,7 +148,7 @@ def go_code(text: Column) -> Column:
 def code_examples(text: Column) -> Column:
     """array<struct<kind, code>>: fenced blocks, and inline code of more than ten bytes with a bracket, an equals sign or a colon."""
     block = F.transform(fences(text), lambda f: F.struct(F.lit("block").alias("kind"), F.trim(f["code"]).alias("code")))
-    inline = F.transform(F.regexp_extract_all(without_fences(text), F.lit("`([^`]+)`"), F.lit(1)), F.trim)
+    inline = F.transform(F.regexp_extract_all(without_fences(text), F.lit("`([^`]+)`"), F.lit(1)), lambda x: F.trim(x))
     good = F.filter(inline, lambda c: (F.octet_length(c) > 10) & c.rlike("[(=:]"))
     return F.concat(block, F.transform(good, lambda c: F.struct(F.lit("inline").alias("kind"), c.alias("code"))))
 

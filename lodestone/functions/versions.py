@@ -52,7 +52,7 @@ def mined_versions(text: Column) -> Column:
 def mined(text: Column, patterns, minimum: int = 5) -> Column:
     """What the patterns' groups catch (the whole match where there is no group), of more than ``minimum`` bytes, trimmed."""
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(1 if "(.+)" in p else 0)) for p in patterns]
-    return F.filter(F.transform(F.concat(*found), F.trim), lambda x: F.octet_length(x) > minimum)
+    return F.filter(F.transform(F.concat(*found), lambda x: F.trim(x)), lambda x: F.octet_length(x) > minimum)
 
 
 def feature_name(description: Column) -> Column:

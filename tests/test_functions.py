@@ -177,6 +177,13 @@ def test_html(spark):
     assert list(r) == ["a <b> & long enough", "none", "one two three four"]
 
 
+def test_lines_are_trimmed_of_spaces_only(spark):
+    lines = ["  ends with a 0 0 ", "the second ends with 1", " in all it is 22"]
+    r = one(spark, html.drop_noise(F.lit("\n".join(lines))), versions.mined(F.lit("syntax one here 100\nsyntax two here 211 "), versions.SYNTAX_PATTERNS[:1]))
+    assert r[0] == "ends with a 0 0\nthe second ends with 1\nin all it is 22"
+    assert r[1] == ["one here 100", "two here 211"]
+
+
 def test_urls(spark):
     u = F.lit("https://docs.rs/serde/1.0.2/serde/index.html?x#y")
     h, p = url.host(u), url.path(u)
