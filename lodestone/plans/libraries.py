@@ -20,7 +20,7 @@ _HITS = {k: rf"len(regexp_extract_all(regexp_replace(lower(main), '[^\p{{L}}]+',
 @query(rf"""SELECT page_id, md5({_BARE}) AS main, CASE WHEN strlen({_BARE}) >= 120 THEN 'main' ELSE 'fallback' END AS chosen FROM pages""")
 def regex_main_content(spark, sf_dir):
     main = html.regex_main(F.col("html"))
-    chosen = html.longest(main, F.lit("x" * 119))
+    chosen = html.longest(F.lit("x" * 119), main)  # of equals the first, the fallback
     return table(spark, sf_dir, "pages").select("page_id", F.md5(main).alias("main"), F.when(chosen == main, "main").otherwise("fallback").alias("chosen"))
 
 

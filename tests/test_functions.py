@@ -192,6 +192,14 @@ def test_references_end_with_a_semicolon(spark):
     assert [x["url"] for x in e["links"]] == ["https://e.org/q?a=1&copy=2&b=3"]
 
 
+def test_main_content_must_be_longer_than_the_fallback(spark, tmp_path):
+    from lodestone.plans import libraries
+
+    rows = [(n, "u", f"<article>{'m' * n}</article>") for n in (118, 119, 120)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r["page_id"]: r["chosen"] for r in libraries.regex_main_content(spark, str(tmp_path)).collect()} == {118: "fallback", 119: "fallback", 120: "main"}
+
+
 def test_urls(spark):
     u = F.lit("https://docs.rs/serde/1.0.2/serde/index.html?x#y")
     h, p = url.host(u), url.path(u)
