@@ -90,3 +90,15 @@ def test_odd_vectors(spark):
     assert vector_index.search(nothing, queries, 2).collect() == []
     portions = vector_index.search(index, spark.range(20).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("query")), 1, max_sent=3)
     assert len(portions.collect()) == 20
+
+
+@pytest.mark.parametrize("probes", [None, 20])
+def test_a_task_hands_on_a_bounded_number_of_rows(spark, probes):
+    """Of vectors without clusters neither cells nor codes can leave out many."""
+    rows = np.random.default_rng(6).normal(size=(4000, 24))
+    frame = _frame(spark, rows)
+    index = vector_index.build(frame)
+    own = rows[::20]
+    found = vector_index._exact(index, spark, np.arange(len(own)), own, 5) if probes is None else vector_index._coded(index, spark, np.arange(len(own)), own, probes, 5)[0]
+    assert found.count() <= found.rdd.getNumPartitions() * len(own) * 5
+    assert found.groupBy("query_id").count().where("count < 5").count() == 0
