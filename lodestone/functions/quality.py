@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import count_of, literal_array, tokens, word_count
+from lodestone.functions.text import literal_array, once, tokens, word_count
 
 # fixed values: phrases and words that the scores count
 TRANSITIONS = (
@@ -28,11 +28,13 @@ def sentences(text: Column) -> Column:
 
 
 def syllables(text: Column) -> Column:
-    """Vowel groups of each word's letters, at least one, a final e of several taken off; counted over the whole text."""
+    """Vowel groups of each word's letters, at least one, a final e of several taken off; counted over the whole text.
+
+    One pattern counts groups but those that end a word in e, and words without such.
+    """
     letters = F.regexp_replace(F.lower(text), r"[^\p{L}\s]+", "")
-    times = lambda pattern: F.regexp_count(letters, F.lit(pattern))
-    none, one_with_e = r"(?<!\S)[^\saeiouy]++(?!\S)", r"(?<!\S)[^\saeiouy]*+[aeiouy]*+(?<=e)(?!\S)"  # possessive, so linear in long words
-    return times("[aeiouy]+") + times(none) - times(r"e(?!\S)") + times(one_with_e)
+    bare = r"(?<!\S)(?=\S)[^\saeiouy]*+(?:[aeiouy]++(?<=e))?+(?!\S)"  # possessive, so linear in long words
+    return F.regexp_count(letters, F.lit(rf"{bare}|[aeiouy]++(?!(?<=e)(?!\S))"))
 
 
 def readability(text: Column) -> Column:
@@ -41,24 +43,39 @@ def readability(text: Column) -> Column:
 
 
 def flesch(words: Column, n: Column, syllable_count: Column) -> Column:
-    ease = 206.835 - 1.015 * words / n - 84.6 * syllable_count / words
-    return F.when((words == 0) | (n == 0), F.lit(0.0)).otherwise(F.least(F.greatest(ease, F.lit(0.0)), F.lit(100.0)) / 100)
+    def of(c: Column) -> Column:
+        ease = 206.835 - 1.015 * c["words"] / c["n"] - 84.6 * c["syllables"] / c["words"]
+        return F.when((c["words"] == 0) | (c["n"] == 0), F.lit(0.0)).otherwise(F.least(F.greatest(ease, F.lit(0.0)), F.lit(100.0)) / 100)
+
+    return once(F.struct(words.alias("words"), n.alias("n"), syllable_count.alias("syllables")), of)
+
+
+def _likeness(a: Column, b: Column) -> Column:
+    """Jaccard of two sets, null if one is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), once(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both)))
 
 
 def coherence(text: Column) -> Column:
-    """Mean Jaccard of neighbouring sentences' words plus a bonus for transitions; 0.5 below two sentences."""
-    found = sentences(text)
-    trimmed = lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}]+|[^\p{L}]+$", "")
-    sets = F.transform(found, lambda s: F.array_distinct(F.filter(F.transform(tokens(s), trimmed), lambda w: F.octet_length(w) > 2)))
-    n = F.size(found)
-    pairs = F.zip_with(F.slice(sets, 1, F.greatest(n - 1, F.lit(1))), F.slice(sets, 2, F.greatest(n - 1, F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    good = F.filter(pairs, lambda p: (F.size(p["a"]) > 0) & (F.size(p["b"]) > 0))
-    likes = F.transform(good, lambda p: F.size(F.array_intersect(p["a"], p["b"])) / F.size(F.array_union(p["a"], p["b"])))
-    total = F.aggregate(likes, F.lit(0.0), lambda s, x: s + x)
-    mean = F.when(F.size(likes) > 0, total / F.size(likes)).otherwise(F.lit(0.0))
-    lower = F.lower(text)
-    bonus = F.least(sum((count_of(lower, t) for t in TRANSITIONS), F.lit(0)) / n, F.lit(0.3))
-    return F.when(n < 2, F.lit(0.5)).otherwise(mean + bonus)
+    """Mean Jaccard of neighbouring sentences' words plus a bonus for transitions; 0.5 below two sentences.
+
+    A word reaches from the first to the last letter between white space. Every sentence is cut into words once.
+    """
+    word = F.lit(r"\p{L}(?:\S*\p{L})?")
+    words = lambda s: F.array_distinct(F.filter(F.regexp_extract_all(s, word, F.lit(0)), lambda w: F.octet_length(w) > 2))
+    # no transition begins with another or overlaps itself, so each starts as often as it occurs
+    starts = F.lit(f"(?=[{''.join(sorted({t[0] for t in TRANSITIONS}))}])(?={'|'.join(TRANSITIONS)})")
+
+    def of(lower: Column) -> Column:
+        sets = F.transform(F.filter(F.split(lower, "[.!?]"), lambda s: s.rlike(r"\S")), words)
+        return once(sets, lambda found: scored(lower, found))
+
+    def scored(lower: Column, sets: Column) -> Column:
+        n = F.size(sets)
+        likes = F.zip_with(F.slice(sets, 1, F.greatest(n - 1, F.lit(1))), F.slice(sets, 2, F.greatest(n - 1, F.lit(1))), _likeness)
+        mean = once(F.filter(likes, lambda x: x.isNotNull()), lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda t, y: t + y) / F.size(x)).otherwise(F.lit(0.0)))
+        return F.when(n < 2, F.lit(0.5)).otherwise(mean + F.least(F.regexp_count(lower, starts) / n, F.lit(0.3)))
+
+    return once(F.lower(text), of)
 
 
 def content_score(text: Column, sep: str = "\n\n") -> Column:
@@ -75,8 +92,7 @@ def content_score(text: Column, sep: str = "\n\n") -> Column:
 
 
 def technical_score(text: Column) -> Column:
-    lower = F.lower(text)
-    return F.size(F.filter(literal_array(TECHNICAL_WORDS), lambda w: F.contains(lower, w))) / len(TECHNICAL_WORDS)
+    return once(F.lower(text), lambda lower: F.size(F.filter(literal_array(TECHNICAL_WORDS), lambda w: F.contains(lower, w)))) / len(TECHNICAL_WORDS)
 
 
 def completeness(title: Column, body: Column, links: Column, summary: Column, language: Column) -> Column:

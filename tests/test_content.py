@@ -2,11 +2,13 @@
 
 import itertools
 import random
+import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from lodestone.functions import apidoc, density, lexer
+from lodestone.functions import apidoc, density, insight, lexer, quality
 from lodestone.operators import languages
 
 RUST = '''// } not a brace
@@ -94,3 +96,35 @@ def test_accuracy_on_documents(spark, fitted, least):
     found = languages.detect(tried, profiles=profiles).join(tried.select("doc_id", "lang"), "doc_id")
     right = found.agg(F.avg((F.col("language") == F.col("lang")).cast("int"))).first()[0]
     assert right >= least
+
+
+def _coherence(text):
+    """By the definition, a sentence and a word at a time."""
+    parts = [p for p in re.split("[.!?]", text) if p.strip(" \t\n\x0b\f\r")]
+    sets = [{w for w in (regex.sub(r"^[^\p{L}]+|[^\p{L}]+$", "", w.lower()) for w in re.split(r"[ \t\n\x0b\f\r]+", p)) if len(w.encode()) > 2} for p in parts]
+    likes = [len(a & b) / len(a | b) for a, b in itertools.pairwise(sets) if a and b]
+    if len(parts) < 2:
+        return 0.5
+    return (sum(likes) / len(likes) if likes else 0.0) + min(sum(text.lower().count(t) for t in quality.TRANSITIONS) / len(parts), 0.3)
+
+
+def _syllables(text):
+    words = [regex.sub(r"[^\p{L}]", "", w) for w in text.lower().split()]
+    groups = [(w, max(len(re.findall("[aeiouy]+", w)), 1)) for w in words if w]
+    return sum(n - (w.endswith("e") and n > 1) for w, n in groups)
+
+
+def test_coherence_and_syllables_of_odd_texts(spark):
+    rng, signs = random.Random(8), ["the", "Tree", "ee", "e", "-x-", "in contrastherefore", "However,", ".", "!", "?", "\n", "%%%", "a-b", "Käse", "bcd", "die", "ye", "12e"]
+    texts = ["", " ", ".", "one. ", "a.b", *(" ".join(rng.choices(signs, k=rng.randrange(1, 60))) for _ in range(150))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", quality.coherence(F.col("t")), quality.syllables(F.col("t"))).collect()
+    for k, c, n in rows:
+        assert c == pytest.approx(_coherence(texts[k])), texts[k]
+        assert n == _syllables(texts[k]), texts[k]
+
+
+@pytest.mark.parametrize(("measure", "part"), [(quality.coherence, "split("), (quality.coherence, "lower("), (lambda t: insight.semantics(t)["technologies"], "lower("), (quality.technical_score, "lower(")])
+def test_a_text_is_cut_and_lowered_once(spark, measure, part):
+    plan = spark.createDataFrame([("a",)], "t string").repartition(2).select(measure(F.col("t")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(part) == 1
+    assert "lambda" not in plan or not re.search(r"lambdafunction\(Contains\(lower", plan)
