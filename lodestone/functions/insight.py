@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import count_of, literal_array, word_count
+from lodestone.functions.text import count_of, literal_array, once, word_count
 
 # fixed values: weights and the words that are looked for
 QUALITY_WEIGHTS = {
@@ -38,7 +38,7 @@ def _any(text: Column, words) -> Column:
 
 
 def _those(text: Column, words) -> Column:
-    return F.filter(literal_array(words), lambda w: F.contains(text, w))
+    return once(text, lambda t: F.filter(literal_array(words), lambda w: F.contains(t, w)))
 
 
 def statistics(text: Column, sep: str = "\n\n") -> Column:
@@ -125,18 +125,25 @@ def composite(s: Column, quality: Column, clarity: Column, depth: Column, useful
 
 def score_in_text(text: Column, keyword: str, default: float = 6.0) -> Column:
     """The number out of ten in the hundred characters from a keyword on, from 1 to 10."""
-    lower = F.lower(text)
-    at = F.instr(lower, keyword.lower())
-    found = F.regexp_extract(F.substring(lower, at, F.lit(100)), r"(\d+(?:\.\d+)?)\s*[/分]?\s*(?:10|分|点)", 1).try_cast("double")
-    return F.when(at > 0, F.coalesce(F.greatest(F.least(found, F.lit(10.0)), F.lit(1.0)), F.lit(default))).otherwise(F.lit(default))
+
+    def of(found: Column) -> Column:
+        score = F.regexp_extract(F.substring(found["lower"], found["at"], F.lit(100)), r"(\d+(?:\.\d+)?)\s*[/分]?\s*(?:10|分|点)", 1).try_cast("double")
+        return F.when(found["at"] > 0, F.coalesce(F.greatest(F.least(score, F.lit(10.0)), F.lit(1.0)), F.lit(default))).otherwise(F.lit(default))
+
+    return once(F.lower(text), lambda lower: once(F.struct(lower.alias("lower"), F.instr(lower, keyword.lower()).alias("at")), of))
 
 
 def semantics(text: Column) -> Column:
     """struct of type, languages, technologies, topics and difficulty (1 to 5, by the number of words) from the words in a text."""
-    lower, words = F.lower(text), word_count(text)
-    kind = F.coalesce(*[F.when(_any(lower, marks), F.lit(name)) for name, marks in TEXT_TYPES], F.lit("unknown"))
-    hard = F.when(words <= 50, 1).when(words <= 200, 2).when(words <= 500, 3).when(words <= 1000, 4).otherwise(5)
-    return F.struct(kind.alias("type"), _those(lower, LANGUAGES).alias("languages"), _those(lower, TECHNOLOGIES).alias("technologies"), _those(lower, SUBJECTS).alias("topics"), hard.alias("difficulty"))
+
+    def of(found: Column) -> Column:
+        lower, words = found["lower"], found["words"]
+        those = lambda listed: F.filter(literal_array(listed), lambda w: F.contains(lower, w))
+        kind = F.coalesce(*[F.when(_any(lower, marks), F.lit(name)) for name, marks in TEXT_TYPES], F.lit("unknown"))
+        hard = F.when(words <= 50, 1).when(words <= 200, 2).when(words <= 500, 3).when(words <= 1000, 4).otherwise(5)
+        return F.struct(kind.alias("type"), those(LANGUAGES).alias("languages"), those(TECHNOLOGIES).alias("technologies"), those(SUBJECTS).alias("topics"), hard.alias("difficulty"))
+
+    return once(F.struct(F.lower(text).alias("lower"), word_count(text).alias("words")), of)
 
 
 def natural_language(text: Column) -> Column:

@@ -160,10 +160,11 @@ _SHORT = "'see the rust api docs of ' || p_name || ' with tokio and async code '
 FROM (SELECT *, 16 + len(string_split(p_name, ' ')) - 3 + p_size * 30 AS n FROM part)""".replace("16 + len(string_split(p_name, ' ')) - 3 + p_size * 30", rf"len(regexp_extract_all({_SHORT}, '\S+'))"))
 def text_semantics(spark, sf_dir):
     t = F.concat(F.lit("see the rust api docs of "), "p_name", F.lit(" with tokio and async code "), F.expr("repeat('word ', p_size * 30)"), F.lit(" quality: about "), F.col("p_size") % 12, F.lit("/10"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", t.alias("t"))
-    s = insight.semantics(F.col("t"))
-    return rows.select("p_partkey", s["type"].alias("type"), F.array_join(s["languages"], " ").alias("languages"), F.array_join(s["technologies"], " ").alias("technologies"), F.array_join(s["topics"], " ").alias("topics"), s["difficulty"].alias("difficulty"),
-        insight.score_in_text(F.col("t"), "Quality").alias("score"), insight.score_in_text(F.col("t"), "clarity").alias("missing"))
+    # the texts are some hundred times the table, of which a task would read more rows than it can make texts of
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size").repartition(4 * spark.sparkContext.defaultParallelism)
+    rows = parts.select("p_partkey", t.alias("t"))
+    rows = rows.select("p_partkey", insight.semantics(F.col("t")).alias("s"), insight.score_in_text(F.col("t"), "Quality").alias("score"), insight.score_in_text(F.col("t"), "clarity").alias("missing"))
+    return rows.select("p_partkey", "s.type", *[F.array_join(f"s.{c}", " ").alias(c) for c in ("languages", "technologies", "topics")], "s.difficulty", "score", "missing")
 
 
 @query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents""")

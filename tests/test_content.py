@@ -128,3 +128,10 @@ def test_a_text_is_cut_and_lowered_once(spark, measure, part):
     plan = spark.createDataFrame([("a",)], "t string").repartition(2).select(measure(F.col("t")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(part) == 1
     assert "lambda" not in plan or not re.search(r"lambdafunction\(Contains\(lower", plan)
+
+
+def test_semantics_are_computed_once_for_all_their_parts(spark, data):
+    from lodestone.plans import knowledge
+
+    plan = knowledge.text_semantics(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("repeat(") == 1 and plan.count("lower(") == 3
