@@ -135,3 +135,14 @@ def test_semantics_are_computed_once_for_all_their_parts(spark, data):
 
     plan = knowledge.text_semantics(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("repeat(") == 1 and plan.count("lower(") == 3
+
+
+@pytest.mark.parametrize("name", ["similarity_parts", "pairwise_text_similarity", "document_similarity"])
+def test_pairs_of_texts_are_compared_by_measures(spark, data, name):
+    """Neither texts nor their words as strings meet; Python gets small batches of numbers."""
+    from lodestone.plans import documents
+
+    found = getattr(documents, name)(spark, data)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan and "words:array<string>" not in plan and "split(" not in plan
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 or name == "similarity_parts"
