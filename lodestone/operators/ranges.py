@@ -13,7 +13,7 @@ rows are rows; equal intervals of one advisory count once.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.version_keys import key
 from lodestone.functions.versions import severity
-from lodestone.runtime import materialize, ship_package
+from lodestone.runtime import ship_package
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "UNKNOWN")  # fixed values, the worst first
 
@@ -47,62 +47,86 @@ def osv_ranges(replies: DataFrame, column: str = "reply") -> DataFrame:
 
 
 def _ends(ranges: DataFrame) -> DataFrame:
-    """name, id, low (from it on), high (up to it, the end itself where ``closed``), severity, fixed."""
+    """name, id, low (from it on), high (up to it, the end itself where ``closed``), severity, fixed, fix_key."""
     own = F.col("ecosystem")
     low = F.when(F.coalesce("introduced", F.lit("0")) == "0", "").otherwise(key(F.col("introduced"), own))
     end = F.coalesce("fixed", "last_affected")
     # no key begins with a sign above the letters, so this one ends all
     high = F.when(end.isNull(), "~").otherwise(key(end, own))
-    return ranges.select(F.col("package").alias("name"), "id", low.alias("low"), high.alias("high"), F.col("fixed").isNull().alias("closed"), severity(F.col("severity")).alias("severity"), "fixed").where("name is not null and low is not null and high is not null").distinct()
+    return ranges.select(F.col("package").alias("name"), "id", low.alias("low"), high.alias("high"), F.col("fixed").isNull().alias("closed"), severity(F.col("severity")).alias("severity"), "fixed", key(F.col("fixed"), F.split("package", "\n")[0]).alias("fix_key")).where("name is not null and low is not null and high is not null").distinct()
 
 
-def _swept(events: DataFrame) -> DataFrame:
-    """name, at (a version's key), id, severity, fixed, high of the intervals that hold it. ``events``: name, at, kind (0 an interval begins, 1 a version), id, high,
-    closed, severity, fixed."""
+def _chosen(open_: list[tuple]) -> list[tuple]:
+    """Of the open intervals (end, id, severity, fixed, fix_key) that of each id which ends first."""
+    best: dict[str, tuple] = {}
+    for x in open_:
+        if x[2] not in best or x[:1] + x[3:5] < best[x[2]][:1] + best[x[2]][3:5]:
+            best[x[2]] = x
+    return list(best.values())
+
+
+def _swept(events: DataFrame, schema: str, found: Callable[[list[tuple]], list[pa.Array]]) -> DataFrame:
+    """name, at (a version's key) and the columns that ``found`` makes of the intervals that hold it. They are made anew only where an interval has begun or
+    ended since the last version. ``events``: name, at, kind (0 an interval begins, 1 a version), id, high, closed, severity, fixed, fix_key."""
+    names = ["name", "at", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["name", "at", "id", "severity", "fixed", "high"]
-        out: list[tuple] = []
-        now, open_ = None, []
+        out: list[list[pa.Array]] = []
+        rows, now, open_, made = 0, None, [], None
         for batch in batches:
-            for name, at, kind, id_, high, closed, level, fixed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, at, kind, id_, high, closed, level, fixed, fix_key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name != now:
-                    now, open_ = name, []
+                    now, open_, made = name, [], None
                 while open_ and (open_[0][0], open_[0][1]) < (at.encode(), 1):  # an end at this very version still holds it where it is closed
                     heapq.heappop(open_)
+                    made = None
                 if kind == 0:
-                    heapq.heappush(open_, (high.encode(), int(closed), id_ or "", level, fixed or "", high))
-                else:
-                    out += [(name, at, x[2], x[3], x[4] or None, x[5]) for x in open_]
-                    if len(out) >= 5000:
-                        yield _batch(out, names)
-                        out = []
+                    heapq.heappush(open_, (high.encode(), int(closed), id_ or "", level or "", fixed or "", (fix_key or "").encode()))
+                    made = None
+                elif open_:
+                    made = found(_chosen(open_)) if made is None else made
+                    out.append([pa.repeat(name, len(made[0])), pa.repeat(at, len(made[0])), *made])
+                    rows += len(made[0])
+                    if rows >= 5000:
+                        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], names=names)
+                        out, rows = [], 0
         if out:
-            yield _batch(out, names)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], names=names)
 
-    rows = events.repartition("name").sortWithinPartitions("name", "at", "kind")
-    return rows.select("name", "at", "kind", "id", "high", "closed", "severity", "fixed").mapInArrow(run, "name string, at string, id string, severity string, fixed string, high string")
+    own = events.repartition("name").sortWithinPartitions("name", "at", "kind")
+    return own.select("name", "at", "kind", "id", "high", "closed", "severity", "fixed", "fix_key").mapInArrow(run, f"name string, at string, {schema}")
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
+def _each(held: list[tuple]) -> list[pa.Array]:
+    return [pa.array([x[2] for x in held], pa.string()), pa.array([x[3] or None for x in held], pa.string()), pa.array([x[4] or None for x in held], pa.string())]
 
 
-def affected_versions(dependencies: DataFrame, ranges: DataFrame) -> DataFrame:
-    """name, at (version key), id, severity, fixed: each version that occurs beside each advisory that holds it, once.
+def _summary(held: list[tuple]) -> list[pa.Array]:
+    fixes = [(x[5], x[4]) for x in held if x[5]]
+    worst = min((SEVERITIES.index(x[3]) + 1 if x[3] in SEVERITIES else 0 for x in held if x[3]), default=None)
+    return [
+        pa.array([len(held)], pa.int64()), pa.array([worst], pa.int32()), pa.array([any(not x[4] for x in held)], pa.bool_()), pa.array([max(fixes)[1] if fixes else None], pa.string()),
+    ]
 
-    ``dependencies``: ecosystem, name, version. ``ranges``: id, ecosystem, package, severity, introduced, fixed, last_affected. Of several intervals of an advisory that hold a
-    version, the one that ends first counts.
-    """
+
+def _events(dependencies: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Versions that occur and beginnings of intervals, for ``_swept``."""
     ship_package(dependencies.sparkSession)
     full = lambda name: F.concat_ws("\n", F.lower(F.coalesce("ecosystem", F.lit(""))), name)
     none = F.lit(None).cast("string")
     points = dependencies.where("name is not null").select(full(F.col("name")).alias("name"), key(F.col("version"), F.col("ecosystem")).alias("at")).where("at is not null").distinct()
     ends = _ends(ranges.withColumn("package", F.when(F.col("package").isNotNull(), full(F.col("package")))))
-    points = points.select("name", "at", F.lit(1).alias("kind"), none.alias("id"), none.alias("high"), F.lit(False).alias("closed"), none.alias("severity"), none.alias("fixed"))
-    begins = ends.select("name", F.col("low").alias("at"), F.lit(0).alias("kind"), "id", "high", "closed", "severity", "fixed")
-    found = _swept(points.unionByName(begins))
-    return found.groupBy("name", "at", "id").agg(F.min_by(F.struct("severity", "fixed"), F.struct("high", "severity", "fixed")).alias("f")).select("name", "at", "id", "f.severity", "f.fixed")
+    points = points.select("name", "at", F.lit(1).alias("kind"), none.alias("id"), none.alias("high"), F.lit(False).alias("closed"), none.alias("severity"), none.alias("fixed"), none.alias("fix_key"))
+    return points.unionByName(ends.select("name", F.col("low").alias("at"), F.lit(0).alias("kind"), "id", "high", "closed", "severity", "fixed", "fix_key"))
+
+
+def affected_versions(dependencies: DataFrame, ranges: DataFrame) -> DataFrame:
+    """name, at (version key), id, severity, fixed: each version that occurs beside each advisory that holds it, once.
+
+    ``dependencies``: ecosystem, name, version. ``ranges``: id, ecosystem, package, severity, introduced, fixed, last_affected. Of several intervals of an advisory that hold a
+    version, the one that ends first counts.
+    """
+    return _swept(_events(dependencies, ranges), "id string, severity string, fixed string", _each)
 
 
 def _named(dependencies: DataFrame) -> DataFrame:
@@ -119,14 +143,10 @@ def affected(dependencies: DataFrame, ranges: DataFrame) -> DataFrame:
 def vulnerability_report(dependencies: DataFrame, ranges: DataFrame) -> DataFrame:
     """The dependencies' columns, n_alerts, risk (the worst severity, or NONE) and fixed_in: the latest of the alerts' fixes, null where an alert has none.
 
-    Alerts are counted for each different version before they meet the rows, so no row holds a list of them.
+    Alerts are counted in the sweep, a row for each different version, so neither pairs of versions and alerts nor lists of alerts are made.
     """
-    found = materialize(affected_versions(dependencies, ranges), "affected")
-    ecosystem = F.split("name", "\n")[0]
-    worst = F.min(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")))
-    counts = found.groupBy(F.col("name").alias("__name"), F.col("at").alias("__at")).agg(
-        F.count("*").alias("n_alerts"), worst.cast("int").alias("worst"), F.bool_or(F.col("fixed").isNull()).alias("no_fix"), F.max_by("fixed", key(F.col("fixed"), ecosystem)).alias("fix")
-    )
+    counts = _swept(_events(dependencies, ranges), "n_alerts long, worst int, no_fix boolean, fix string", _summary)
+    counts = counts.withColumnsRenamed({"name": "__name", "at": "__at"})
     out = _named(dependencies).join(counts, ["__name", "__at"], "left")
     risk: Column = F.lit("NONE")
     for k, level in enumerate(SEVERITIES, 1):

@@ -69,3 +69,12 @@ def test_osv_events(spark):
     rows = spark.createDataFrame([(json.dumps(doc),), ("no json",), (None,)], "reply string")
     got = sorted((tuple(r) for r in ranges.osv_ranges(rows).select("package", "introduced", "fixed", "last_affected").collect()), key=str)
     assert got == [("p", "0", "1.0", None), ("p", "2.0", None, "2.5"), ("p", "3.0", None, None), ("q", "1.1", None, "1.1"), ("q", "1.2", None, "1.2")]
+
+
+def test_a_report_makes_a_row_a_version_not_a_pair(spark):
+    deps = spark.createDataFrame([("npm", "a", f"1.{k}.0") for k in range(30)], "ecosystem string, name string, version string")
+    rows = [(f"A{k}", "npm", "a", "severe", "1.0.0", "2.0.0" if k % 2 else "10.0.0", None) for k in range(20)]
+    found = spark.createDataFrame(rows, "id string, ecosystem string, package string, severity string, introduced string, fixed string, last_affected string")
+    counts = ranges._swept(ranges._events(deps, found), "n_alerts long, worst int, no_fix boolean, fix string", ranges._summary).collect()
+    assert len(counts) == 30 and {r["n_alerts"] for r in counts} == {20}
+    assert {r["fix"] for r in counts} == {"10.0.0"} and not any(r["no_fix"] for r in counts)
