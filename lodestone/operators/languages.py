@@ -45,6 +45,7 @@ _OTHER = regex.compile(r"[^\p{L}]+")
 _LETTER = regex.compile(r"\p{L}")
 _SCRIPTS = [(name, regex.compile(pattern)) for name, pattern in SCRIPTS]
 _LATIN = regex.compile(r"\p{Latin}")
+_PLAIN = regex.compile(r"[\x00-\xb4\xb6-\xff]*+")  # of these all letters are Latin; the micro sign is a letter of no script
 
 
 def ranked(lower: str, size: int = SIZE) -> list[str]:
@@ -74,6 +75,8 @@ def profiles_of(docs: DataFrame, *, column: str = "text", language: str = "lang"
 
 
 def _language(text: str, lower: str, profiles: dict[str, dict[str, int]]) -> tuple[str | None, float]:
+    if _PLAIN.fullmatch(text):
+        return _nearest(lower, profiles) if _LETTER.search(text) and profiles else (None, 0.0)
     letters = len(_LETTER.findall(text))
     if not letters:
         return None, 0.0
@@ -85,6 +88,10 @@ def _language(text: str, lower: str, profiles: dict[str, dict[str, int]]) -> tup
             return name, round(share[name], 6)
     if not profiles or len(_LATIN.findall(text)) * 2 <= letters:
         return None, 0.0
+    return _nearest(lower, profiles)
+
+
+def _nearest(lower: str, profiles: dict[str, dict[str, int]]) -> tuple[str, float]:
     own = ranked(lower)
     away = {name: sum(abs(k - profile[g]) if g in profile else SIZE for k, g in enumerate(own)) for name, profile in profiles.items()}
     name = min(away, key=lambda n: (away[n], n))

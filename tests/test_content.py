@@ -146,3 +146,13 @@ def test_pairs_of_texts_are_compared_by_measures(spark, data, name):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "text#" not in plan and "words:array<string>" not in plan and "split(" not in plan
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 or name == "similarity_parts"
+
+
+def test_letters_of_plain_texts_are_not_counted_by_script(monkeypatch):
+    texts = ["the wind came from the north", "Straße und Käse", "123 %", "", "ªº", "µ", "µ and other letters", "Ωmega the end"]
+    found = [languages._language(t, t.lower(), languages.PROFILES) for t in texts]
+    monkeypatch.setattr(languages, "_PLAIN", regex.compile("(?!)"))
+    assert found == [languages._language(t, t.lower(), languages.PROFILES) for t in texts]
+    monkeypatch.undo()
+    monkeypatch.setattr(languages, "_SCRIPTS", None)
+    assert [languages._language(t, t.lower(), languages.PROFILES)[0] for t in texts[:3]] == ["en", "de", None]
