@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import overlap
+from lodestone.operators import overlap, similarity
 
 LEAST = 0.8
 
@@ -100,3 +102,55 @@ def test_empty_texts(spark):
     frame = spark.createDataFrame([], "id long, text string")
     posted = overlap.postings(frame, overlap.word_shingles(5), LEAST)
     assert posted.count() == 0 and overlap.central(posted, LEAST).count() == 0
+
+
+def _moved(spark) -> int:
+    """Bytes that all shuffles so far have written."""
+    return sum(e.totalShuffleWrite() for e in [spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0)])
+
+
+def test_similar_pairs_are_all_pairs_of_unlike_sizes(spark):
+    rng = random.Random(5)
+    texts = []
+    for family in range(6):
+        base = [f"w{family}x{rng.randrange(500)}" for _ in range(rng.choice((30, 90, 400)))]
+        for _ in range(12):
+            own = base[: rng.randrange(len(base) // 3, len(base) + 1)]
+            texts.append(" ".join(w if rng.random() > 0.15 else f"e{rng.randrange(300)}" for w in own))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    cut = overlap.word_shingles(1)
+    sets = [set(cut(t.encode()).tolist()) for t in texts]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.4 * len(sets[a] | sets[b]) - 1e-9}
+    got = [(r.left_id, r.right_id) for r in overlap.similar_pairs(rows, cut, 0.4).collect()]
+    assert len(want) > 100 and set(got) == want and len(got) == len(want)
+
+
+def test_sketches_never_tell_similar_sets_apart():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(-(2**63), 2**63 - 1, 4000)
+    sets = [np.unique(pool[at : at + n]) for at, n in ((0, 1), (0, 2), (0, 17), (3, 40), (0, 900), (200, 900), (500, 1800), (0, 4000))]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(len(sets))]
+    sketches = [overlap._sketch(x).tolist() for x in sets]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]), pa.array([sketches[a] for a, _ in pairs], pa.list_(pa.int64())), pa.array([sketches[b] for _, b in pairs], pa.list_(pa.int64()))],
+        names=["left_id", "right_id", "a", "b"],
+    )
+    like = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    for least in (0.4, 0.8):
+        kept = {(r["left_id"], r["right_id"]) for out in overlap._sketches_allow(least)(iter([batch])) for r in out.to_pylist()}
+        assert kept >= {p for p in pairs if like(*p) >= least} and len(kept) < len(pairs)
+
+
+def test_near_duplicates_do_not_shuffle_a_text_for_each_of_its_pairs(spark):
+    rng = random.Random(7)
+    base = [f"word{rng.randrange(5000)}" for _ in range(1000)]
+    texts = [" ".join(w if rng.random() > 0.02 else f"edit{rng.randrange(9999)}" for w in base) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before, small = _moved(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        n = similarity.near_duplicates(docs).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert n == 100 * 99 // 2
+    assert _moved(spark) - before < 15 * sum(map(len, texts))
