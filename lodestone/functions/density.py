@@ -7,6 +7,8 @@ run is found in one pass over the block's worths (a maximum-sum run), all in col
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,12 +45,19 @@ def best_run(worths: Column) -> Column:
 
     none, zero = F.lit(-1), F.lit(0).cast("long")
     found = F.aggregate(worths, state(F.lit(0), zero, F.lit(0), zero, none, none), step)
-    return F.when(found["last"] >= 0, F.struct(found["first"].alias("first"), found["last"].alias("last"), found["best"].alias("sum")))
+    return _let(found, lambda s: F.when(s["last"] >= 0, F.struct(s["first"].alias("first"), s["last"].alias("last"), s["best"].alias("sum"))))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def main_content(html: Column) -> Column:
     """struct<first, last, sum, text>: the run's blocks and their texts, one a line; null without one."""
-    own = blocks(html)
-    run = best_run(F.transform(own, worth))
-    text = F.array_join(F.filter(F.transform(F.slice(own, run["first"] + 1, run["last"] - run["first"] + 1), lambda b: b["text"]), lambda t: t != ""), "\n")
-    return F.when(run.isNotNull(), F.struct(run["first"].alias("first"), run["last"].alias("last"), run["sum"].alias("sum"), text.alias("text")))
+
+    def found(own: Column, run: Column) -> Column:
+        text = F.array_join(F.filter(F.transform(F.slice(own, run["first"] + 1, run["last"] - run["first"] + 1), lambda b: b["text"]), lambda t: t != ""), "\n")
+        return F.when(run.isNotNull(), F.struct(run["first"].alias("first"), run["last"].alias("last"), run["sum"].alias("sum"), text.alias("text")))
+
+    return _let(blocks(html), lambda own: _let(best_run(F.transform(own, worth)), lambda run: found(own, run)))

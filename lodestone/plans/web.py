@@ -197,7 +197,8 @@ r AS (SELECT * FROM f WHERE total > 0 QUALIFY row_number() OVER (PARTITION BY pa
 SELECT r.page_id, first::INT AS first, last::INT AS last, total::BIGINT AS sum, md5(string_agg(text, chr(10) ORDER BY pos) FILTER (text <> '')) AS text_md5
 FROM r JOIN s ON s.page_id = r.page_id AND pos BETWEEN first AND last GROUP BY r.page_id, first, last, total""")
 def dense_main_content(spark, sf_dir):
-    found = table(spark, sf_dir, "pages").select("page_id", density.main_content(F.col("html")).alias("m")).where("m is not null")
+    # a filter on m would work it out twice
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_compact(F.array(density.main_content(F.col("html"))))).alias("m"))
     return found.select("page_id", "m.first", "m.last", "m.sum", F.md5("m.text").alias("text_md5"))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import similarity
+from lodestone.plans import web
 
 
 def test_only_unequal_texts_of_one_version_are_compared(spark, monkeypatch):
@@ -15,3 +16,8 @@ def test_only_unequal_texts_of_one_version_are_compared(spark, monkeypatch):
     given = lambda a, b: F.when(a.isNotNull() | b.isNotNull(), F.raise_error(F.lit("compared")).cast("double")).otherwise(0.0)
     monkeypatch.setattr(similarity, "document_similarity", given)
     assert decide() == want
+
+
+def test_blocks_of_a_page_are_cut_once(spark, data):
+    plan = web.dense_main_content(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
