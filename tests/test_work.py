@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodestone.operators import similarity
-from lodestone.plans import web
+from lodestone.plans import code, web
 
 
 def test_only_unequal_texts_of_one_version_are_compared(spark, monkeypatch):
@@ -21,3 +21,8 @@ def test_only_unequal_texts_of_one_version_are_compared(spark, monkeypatch):
 def test_blocks_of_a_page_are_cut_once(spark, data):
     plan = web.dense_main_content(spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_files_made_of_short_rows_are_dealt_to_all_tasks(spark, data):
+    assert code._files(spark, data).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert code.api_definitions(spark, data).count() == spark.read.parquet(f"{data}/part.parquet").selectExpr("sum(if(p_partkey % 4 < 3, 3, 1))").first()[0]
