@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,14 +53,19 @@ def _counted(docs: DataFrame, id_column: str, column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for id_, words in zip(batch.column(0).to_pylist(), pc.ascii_split_whitespace(batch.column(1)).to_pylist(), strict=True):
-                own = Counter(w for w in words if w)
-                n = own.total()
-                out += [(id_, w, f, n) for w, f in own.items()]
-            if out:
-                ids, words, counts, lengths = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.int32()), pa.array(lengths, pa.int32())], names=["id", "term", "f", "n"])
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                lists = pc.ascii_split_whitespace(part.column(1))
+                row, word = pc.list_parent_indices(lists), pc.list_flatten(lists)
+                keep = pc.greater(pc.binary_length(word), 0)
+                row, coded = row.filter(keep).to_numpy(), word.filter(keep).dictionary_encode()
+                size = max(len(coded.dictionary), 1)
+                found, f = np.unique(row * size + coded.indices.to_numpy(), return_counts=True)
+                rows, n = found // size, np.bincount(row, minlength=part.num_rows)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(rows)), coded.dictionary.take(pa.array(found % size)), pa.array(f, pa.int32()), pa.array(n[rows], pa.int32())], names=["id", "term", "f", "n"],
+                    )
 
     lower = F.lower(F.make_valid_utf8(F.coalesce(column, F.lit(""))))
     return docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), lower.alias("text")).mapInArrow(run, "id long, term string, f int, n int")
@@ -75,27 +81,31 @@ def _cut(postings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _BLOCKS.split(", ")]
         types = [pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        out: list[tuple] = []
-        key, block = None, []
+        terms, own = pa.array([], pa.string()), [np.zeros(0)] * 5  # the block that may go on
 
-        def close() -> None:
-            if block:
-                ids, counts, lengths, impacts = map(list, zip(*block, strict=True))
-                out.append((*key, max(impacts), ids[0], ids[-1], len(ids), ids, counts, lengths))
-                block.clear()
+        def closed(k: int, starts: np.ndarray) -> pa.RecordBatch:
+            """The first ``k`` postings, whose blocks begin at ``starts``."""
+            ends = np.append(starts[1:], k)
+            layer, ids, counts, lengths, impact = (c[:k] for c in own)
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(starts, k), pa.int32()), pa.array(c, t.value_type)) for c, t in zip((ids, counts, lengths), types[6:], strict=True)]
+            columns = [layer[starts], np.maximum.reduceat(impact, starts), ids[starts], ids[ends - 1], ends - starts]
+            return pa.RecordBatch.from_arrays([terms.take(pa.array(starts)), *[pa.array(c, t) for c, t in zip(columns, types[1:6], strict=True)], *lists], names=names)
 
         for batch in batches:
-            for term, layer, *posting in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (term, layer) != key or len(block) >= BLOCK:
-                    close()
-                    key = term, layer
-                block.append(posting)
-            if len(out) >= 200:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            if not batch.num_rows:
+                continue
+            terms = pa.concat_arrays([terms, batch.column(0)])
+            own = [np.concatenate((x, c.to_numpy())) if len(x) else c.to_numpy() for x, c in zip(own, batch.columns[1:], strict=True)]
+            code = terms.dictionary_encode().indices.to_numpy()
+            first = np.concatenate(([True], (code[1:] != code[:-1]) | (own[0][1:] != own[0][:-1])))
+            at = np.arange(len(code))
+            starts = np.flatnonzero((at - np.maximum.accumulate(np.where(first, at, 0))) % BLOCK == 0)
+            k = starts[-1]
+            if k:
+                yield closed(k, starts[:-1])
+            terms, own = terms.slice(k), [c[k:] for c in own]
+        if len(terms):
+            yield closed(len(terms), np.zeros(1, np.int64))
 
     return postings.mapInArrow(run, _BLOCKS)
 
@@ -105,7 +115,7 @@ def build(docs: DataFrame, root: str, *, id_column: str = "doc_id", column: str
     spark = docs.sparkSession
     ship_package(spark)
     counted = materialize(_counted(docs, id_column, column), "postings")
-    corpus = docs.where(F.col(id_column).isNotNull()).agg(F.count("*").alias("docs")).crossJoin(counted.select("id", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words")))  # one row each
+    corpus = docs.where(F.col(id_column).isNotNull()).agg(F.count("*").alias("docs")).crossJoin(counted.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("words")))  # one row each
     total = corpus.first()
     mean = max(total["words"] / max(total["docs"], 1), 1e-9)
     impact = _impact(F.col("f"), F.col("n"), mean, config)
@@ -115,7 +125,8 @@ def build(docs: DataFrame, root: str, *, id_column: str = "doc_id", column: str
     blocks = materialize(_cut(rows.repartitionByRange(parts, "term", "layer", "id").sortWithinPartitions("term", "layer", "id")), "blocks")
     layers = blocks.groupBy("term", "layer").agg(F.count("*").alias("blocks"), F.sum("n").alias("postings"), F.max("most").alias("most"))
     corpus = spark.createDataFrame([(total["docs"], mean)], "docs long, mean double")
-    publish.publish(spark, root, {"blocks": blocks, "layers": layers, "corpus": corpus}, sort={"blocks": ["term", "layer", "low"], "layers": ["term", "layer"]})
+    # blocks come as they were cut, by ranges of term, layer and id: they are not dealt and sorted again
+    publish.publish(spark, root, {"blocks": blocks, "layers": layers, "corpus": corpus}, sort={"layers": ["term", "layer"]})
     discard(counted)
     discard(blocks)
 

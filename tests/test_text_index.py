@@ -81,3 +81,16 @@ def test_write_both_is_one_write(spark):
     store.write_both(docs.where("doc_id = 1"), root)
     assert publish.read(spark, root, "vectors").count() == 1
     assert {r.term for r in publish.read(spark, root, "terms").collect()} == {"a", "b"}
+
+
+def test_blocks_are_sorted_once_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(text_index, "BLOCK", 32)
+    given, publish_ = {}, publish.publish
+    monkeypatch.setattr(publish, "publish", lambda *a, sort, **k: given.update(sort) or publish_(*a, sort=sort, **k))
+    root, docs = scratch_path(spark, "text-index"), _docs(spark, 3000, 11)
+    text_index.build(docs, root)
+    assert "blocks" not in given
+    got = publish.read(spark, root, "blocks").select("term", F.explode(F.arrays_zip("ids", "counts", "lengths")).alias("p")).select("term", "p.*")
+    words = docs.select("doc_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("ws"))
+    want = words.select("doc_id", F.size("ws").alias("n"), F.explode("ws").alias("term")).groupBy("term", "doc_id", "n").count()
+    assert sorted(map(tuple, got.collect())) == sorted((r.term, r.doc_id, r["count"], r.n) for r in want.collect())
