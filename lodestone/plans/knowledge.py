@@ -33,7 +33,8 @@ def fragment_ingest(spark, sf_dir):
 @query(f"""SELECT {_ID} AS id, 'doc' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'documentation' ELSE 'source' END AS doc_type, 'src/' || source AS hierarchy, 8 AS dimension, doc_id % 11 <> 0 AS has_text FROM documents WHERE NOT contains(lower(source), 'test') AND NOT contains(lower(source), 'spec') AND NOT contains(lower(source), 'example') AND NOT contains(lower(source), 'demo')""")
 def fragment_records(spark, sf_dir):
     made = ingest.records(_fragments(spark, sf_dir).where(~F.lower("package_name").rlike("test|spec|example|demo")))
-    return made.select("id", "title", "doc_type", F.col("metadata")["hierarchy_path"].alias("hierarchy"), F.size("embedding").alias("dimension"), (F.length(F.trim(F.regexp_replace("content", r"\s+", ""))) > 0).alias("has_text"))
+    has_text = F.coalesce(F.length(F.trim(F.regexp_replace("content", r"\s+", ""))) > 0, F.lit(False))
+    return made.select("id", "title", "doc_type", F.col("metadata")["hierarchy_path"].alias("hierarchy"), F.size("embedding").alias("dimension"), has_text.alias("has_text"))
 
 
 @query(f"""SELECT {_ID} AS doc_id, md5(CASE WHEN doc_id % 11 = 0 THEN ' ' || chr(10) || ' ' ELSE text END) AS content_hash, strlen(CASE WHEN doc_id % 11 = 0 THEN ' ' || chr(10) || ' ' ELSE text END) AS content_length, 2 AS level FROM documents""")

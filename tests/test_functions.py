@@ -192,6 +192,14 @@ def test_references_end_with_a_semicolon(spark):
     assert [x["url"] for x in e["links"]] == ["https://e.org/q?a=1&copy=2&b=3"]
 
 
+def test_a_fragment_without_content_has_no_text(spark, tmp_path):
+    from lodestone.plans import knowledge
+
+    rows = [(1, None, "en", "src1"), (2, "", "en", "src1"), (3, " \n", "en", "src1"), (4, "text", "en", "src1"), (11, "text", "en", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["title"]: r["has_text"] for r in knowledge.fragment_records(spark, str(tmp_path)).collect()} == {"doc1": False, "doc2": False, "doc3": False, "doc4": True, "doc11": False}
+
+
 def test_main_content_must_be_longer_than_the_fallback(spark, tmp_path):
     from lodestone.plans import libraries
 
