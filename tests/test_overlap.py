@@ -154,3 +154,42 @@ def test_near_duplicates_do_not_shuffle_a_text_for_each_of_its_pairs(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
     assert n == 100 * 99 // 2
     assert _moved(spark) - before < 15 * sum(map(len, texts))
+
+
+def test_bigrams_of_many_texts_are_those_of_each():
+    rng = random.Random(11)
+    words = ["a", "b", "sol", "the", "\u00e9", "abba", "baab", "w" * 24 + "x", "w" * 24 + "y", "w" * 40]
+    texts = ["", " \n", "a b", "sol", "the", " sol\t", "a", "\u00e9"] + ["".join(rng.choice(words) + rng.choice((" ", "\n", " \t ", "\r\n")) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    sizes, grams = similarity.word_bigrams.many(pa.array([t.encode() for t in texts], pa.binary()).slice(0))
+    found = [x.tolist() for x in np.split(grams, np.cumsum(sizes)[:-1])]
+
+    def shingles(t):
+        ws = t.split()
+        own = {f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False) if len(f"{a} {b}".encode()) >= 4}
+        return own or {ws[0] if len(ws) == 1 and len(ws[0].encode()) > 1 and ws[0] != "the" else ""}
+
+    named = {}
+    for t, own in zip(texts, found, strict=True):
+        assert own == similarity.word_bigrams(t.encode()).tolist() and len(own) == len(set(own)) == len(shingles(t))
+        for g in shingles(t):
+            named.setdefault(g, set(own)).intersection_update(own)
+    assert all(named.values())
+    for t, own in zip(texts, found, strict=True):  # unequal bigrams have unequal digests
+        assert all(any(named[g] == {d} for d in own) or len(named[g]) > 1 for g in shingles(t))
+    assert len({d for own in found for d in own}) == len({g for t in texts for g in shingles(t)})
+
+
+def test_pairs_stream_past_their_cells_in_any_blocks(spark, monkeypatch):
+    for name, value in (("PAIR_ROWS", 7), ("SKETCH_BLOCK", 3000), ("SET_BLOCK", 3000), ("ROUND_BLOCKS", 3)):
+        monkeypatch.setattr(overlap, name, value)
+    rng = random.Random(6)
+    texts = []
+    for family in range(3):
+        base = [f"w{family}x{rng.randrange(300)}" for _ in range(60)]
+        texts += [" ".join(w if rng.random() > 0.15 else f"e{rng.randrange(300)}" for w in base) for _ in range(20)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(3, texts[3])], "id long, text string")
+    cut = overlap.word_shingles(1)
+    sets = [set(cut(t.encode()).tolist()) for t in texts]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.4 * len(sets[a] | sets[b]) - 1e-9}
+    got = [(r.left_id, r.right_id) for r in overlap.similar_pairs(rows, cut, 0.4).collect()]
+    assert len(want) > 300 and set(got) == want and len(got) == len(want)
